@@ -89,8 +89,8 @@ def new_chunks(chunks: DataFrame, stored: DataFrame, broadcast_ids: int = _BROAD
     if not has_at_most(ids, broadcast_ids):
         return chunks.join(stored.select("id"), "id", "left_anti")
     known = stored.select("id").join(F.broadcast(ids.distinct()), "id", "left_semi")
-    # No more than one row per broadcast id (and per copy of it in the index).
-    return chunks.join(known, "id", "left_anti")
+    # Distinct, so again no more rows than ids were broadcast.
+    return chunks.join(F.broadcast(known.distinct()), "id", "left_anti")
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
