@@ -15,8 +15,8 @@ CHUNK_OVERLAP = 200
 # straight from a long page cost the square of its length.
 _WINDOWS_PER_SLICE = 64
 
-# Ids up to this many are broadcast (64 hex characters each, about 100 MB with overhead).
-_BROADCAST_IDS = 500_000
+# Ids up to this many are broadcast (64 hex characters each, some 40 MB with overhead).
+_BROADCAST_IDS = 200_000
 
 
 def _starts(text: str, last: Column | None, step: int) -> Column:

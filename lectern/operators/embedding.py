@@ -43,14 +43,11 @@ def _token_vectors(dim: int) -> Callable[[pa.Array], pa.Array]:
         owner = pc.list_parent_indices(pieces).to_numpy(zero_copy_only=False)
         coded = pieces.flatten().dictionary_encode()
         # One digest per distinct token of the batch; everything else is array arithmetic.
-        bucket = np.array(
-            [
-                int(md5(token.encode()).hexdigest()[:8], 16) % dim if token else -1
-                for token in coded.dictionary.to_pylist()
-            ],
-            dtype=np.int64,
-        )
-        bucket = bucket[coded.indices.to_numpy(zero_copy_only=False)] if len(owner) else bucket
+        tokens = coded.dictionary.cast(pa.binary()).to_pylist()
+        digests = np.frombuffer(b"".join(md5(token).digest() for token in tokens), dtype=">u4")
+        bucket = (digests[::4] % dim).astype(np.int64)
+        bucket[[i for i, token in enumerate(tokens) if not token]] = -1
+        bucket = bucket[coded.indices.to_numpy(zero_copy_only=False)]
         real = bucket >= 0
         cells = owner[real].astype(np.int64) * dim + bucket[real]
         counts = np.bincount(cells, minlength=rows * dim).reshape(rows, dim)

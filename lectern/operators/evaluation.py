@@ -205,35 +205,37 @@ def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int
     members one after the other with everything below them, then its messages. Only the first
     message of the tool counts for a run; empty results are passed over.
 
-    The few results found climb from their run to the root, one join per level, and note the
-    way; the smallest way wins. A run nested more than ``max_depth`` deep is an error.
+    The first result of each run climbs to the root, one join per level, and notes its way;
+    the smallest way wins. Texts stay behind and are fetched for the winners. A run nested
+    more than ``max_depth`` deep is an error.
     """
     named = nodes.where(F.col("name") == tool)
-    spot = F.struct(F.lit(1).alias("section"), F.col("position").cast("long").alias("at"))
-    tools = named.where((F.col("kind") == "tool") & (F.length("content") > 0)).select(
-        "response_id", F.col("parent_id").alias("run"), F.array(spot).alias("way"), "content"
-    )
-    messages = (
-        named.where(F.col("kind") == "message")
-        .groupBy("response_id", F.col("parent_id").alias("run"))
-        .agg(
-            F.min(F.struct(F.col("position").cast("long").alias("at"), "content")).alias("first")
-        )
-        .where(F.length("first.content") > 0)
-        .select(
-            "response_id",
-            "run",
-            F.array(F.struct(F.lit(3).alias("section"), F.col("first.at").alias("at"))).alias("way"),
-            F.col("first.content").alias("content"),
+    filled = F.coalesce(F.length("content") > 0, F.lit(False))
+    at = F.col("position").cast("long")
+
+    def first_of_run(kind: str, section: int) -> DataFrame:
+        found = named.where(F.col("kind") == kind)
+        if kind == "tool":
+            found = found.where(filled)
+        return (
+            found.groupBy("response_id", F.col("parent_id").alias("run"))
+            .agg(F.min_by(F.struct("node_id", at.alias("at"), filled.alias("filled")), at).alias("first"))
+            .where("first.filled")
+            .select(
+                "response_id",
+                "run",
+                F.array(F.struct(F.lit(section).alias("section"), "first.at")).alias("way"),
+                "first.node_id",
+            )
         )
-    )
+
     members = nodes.where(F.col("kind") == "member").select(
         F.col("response_id").alias("_response"),
         F.col("node_id").alias("_member"),
         F.col("parent_id").alias("_parent"),
-        F.struct(F.lit(2).alias("section"), F.col("position").cast("long").alias("at")).alias("_step"),
+        F.struct(F.lit(2).alias("section"), at.alias("at")).alias("_step"),
     )
-    found = tools.unionByName(messages)
+    found = first_of_run("tool", 1).unionByName(first_of_run("message", 3))
     inside = (F.col("response_id") == F.col("_response")) & (F.col("run") == F.col("_member"))
     nested = F.col("_parent").isNotNull()
     for _ in range(max_depth):
@@ -241,13 +243,18 @@ def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int
             "response_id",
             F.when(nested, F.col("_parent")).otherwise(F.col("run")).alias("run"),
             F.when(nested, F.concat(F.array("_step"), F.col("way"))).otherwise(F.col("way")).alias("way"),
-            "content",
+            "node_id",
         )
     too_deep = F.raise_error(F.lit(f"a run is nested more than {max_depth} deep"))
+    way = F.when(nested, too_deep.cast(found.schema["way"].dataType)).otherwise(F.col("way"))
     first = (
         found.join(members, inside, "left")
-        .withColumn("way", F.when(nested, too_deep.cast(found.schema["way"].dataType)).otherwise(F.col("way")))
         .groupBy("response_id")
-        .agg(F.min_by("content", "way").alias("context"))
+        .agg(F.min_by("node_id", way).alias("node_id"))
+    )
+    texts = named.where(filled).select("response_id", "node_id", F.col("content").alias("context"))
+    return (
+        nodes.where(F.col("kind") == "run")
+        .select("response_id")
+        .join(first.join(texts, ["response_id", "node_id"]).drop("node_id"), "response_id", "left")
     )
-    return nodes.where(F.col("kind") == "run").select("response_id").join(first, "response_id", "left")

@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.matching import INLINE_KEYS, key_hits, occurs
-from lectern.operators.sizing import rows_within
+from lectern.operators.matching import BROADCAST_KEYS, INLINE_KEYS, key_hits, occurs
+from lectern.operators.sizing import broadcast_if_small, rows_within
 
 RESULTS = "array<struct<title:string,url:string,content:string>>"
 LOOKUP_SCHEMA = f"priority int, key string, answer string, results {RESULTS}"
@@ -43,10 +43,16 @@ def keyword_lookup(
             word,
         )
         first = hits.groupBy(F.col("text_id").alias("query_id")).agg(F.min("priority").alias("priority"))
+        # Queries without an entry get keys of their own, spread evenly, where a null would
+        # bring them all to one task.
+        unlike = F.lit(-(2**40)) - F.pmod(F.xxhash64("query_id"), F.lit(2**20))
+        entry = F.coalesce(F.col("priority").cast("long"), unlike)
+        table_side = capped.withColumn("entry", F.col("priority").cast("long")).drop("priority")
         return (
             queries.select("query_id", "query")
             .join(first, "query_id", "left")
-            .join(capped, "priority", "left")
+            .select("query_id", "query", entry.alias("entry"))
+            .join(broadcast_if_small(table_side, BROADCAST_KEYS), "entry", "left")
             .select("query_id", "query", "key", "answer", "results")
         )
     lowered = F.lower("query")

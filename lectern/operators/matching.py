@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import contains_word
-from lectern.operators.sizing import has_at_most
+from lectern.operators.sizing import broadcast_if_small, has_at_most
 
 # Key tables up to this many rows are turned into expressions.
 INLINE_KEYS = 64
@@ -85,9 +85,8 @@ def key_hits(
 
     if has_at_most(keys, broadcast_keys):
         probes = texts.select("text_id", "text", offered.alias("_piece"))
-        return (
-            probes.join(F.broadcast(filed), "_piece").where(test).select("text_id", *keys.columns)
-        )
+        small = broadcast_if_small(filed, broadcast_keys)
+        return probes.join(small, "_piece").where(test).select("text_id", *keys.columns)
 
     # Both sides are shuffled by piece. Only ids travel with the pieces, and a piece that very
     # many texts contain is spread over _SALTS tasks.

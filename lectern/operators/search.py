@@ -23,11 +23,14 @@ from pyspark.sql import types as T
 
 from lectern.functions.numbers import round_score
 from lectern.functions.vectors import cosine
+from lectern.operators.sizing import has_at_most
 
 TOP_K = 5
 
 # A query table is broadcast up to this many bytes of double precision vectors.
 BROADCAST_QUERY_BYTES = 64 * 2**20
+# Hits are broadcast to fetch their chunks up to this many rows (an id and three numbers each).
+BROADCAST_HITS = 500_000
 # Chunks handled together where both sides are split.
 ROWS_PER_CELL = 100_000
 # Cells of one product of a block of queries and a batch of chunks.
@@ -277,24 +280,27 @@ def _width(queries: DataFrame) -> int:
     return first["width"]
 
 
-def _best_hits(queries: DataFrame, chunks: DataFrame, k: int, query_bytes: int, cell_rows: int):
-    dim = _width(queries)
+def _best_hits(
+    queries: DataFrame, chunks: DataFrame, k: int, dim: int, query_bytes: int, cell_rows: int
+) -> tuple[DataFrame, int]:
+    """The k best of every query in every part of the chunks, and the number of queries."""
     query = queries.select("query_id", F.col("embedding").alias("query"))
     rows = chunks.select("id", "embedding")
     per_slab = max(1, query_bytes // (8 * dim))
-    few = query.limit(per_slab + 1).toArrow()
-    if few.num_rows <= per_slab:
+    if has_at_most(query, per_slab):
+        few = query.toArrow()
         query_ids, vectors = _fitting(few["query_id"], few["query"], dim)
         held = query.sparkSession.sparkContext.broadcast(
             (query_ids, np.array(_matrix(vectors, dim), dtype=np.float64))
         )
-        return rows.mapInArrow(_against_broadcast(held, k), _hit_schema(query, rows))
+        return rows.mapInArrow(_against_broadcast(held, k), _hit_schema(query, rows)), few.num_rows
 
     # Both sides are split: every slab of queries meets every part of the chunks. Ids are
     # unique, so their hashes give parts of equal size whatever the data looks like.
-    slabs = math.ceil(query.count() / per_slab)
-    parts = math.ceil(rows.count() / cell_rows)
-    return _in_cells(
+    asked = query.count()
+    slabs = math.ceil(asked / per_slab)
+    parts = max(1, math.ceil(rows.count() / cell_rows))
+    hits = _in_cells(
         query.withColumn("_a", F.pmod(F.xxhash64("query_id"), F.lit(slabs))).withColumn(
             "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
         ),
@@ -304,6 +310,7 @@ def _best_hits(queries: DataFrame, chunks: DataFrame, k: int, query_bytes: int,
         dim,
         k,
     )
+    return hits, asked
 
 
 def _planes(dim: int, bits: int) -> np.ndarray:
@@ -344,6 +351,7 @@ def search_approx(
     chunks: DataFrame,
     k: int = TOP_K,
     bits: int = 6,
+    dim: int | None = None,
     query_bytes: int = BROADCAST_QUERY_BYTES,
     cell_rows: int = ROWS_PER_CELL,
 ) -> DataFrame:
@@ -355,7 +363,7 @@ def search_approx(
     """
     if not 1 <= bits <= 10:
         raise ValueError("bits is 1 to 10")
-    dim = _width(queries)
+    dim = _width(queries) if dim is None else dim
     rows = chunks.select("id", "embedding").withColumn(
         "_a", direction_bucket(F.col("embedding"), dim, bits)
     )
@@ -382,7 +390,8 @@ def search_approx(
         dim,
         k,
     )
-    return _completed(_ranked(hits, k), chunks)
+    n_queries = sum(to_bucket.values()) // (bits + 1)
+    return _completed(_ranked(hits, k), chunks, n_queries * k)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -390,13 +399,18 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _completed(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with the other chunk columns, fetched for the hits alone."""
+def _completed(hits: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """Hits, at most ``most``, with the other chunk columns fetched for the hits alone.
+
+    A moderate number is broadcast, so that the chunks are filtered where they are read
+    instead of being shuffled.
+    """
     scored = hits.select("query_id", "rank", "id", round_score(F.col("raw")).alias("score"))
     extra = [c for c in chunks.columns if c not in ("id", "embedding")]
     if not extra:
         return scored
-    found = chunks.select("id", *extra).join(scored, "id")
+    wanted = F.broadcast(scored) if most <= BROADCAST_HITS else scored
+    found = chunks.select("id", *extra).join(wanted, "id")
     return found.select("query_id", "rank", "id", *extra, "score")
 
 
@@ -404,21 +418,24 @@ def search_batch(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = TOP_K,
+    dim: int | None = None,
     query_bytes: int = BROADCAST_QUERY_BYTES,
     cell_rows: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """The ``k`` most similar chunks of every query.
 
     ``queries`` has ``query_id, embedding``; ``chunks`` has ``id, embedding`` and any further
-    columns. Gives ``query_id, rank, id``, the further columns and ``score``. Vectors of
-    another width than the queries' are left out (``sources.index.check_dimension`` names them).
+    columns. Gives ``query_id, rank, id``, the further columns and ``score``. Vectors that are
+    not ``dim`` wide (the first query's width) are left out; ``sources.index.check_dimension``
+    names them.
 
     Up to ``query_bytes`` of query vectors are broadcast and the chunks are read in place;
     a larger query table is split along with the chunks. Embeddings are dropped before the
     ranking, and only the hits are then completed with the chunks' texts.
     """
-    hits = _ranked(_best_hits(queries, chunks, k, query_bytes, cell_rows), k)
-    return _completed(hits, chunks)
+    width = _width(queries) if dim is None else dim
+    hits, n_queries = _best_hits(queries, chunks, k, width, query_bytes, cell_rows)
+    return _completed(_ranked(hits, k), chunks, n_queries * k)
 
 
 def search_stats(hits: DataFrame) -> DataFrame:

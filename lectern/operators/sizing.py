@@ -1,25 +1,46 @@
-"""Size checks that stand before every broadcast."""
+"""Size checks that stand before every broadcast, and the use of all cores for small inputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+# What a broadcast may weigh, measured as text.
+BROADCAST_BYTES = 64 * 2**20
+
 
 def rows_within(df: DataFrame, limit: int) -> list[Row] | None:
     """The rows of ``df`` if there are at most ``limit``, otherwise None.
 
-    Never brings more than ``limit + 1`` rows to the driver.
+    Collecting a limit reads one part of the input after the other and stops when it has
+    enough, so a large input costs no more than a small one. Never brings more than
+    ``limit + 1`` rows to the driver.
     """
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 
 def has_at_most(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` holds at most ``limit`` rows; stops counting after that."""
-    return df.select(F.lit(1).alias("one")).limit(limit + 1).count() <= limit
+    """Whether ``df`` holds at most ``limit`` rows; stops reading after that."""
+    return rows_within(df.select(F.lit(True).alias("row")), limit) is not None
+
+
+def broadcast_if_small(df: DataFrame, rows: int, weight: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast after counting and weighing it; a larger one is left to the
+    planner, which joins by sort and splits skewed keys.
+    """
+    if not has_at_most(df, rows):
+        return df
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    total = df.agg(F.coalesce(F.sum(text), F.lit(0)).alias("total")).first()["total"]
+    return F.broadcast(df) if total <= weight else df
+
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a table scan out by ``keys`` if it has fewer pieces than there are cores.
 
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """Mark ``df`` for broadcast after counting it; a larger one is left to the planner."""
-    return F.broadcast(df) if has_at_most(df, limit) else df
+    For steps that compute much per row, over an input of few files that cannot be split. An
+    input with a piece for every core is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)

@@ -20,6 +20,7 @@ from lectern.operators.numbering import number_rows
 from lectern.operators.responses import envelope, normalise_responses
 from lectern.operators.search import search, search_approx, search_batch, search_stats
 from lectern.operators.sessions import session_history, turn_pairs
+from lectern.operators.sizing import spread
 from lectern.operators.units import convert_units, requested_units
 from lectern.plans.knowledge import answer, build_index, index_rows
 from lectern.session import scratch_path
@@ -172,7 +173,8 @@ def letter_model() -> Callable:
 
 @query
 def embed_batch(spark, sf_dir):
-    embedded = embed(table(spark, sf_dir, "documents"), letter_model, text="text")
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    embedded = embed(documents, letter_model, text="text")
     counts = [F.col("embedding")[i].cast("long").alias(f"n_{c}") for i, c in enumerate(LETTERS)]
     return embedded.select("doc_id", *counts)
 
@@ -180,7 +182,8 @@ def embed_batch(spark, sf_dir):
 @query
 def hash_embed_(spark, sf_dir):
     """The components of every document's vector that are not zero."""
-    embedded = hash_embed(table(spark, sf_dir, "documents").select("doc_id", "text"), text="text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    embedded = hash_embed(documents, text="text")
     return (
         embedded.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
         .where("value > 0")
@@ -406,7 +409,7 @@ def reply_json(spark, sf_dir):
 
 def _stored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored reply for each event: full, partly filled, without fields, or cut off."""
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"), "event_id")
     k = F.get_json_object("props", "$.k")
     full = F.format_string(
         '{"answer":"about %s","results":['
