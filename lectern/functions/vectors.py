@@ -25,5 +25,9 @@ def cosine(left: Column, right: Column) -> Column:
     """Cosine similarity in [-1, 1]; null where it is undefined (zero vector, null, NaN)."""
     squares = dot(left, left) * dot(right, right)
     score = F.try_divide(dot(left, right), F.sqrt(squares))
-    clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))
-    return F.when(~F.isnan(score), clamped)
+
+    def clamped(x: Column) -> Column:
+        return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+
+    # The array of one gives the score a name, so that it is worked out once.
+    return F.get(F.transform(F.array(score), clamped), F.lit(0))

@@ -53,7 +53,7 @@ def search(
     Rows with an undefined score come last, equal scores are ordered by ``key``. Each task
     keeps only its ``k`` best rows.
     """
-    query = F.array(*[F.lit(float(x)) for x in vector])
+    query = F.lit([float(x) for x in vector])
     kept = [c for c in chunks.columns if c != "embedding"]
     return (
         chunks.select(*kept, cosine(F.col("embedding"), query).alias("score"))

@@ -35,16 +35,20 @@ def turn_pairs(turns: DataFrame, asking: str = "user", replying: str = "assistan
 
     Turns are numbered consecutively in a conversation. A reply is filed under the turn
     before it, so one grouping by conversation and turn brings the two together; no
-    conversation is gathered in one place.
+    conversation is gathered in one place. Rows are dealt out first because at most two of
+    them meet: aggregating before the shuffle would only sort the texts once more.
     """
     asks = F.col("role") == asking
-    slot = F.when(asks, F.col("turn")).otherwise(F.col("turn") - 1)
     return (
         turns.where(F.col("role").isin(asking, replying))
-        .groupBy("conv_id", slot.alias("turn"))
-        .agg(
-            F.max(F.when(asks, F.col("text"))).alias("question"),
-            F.max(F.when(~asks, F.col("text"))).alias("reply"),
+        .select(
+            "conv_id",
+            F.when(asks, F.col("turn")).otherwise(F.col("turn") - 1).alias("turn"),
+            F.when(asks, F.col("text")).alias("question"),
+            F.when(~asks, F.col("text")).alias("reply"),
         )
+        .repartition("conv_id", "turn")
+        .groupBy("conv_id", "turn")
+        .agg(F.max("question").alias("question"), F.max("reply").alias("reply"))
         .where(F.col("question").isNotNull())
     )
