@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
-from lectern.operators.sizing import has_at_most
+from lectern.operators.sizing import has_at_most, rows_within
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -18,6 +18,9 @@ _WINDOWS_PER_SLICE = 64
 # Ids up to this many are broadcast (64 hex characters each, some 40 MB with overhead).
 _BROADCAST_IDS = 200_000
 
+# Sources up to this many are listed in a filter on the index.
+_LISTED_SOURCES = 1_000
+
 
 def _starts(text: str, last: Column | None, step: int) -> Column:
     end = F.length(text) - 1
@@ -79,16 +82,23 @@ def with_ids(chunks: DataFrame, deterministic: bool = True) -> DataFrame:
 
 
 def new_chunks(chunks: DataFrame, stored: DataFrame, broadcast_ids: int = _BROADCAST_IDS) -> DataFrame:
-    """Chunks whose id is not stored yet.
+    """Chunks whose id (see ``chunk_id``) is not stored yet.
 
-    The index is usually far larger than what is added. If the new ids are few (counted), they
-    are broadcast to find those already stored in one pass over the index's id column; the
-    index is not shuffled. Otherwise both sides are joined by id, which spreads evenly.
+    The index is usually far larger than what is added. If the new chunks are few (counted),
+    their ids are broadcast to find those already stored in one pass over the index's ids; the
+    index is not shuffled. As an id is derived from its source, only chunks of the same sources
+    are read where the sources are few, which skips most files of an index that grew source by
+    source. Otherwise both sides are joined by id, which spreads evenly.
     """
-    ids = chunks.select("id")
-    if not has_at_most(ids, broadcast_ids):
+    if not has_at_most(chunks, broadcast_ids):
         return chunks.join(stored.select("id"), "id", "left_anti")
-    known = stored.select("id").join(F.broadcast(ids.distinct()), "id", "left_semi")
+    ids = chunks.select("id").distinct()
+    sources = rows_within(chunks.select("source").distinct(), _LISTED_SOURCES)
+    if sources is not None:
+        names = [row["source"] for row in sources]
+        same = F.col("source").isin([n for n in names if n is not None])
+        stored = stored.where(same | F.col("source").isNull() if None in names else same)
+    known = stored.select("id").join(F.broadcast(ids), "id", "left_semi")
     # Distinct, so again no more rows than ids were broadcast.
     return chunks.join(F.broadcast(known.distinct()), "id", "left_anti")
 

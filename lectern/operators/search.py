@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.numbers import round_score
-from lectern.functions.vectors import cosine
 from lectern.operators.sizing import has_at_most
 
 TOP_K = 5
@@ -42,27 +41,6 @@ _PAIR_SLAB = 200_000
 _UNDEFINED = -2.0
 
 
-def search(
-    chunks: DataFrame,
-    vector: list[float],
-    k: int = TOP_K,
-    key: str = "id",
-) -> DataFrame:
-    """The ``k`` chunks most similar to ``vector``: all columns but the embedding, ``score``.
-
-    Rows with an undefined score come last, equal scores are ordered by ``key``. Each task
-    keeps only its ``k`` best rows.
-    """
-    query = F.lit([float(x) for x in vector])
-    kept = [c for c in chunks.columns if c != "embedding"]
-    return (
-        chunks.select(*kept, cosine(F.col("embedding"), query).alias("score"))
-        .orderBy(F.desc_nulls_last("score"), key)
-        .limit(k)
-        .withColumn("score", round_score(F.col("score")))
-    )
-
-
 # --- the block product -------------------------------------------------------------------
 
 
@@ -120,6 +98,41 @@ def _scores(queries: _Vectors, chunks: _Vectors, q: np.ndarray, c: np.ndarray) -
     return result
 
 
+def _similarity(vector: list[float]):
+    query = _Vectors.of(np.array([vector], dtype=np.float64))
+
+    def scores(vectors: pa.Array) -> pa.Array:
+        at, fitting = _fitting(pa.array(np.arange(len(vectors))), vectors, len(vector))
+        chunks = _Vectors.of(_matrix(fitting, len(vector)))
+        rows = np.arange(len(at))
+        score = np.full(len(vectors), _UNDEFINED)
+        score[at.to_numpy()] = _scores(query, chunks, np.zeros_like(rows), rows)
+        return pa.array(score, mask=score == _UNDEFINED)
+
+    return scores
+
+
+def search(
+    chunks: DataFrame,
+    vector: list[float],
+    k: int = TOP_K,
+    key: str = "id",
+) -> DataFrame:
+    """The ``k`` chunks most similar to ``vector``: all columns but the embedding, ``score``.
+
+    Rows with an undefined score come last, equal scores are ordered by ``key``. Only the
+    embeddings visit Python, a batch at a time, and each task keeps only its ``k`` best rows.
+    """
+    similarity = F.arrow_udf(_similarity([float(x) for x in vector]), T.DoubleType())
+    kept = [c for c in chunks.columns if c != "embedding"]
+    return (
+        chunks.select(*kept, similarity(F.col("embedding")).alias("score"))
+        .orderBy(F.desc_nulls_last("score"), key)
+        .limit(k)
+        .withColumn("score", round_score(F.col("score")))
+    )
+
+
 class _Best:
     """The k best chunks of every query among the batches seen so far."""
 

@@ -49,22 +49,28 @@ def index_count(spark: SparkSession, path: str) -> int:
     return scan_index(spark, path).count()
 
 
+def append_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
+    """Write ``chunks`` (columns of the schema, in any order) without counting anything."""
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX_SCHEMA]
+    chunks.select(*columns).write.mode(mode).parquet(path)
+
+
 def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> Written:
-    """Store ``chunks`` (columns of the schema, in any order) and count the table."""
+    """Store ``chunks`` and count the table before and after, from the file footers."""
     if mode not in ("overwrite", "append"):
         raise ValueError("mode is 'overwrite' or 'append'")
     spark = chunks.sparkSession
     before = index_count(spark, path) if mode == "append" else 0
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX_SCHEMA]
-    chunks.select(*columns).write.mode(mode).parquet(path)
+    append_chunks(chunks, path, mode)
     total = scan_index(spark, path).count()
     return Written(total - before, total)
 
 
 def ensure_index(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The index at ``path``, filled from ``build()`` first if it is empty or missing."""
-    if index_count(spark, path) == 0:
-        write_index(build(), path)
+    create_index(spark, path)
+    if scan_index(spark, path).isEmpty():
+        append_chunks(build(), path, "overwrite")
     return scan_index(spark, path)
 
 

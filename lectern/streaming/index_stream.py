@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_pages, new_chunks, with_ids
-from lectern.sources.index import create_index, scan_index, write_index
+from lectern.sources.index import append_chunks, create_index, scan_index
 
 
 def stream_index(
@@ -24,14 +24,18 @@ def stream_index(
 
     ``pages`` is a streaming ``(source, page_num, content)``; page numbers must come with the
     data. Chunks already stored are dropped by id before they are embedded, so a batch that is
-    repeated after a failure adds nothing. ``checkpoint`` must be on shared storage.
+    repeated after a failure adds nothing; only the ids stored for the sources of the batch are
+    read for that. ``checkpoint`` must be on shared storage.
     """
     create_index(pages.sparkSession, path)
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        # The batch is looked at several times; without this the source would be, too.
+        batch.persist()
         stored = scan_index(batch.sparkSession, path)
         fresh = new_chunks(with_ids(chunk_pages(batch, size, overlap)), stored)
-        write_index(embed(fresh), path, mode="append")
+        append_chunks(embed(fresh), path)
+        batch.unpersist()
 
     return (
         pages.writeStream.foreachBatch(append)
