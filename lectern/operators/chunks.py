@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
-from lectern.operators.sizing import has_at_most, rows_within
+from lectern.operators.sizing import rows_within
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -90,13 +90,13 @@ def new_chunks(chunks: DataFrame, stored: DataFrame, broadcast_ids: int = _BROAD
     are read where the sources are few, which skips most files of an index that grew source by
     source. Otherwise both sides are joined by id, which spreads evenly.
     """
-    if not has_at_most(chunks, broadcast_ids):
+    listed = rows_within(chunks.select("source"), broadcast_ids)
+    if listed is None:
         return chunks.join(stored.select("id"), "id", "left_anti")
     ids = chunks.select("id").distinct()
-    sources = rows_within(chunks.select("source").distinct(), _LISTED_SOURCES)
-    if sources is not None:
-        names = [row["source"] for row in sources]
-        same = F.col("source").isin([n for n in names if n is not None])
+    names = {row["source"] for row in listed}
+    if len(names) <= _LISTED_SOURCES:
+        same = F.col("source").isin(*sorted(names - {None}))
         stored = stored.where(same | F.col("source").isNull() if None in names else same)
     known = stored.select("id").join(F.broadcast(ids), "id", "left_semi")
     # Distinct, so again no more rows than ids were broadcast.

@@ -29,9 +29,13 @@ def embed(
 
     ``make_predict_fn()`` loads the model and returns a function from a batch of texts to a
     matrix with one row per text. It runs once per Python worker, not once per batch.
+
+    Filter before embedding: the optimizer treats the model as if it had side effects, which
+    keeps it from running the model once more for a filter or an explode further up, but also
+    keeps it from moving such a filter below.
     """
     model = predict_batch_udf(make_predict_fn, return_type=VECTOR, batch_size=batch_size)
-    return df.withColumn(output, model(F.col(text)))
+    return df.withColumn(output, model.asNondeterministic()(F.col(text)))
 
 
 def _token_vectors(dim: int) -> Callable[[pa.Array], pa.Array]:
@@ -67,7 +71,8 @@ def hash_embed(
 
     Needs no model and no network. Tokens are runs of letters and digits in lower case; the
     bucket is the first 32 bits of the token's MD5 modulo ``dim``. Text without tokens gives
-    the zero vector. Works batch by batch inside the scan stage: no shuffle.
+    the zero vector. Works batch by batch inside the scan stage: no shuffle. As with ``embed``,
+    filter before.
     """
-    vectors = F.arrow_udf(_token_vectors(dim), VECTOR)
+    vectors = F.arrow_udf(_token_vectors(dim), VECTOR).asNondeterministic()
     return df.withColumn(output, vectors(F.lower(F.col(text))))

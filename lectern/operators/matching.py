@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import contains_word
-from lectern.operators.sizing import broadcast_if_small, has_at_most
+from lectern.operators.sizing import BROADCAST_BYTES, weigh
 
 # Key tables up to this many rows are turned into expressions.
 INLINE_KEYS = 64
@@ -75,18 +75,19 @@ def key_hits(
     ``text_id`` must be unique and the rows of ``keys`` distinct. Gives ``text_id`` and the
     columns of ``keys``.
     """
-    width = F.least(F.length("key"), F.lit(_ANCHOR)).alias("width")
-    # At most _ANCHOR + 1 values.
-    widths = sorted(r["width"] for r in keys.where("key IS NOT NULL").select(width).distinct().collect())
+    width = F.least(F.length("key"), F.lit(_ANCHOR))
+    # At most _ANCHOR + 1 widths.
+    size = keys.agg(*weigh(keys), F.array_sort(F.collect_set(width)).alias("widths")).first()
+    widths = size["widths"]
     blank = [F.array(F.lit(""))] if 0 in widths or not widths else []
     offered = F.explode(F.concat(*[_pieces(F.col("text"), w) for w in widths if w > 0], *blank))
     test = _word_test(F.col("text"), F.col("key")) if word else F.contains("text", "key")
     filed = _filed(keys, widths)
 
-    if has_at_most(keys, broadcast_keys):
+    if size["n_rows"] <= broadcast_keys and size["n_bytes"] <= BROADCAST_BYTES:
         probes = texts.select("text_id", "text", offered.alias("_piece"))
-        small = broadcast_if_small(filed, broadcast_keys)
-        return probes.join(small, "_piece").where(test).select("text_id", *keys.columns)
+        # One row per key, with a piece of it added.
+        return probes.join(F.broadcast(filed), "_piece").where(test).select("text_id", *keys.columns)
 
     # Both sides are shuffled by piece. Only ids travel with the pieces, and a piece that very
     # many texts contain is spread over _SALTS tasks.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # What a broadcast may weigh, measured as text.
@@ -25,15 +25,21 @@ def has_at_most(df: DataFrame, limit: int) -> bool:
     return rows_within(df.select(F.lit(True).alias("row")), limit) is not None
 
 
+def weigh(df: DataFrame) -> list[Column]:
+    """Aggregates ``n_rows`` and ``n_bytes`` (as text) of the rows of ``df``."""
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    return [
+        F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(F.sum(text), F.lit(0)).alias("n_bytes"),
+    ]
+
+
 def broadcast_if_small(df: DataFrame, rows: int, weight: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast after counting and weighing it; a larger one is left to the
     planner, which joins by sort and splits skewed keys.
     """
-    if not has_at_most(df, rows):
-        return df
-    text = F.octet_length(F.to_json(F.struct(*df.columns)))
-    total = df.agg(F.coalesce(F.sum(text), F.lit(0)).alias("total")).first()["total"]
-    return F.broadcast(df) if total <= weight else df
+    size = df.agg(*weigh(df)).first()
+    return F.broadcast(df) if size["n_rows"] <= rows and size["n_bytes"] <= weight else df
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
