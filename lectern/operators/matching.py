@@ -18,7 +18,7 @@ from lectern.operators.sizing import BROADCAST_BYTES, weigh
 INLINE_KEYS = 64
 # Key tables up to this many rows are broadcast.
 BROADCAST_KEYS = 200_000
-_ANCHOR = 3
+_ANCHOR = 6
 # Copies of each anchored key, so that a piece many texts contain meets several tasks.
 _SALTS = 16
 
@@ -67,6 +67,17 @@ def _filed(keys: DataFrame, widths: list[int]) -> DataFrame:
     return keys.join(chosen.where("_nth = 1").select("key", "_piece"), "key")
 
 
+def _offered(texts: DataFrame, widths: list[int], *kept: str) -> DataFrame:
+    """The pieces of the given widths at every place of ``text``: ``_at`` and ``_piece``."""
+    last = F.length("text") - F.col("_w") + 1
+    places = F.when(F.col("_w") == 0, F.array(F.lit(1))).when(last > 0, F.sequence(F.lit(1), last))
+    return (
+        texts.select("text_id", "text", F.explode(F.lit(widths)).alias("_w"))
+        .select("text_id", "text", "_w", F.explode(places).alias("_at"))
+        .select("text_id", *kept, "_at", F.substring("text", F.col("_at"), F.col("_w")).alias("_piece"))
+    )
+
+
 def key_hits(
     texts: DataFrame, keys: DataFrame, word: bool = False, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
@@ -78,28 +89,26 @@ def key_hits(
     width = F.least(F.length("key"), F.lit(_ANCHOR))
     # At most _ANCHOR + 1 widths.
     size = keys.agg(*weigh(keys), F.array_sort(F.collect_set(width)).alias("widths")).first()
-    widths = size["widths"]
-    blank = [F.array(F.lit(""))] if 0 in widths or not widths else []
-    offered = F.explode(F.concat(*[_pieces(F.col("text"), w) for w in widths if w > 0], *blank))
-    test = _word_test(F.col("text"), F.col("key")) if word else F.contains("text", "key")
+    widths = size["widths"] or [0]
     filed = _filed(keys, widths)
+    found = _word_test(F.col("text"), F.col("key")) if word else F.contains("text", "key")
+    # A piece may occur several times in a text; the first place speaks for all.
+    test = (F.instr("text", F.col("_piece")) == F.col("_at")) & found
 
     if size["n_rows"] <= broadcast_keys and size["n_bytes"] <= BROADCAST_BYTES:
-        probes = texts.select("text_id", "text", offered.alias("_piece"))
         # One row per key, with a piece of it added.
-        return probes.join(F.broadcast(filed), "_piece").where(test).select("text_id", *keys.columns)
+        offered = _offered(texts, widths, "text")
+        return offered.join(F.broadcast(filed), "_piece").where(test).select("text_id", *keys.columns)
 
     # Both sides are shuffled by piece. Only ids travel with the pieces, and a piece that very
     # many texts contain is spread over _SALTS tasks.
-    probes = texts.select(
-        "text_id",
-        F.pmod(F.xxhash64("text_id"), F.lit(_SALTS)).cast("int").alias("_salt"),
-        offered.alias("_piece"),
-    )
+    salt = F.pmod(F.xxhash64("text_id"), F.lit(_SALTS)).cast("int")
     salted = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     return (
-        probes.join(salted, ["_piece", "_salt"])
-        .select("text_id", *keys.columns)
+        _offered(texts, widths)
+        .withColumn("_salt", salt)
+        .join(salted, ["_piece", "_salt"])
+        .select("text_id", "_at", "_piece", *keys.columns)
         .join(texts.select("text_id", "text"), "text_id")
         .where(test)
         .select("text_id", *keys.columns)

@@ -45,3 +45,21 @@ def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["query_id", "context"]
     assert df.count() == spark.read.parquet(f"{SMALL}/benchmark.parquet").count()
+
+
+def test_task_functions_travel_without_the_package(tmp_path):
+    """Executors may not have the package installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lectern.operators.embedding import _token_vectors
+
+    (tmp_path / "task.pickle").write_bytes(cloudpickle.dumps(_token_vectors(8)))
+    code = (
+        "import pickle, pyarrow as pa\n"
+        "vectors = pickle.load(open('task.pickle', 'rb'))(pa.array(['a b']))\n"
+        "assert len(vectors[0]) == 8\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": ""})
