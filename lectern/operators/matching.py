@@ -1,23 +1,30 @@
 """Which keys of a table occur as substrings of a text.
 
-A short key table becomes one expression per key inside the scan stage. A longer one is
-matched through anchors: every key is filed under its rarest short piece, every text offers the
-pieces it contains, and only pairs that share an anchor are tested. No pair is lost, because a
-text that contains a key contains the key's anchor.
+A short key table becomes one expression per key inside the scan stage. A longer one of moderate
+size goes to the tasks as a search automaton, which finds all keys in one pass over a text. Beyond
+that, texts and keys are joined through anchors: every key is filed under its rarest short piece,
+every text offers the pieces it contains, and only pairs that share an anchor are tested. No pair
+is lost, because a text that contains a key contains the key's anchor.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import contains_word
-from lectern.operators.sizing import BROADCAST_BYTES, weigh
+from lectern.operators.sizing import weigh
 
 # Key tables up to this many rows are turned into expressions.
 INLINE_KEYS = 64
-# Key tables up to this many rows are broadcast.
+# Key tables up to this many rows, and this many bytes, are sent to every task.
 BROADCAST_KEYS = 200_000
+_AUTOMATON_BYTES = 8 * 2**20
 _ANCHOR = 6
 # Copies of each anchored key, so that a piece many texts contain meets several tasks.
 _SALTS = 16
@@ -67,14 +74,50 @@ def _filed(keys: DataFrame, widths: list[int]) -> DataFrame:
     return keys.join(chosen.where("_nth = 1").select("key", "_piece"), "key")
 
 
-def _offered(texts: DataFrame, widths: list[int], *kept: str) -> DataFrame:
+def _offered(texts: DataFrame, widths: list[int]) -> DataFrame:
     """The pieces of the given widths at every place of ``text``: ``_at`` and ``_piece``."""
     last = F.length("text") - F.col("_w") + 1
     places = F.when(F.col("_w") == 0, F.array(F.lit(1))).when(last > 0, F.sequence(F.lit(1), last))
     return (
         texts.select("text_id", "text", F.explode(F.lit(widths)).alias("_w"))
         .select("text_id", "text", "_w", F.explode(places).alias("_at"))
-        .select("text_id", *kept, "_at", F.substring("text", F.col("_at"), F.col("_w")).alias("_piece"))
+        .select("text_id", "_at", F.substring("text", F.col("_at"), F.col("_w")).alias("_piece"))
+    )
+
+
+def _matcher(words: list[str]):
+    """For each text the numbers of the words that occur in it."""
+
+    def matches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = ahocorasick.Automaton()
+        everywhere = [n for n, word in enumerate(words) if not word]
+        for n, word in enumerate(words):
+            if word:
+                automaton.add_word(word, n)
+        automaton.make_automaton()
+
+        def found(text: str | None) -> list[int] | None:
+            if text is None:
+                return None
+            hits = {n for _, n in automaton.iter(text)} if len(automaton) else set()
+            return sorted(hits.union(everywhere))
+
+        for texts in batches:
+            yield pa.array([found(text) for text in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return matches
+
+
+def _by_automaton(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``texts`` joined with the ``keys`` in them; the number of keys has been checked."""
+    words = [row["key"] for row in keys.where("key IS NOT NULL").select("key").distinct().collect()]
+    numbered = texts.sparkSession.createDataFrame(list(enumerate(words)), "_nth int, key string")
+    # Not deterministic for the optimizer, which would otherwise run it twice for the explode.
+    matcher = F.arrow_udf(_matcher(words), T.ArrayType(T.IntegerType())).asNondeterministic()
+    return (
+        texts.select("text_id", "text", matcher(F.col("text")).alias("_found"))
+        .select("text_id", "text", F.explode("_found").alias("_nth"))
+        .join(F.broadcast(keys.join(F.broadcast(numbered), "key")), "_nth")
     )
 
 
@@ -89,27 +132,24 @@ def key_hits(
     width = F.least(F.length("key"), F.lit(_ANCHOR))
     # At most _ANCHOR + 1 widths.
     size = keys.agg(*weigh(keys), F.array_sort(F.collect_set(width)).alias("widths")).first()
-    widths = size["widths"] or [0]
-    filed = _filed(keys, widths)
     found = _word_test(F.col("text"), F.col("key")) if word else F.contains("text", "key")
-    # A piece may occur several times in a text; the first place speaks for all.
-    test = (F.instr("text", F.col("_piece")) == F.col("_at")) & found
-
-    if size["n_rows"] <= broadcast_keys and size["n_bytes"] <= BROADCAST_BYTES:
-        # One row per key, with a piece of it added.
-        offered = _offered(texts, widths, "text")
-        return offered.join(F.broadcast(filed), "_piece").where(test).select("text_id", *keys.columns)
+    if size["n_rows"] <= broadcast_keys and size["n_bytes"] <= _AUTOMATON_BYTES:
+        hits = _by_automaton(texts, keys)
+        return (hits.where(found) if word else hits).select("text_id", *keys.columns)
 
     # Both sides are shuffled by piece. Only ids travel with the pieces, and a piece that very
     # many texts contain is spread over _SALTS tasks.
+    widths = size["widths"] or [0]
     salt = F.pmod(F.xxhash64("text_id"), F.lit(_SALTS)).cast("int")
-    salted = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = _filed(keys, widths).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    # A piece may occur several times in a text; the first place speaks for all.
+    first = F.instr("text", F.col("_piece")) == F.col("_at")
     return (
         _offered(texts, widths)
         .withColumn("_salt", salt)
         .join(salted, ["_piece", "_salt"])
         .select("text_id", "_at", "_piece", *keys.columns)
         .join(texts.select("text_id", "text"), "text_id")
-        .where(test)
+        .where(first & found)
         .select("text_id", *keys.columns)
     )
