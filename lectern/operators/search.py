@@ -239,6 +239,8 @@ class _Best:
 def _against_broadcast(query_table, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = query_table.value
+        if not len(queries):
+            return
         best = _Best(queries, k)
         for batch in batches:
             best.add(batch)
@@ -287,10 +289,9 @@ def _in_cells(queries: DataFrame, chunks: DataFrame, dim: int, k: int) -> DataFr
 
 
 def _width(queries: DataFrame) -> int:
+    """Width of the first vector; 1, which then fits none, where there is no vector at all."""
     first = queries.select(F.size("embedding").alias("width")).where("width > 0").first()
-    if first is None:
-        raise ValueError("no query has a vector")
-    return first["width"]
+    return 1 if first is None else first["width"]
 
 
 def _best_hits(

@@ -131,6 +131,23 @@ def test_approximate_hits_are_exact_scores_of_a_part(spark):
     assert hits_of(search_approx(q, c, k=3, bits=3, query_bytes=8 * 8 * 2, cell_rows=5)) == whole
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [])]])
+def test_no_query_vectors_no_hits(spark, rows):
+    queries = spark.createDataFrame(rows, QUERY)
+    chunks = spark.createDataFrame([("a", [1.0, 2.0])], CHUNK)
+    assert search_batch(queries, chunks).count() == 0
+    assert search_approx(queries, chunks, bits=2).count() == 0
+
+
+def test_no_chunks_no_hits(spark):
+    queries = spark.createDataFrame([(1, [1.0, 2.0])], QUERY)
+    chunks = spark.createDataFrame([], CHUNK)
+    assert search_batch(queries, chunks).count() == 0
+    assert search_batch(queries.union(queries), chunks, query_bytes=1).count() == 0
+    assert search_approx(queries, chunks, bits=2).count() == 0
+    assert search(chunks, [1.0, 2.0]).count() == 0
+
+
 def test_search_stats(spark):
     hits = spark.createDataFrame([(1, 0.5), (1, 0.25), (2, 0.1)], "query_id int, score double")
     assert {tuple(r) for r in search_stats(hits).collect()} == {(1, 2, 0.5, 0.25), (2, 1, 0.1, 0.1)}
