@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_oracles import rows_of
+from lectern.plans.bindings import QUERIES
+from lectern.plans.oracles import ORACLES
 
 SMALL = Path(entry_points.SMALL)
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,11 @@ def test_trained_router_labels_every_document(spark):
     assert {r["label"] for r in df.select("label").distinct().collect()} <= {"RAG", "GENERAL"}
 
 
+def test_entry_points_hold_all_queries():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["query_id", "context"]
