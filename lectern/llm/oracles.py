@@ -29,3 +29,21 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(d.w) AS contaminated
 FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+# Every window of 20 words numbered by its first start; words inside a later one go.
+ORACLES["op6_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, pos, md5_number(array_to_string(w[pos:pos + 19], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM words WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, pos FROM windows QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS p FROM later),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination
+from lectern.llm import bpe, decontamination, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,16 @@ def public_tokenizer() -> dict[str, str]:
     }
 
 
+@query
+def op1_simhash(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.cut_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 @query
 def op9_decontaminate(spark, sf_dir):
     judged = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -113,3 +113,46 @@ class Spans:
         """Hash of the words ``begin`` to ``end`` (exclusive), equal wherever the words are."""
         with np.errstate(over="ignore"):
             return mixed((sums[end] - sums[begin]) * self.inverses[begin])
+
+
+# Bits of a filter of keys: 16 MB, whatever the number of keys. A fuller filter lets more keys pass
+# that are not in it, which costs rows later on and never loses any.
+FILTER_BITS = 27
+
+
+def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each 64-bit key in the filter."""
+    bits = mixed(keys.astype(np.uint64, copy=False))
+    low = _U(2**FILTER_BITS - 1)
+    return bits & low, (bits >> _U(32)) & low
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """Bloom filter of a bigint column, put together by an aggregation over its 64-bit words.
+
+    At most 2**21 rows of two longs reach the driver, whatever the number of keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)
+            places = np.unique(np.concatenate(_probes(found)))
+            words = (places >> _U(6)).astype(np.int32)
+            masks = _U(1) << (places & _U(63))
+            firsts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.empty(0, np.int64)
+            masks = np.bitwise_or.reduceat(masks, firsts) if len(firsts) else masks
+            yield pa.RecordBatch.from_arrays([pa.array(words[firsts]), pa.array(masks.view(np.int64))], ["word", "mask"])
+
+    parts = keys.select(column).mapInArrow(run, "word int, mask bigint")
+    table = parts.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
+    words[table["word"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
+    return words
+
+
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys may be in the filter."""
+    out = np.ones(len(keys), bool)
+    for places in _probes(keys):
+        out &= ((words[places >> _U(6)] >> (places & _U(63))) & _U(1)).astype(bool)
+    return out
