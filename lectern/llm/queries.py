@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, simhash, substrings
+from lectern.llm import bpe, decontamination, lines, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,12 @@ def op6_substring_dedup(spark, sf_dir):
     return substrings.cut_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+@query
+def op8_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.cut_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 @query
 def op9_decontaminate(spark, sf_dir):
     judged = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
