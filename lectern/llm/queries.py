@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, lines, simhash, substrings
+from lectern.llm import bpe, decontamination, langid, lines, quality, simhash, substrings
+from lectern.llm.tasks import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,20 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    found = langid.identify(docs, learn=~F.col("held_out"))
+    return found.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@query
+def op5_quality_rules(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 @query
 def op6_substring_dedup(spark, sf_dir):
     return substrings.cut_repeats(table(spark, sf_dir, "documents"), with_text=False)
