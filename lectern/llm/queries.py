@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, langid, lines, quality, simhash, substrings
+from lectern.llm import bpe, decontamination, langid, lines, quality, secret_scan, simhash, substrings, url_filter
 from lectern.llm.tasks import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,24 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+# The rules that every url is judged by first.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+@query
+def op2_url_filter(spark, sf_dir):
+    """A page is bad where the label filed under its number says low quality."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
@@ -59,6 +77,21 @@ def op6_substring_dedup(spark, sf_dir):
     return substrings.cut_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+@query
+def op7_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] <= secret_scan.HEX)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        count(secret_scan.ASSIGN).alias("n_assign"),
+        count(secret_scan.ACCESS).alias("n_access"),
+        count(secret_scan.HEX).alias("n_hex"),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
