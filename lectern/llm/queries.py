@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, langid, lines, quality, secret_scan, simhash, substrings, url_filter
+from lectern.llm import bpe, decontamination, langid, lines, quality, secret_scan, simhash, substrings, toxicity, url_filter
 from lectern.llm.tasks import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,15 @@ def op3_language_id(spark, sf_dir):
     return found.withColumn("held_out", held_out(F.col("doc_id")))
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.judge(docs, labels, learn=~held_out(F.col("doc_id")), with_spans=False)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
