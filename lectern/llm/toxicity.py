@@ -37,12 +37,12 @@ _STOPS = frozenset(".!?\n")
 def _features(word: str) -> list[int]:
     import xxhash
 
-    pieces = [word, *[f"{n}^{word[:n]}" for n in (4, 5, 6) if len(word) >= n]]
+    pieces = [word, *[f"{n}^{word[:n]}" for n in (4, 5, 6, 7) if len(word) >= n]]
     return [xxhash.xxh64_intdigest(p.encode(), 3) >> (64 - WEIGHT_BITS) for p in pieces]
 
 
 def _keys(word: str) -> list[str]:
-    return [word, *[f"{n}^{word[:n]}" for n in (4, 5, 6) if len(word) >= n]]
+    return [word, *[f"{n}^{word[:n]}" for n in (4, 5, 6, 7) if len(word) >= n]]
 
 
 def _chains(tokens: list[str]) -> list[tuple[int, int]]:
@@ -97,7 +97,7 @@ def _labels(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     for key, k in counts[1].items():
         rate, other = k / n_toxic, (counts[0][key] + 0.5) / n_other
         spread = np.sqrt(other * (1 - min(1.0, other)) / n_toxic) + 1e-9
-        if k >= 5 and rate > 8 * other and rate - other > 5 * spread:
+        if k >= 5 and rate > 3 * other and rate - other > 5 * spread:
             marks.add(key)
     return marks
 
