@@ -25,60 +25,63 @@ from lectern.llm.tasks import Spans, WordHashes, key_filter, mixed, passes, stor
 MIN_WORDS = 5
 
 _U = np.uint64
-_PREFIX, _SUFFIX, _SELF, _DELETED, _REPLACED = (int(mixed(np.array([k], np.uint64))[0]) for k in range(11, 16))
-
-
-def _halves(spans: Spans, sums: np.ndarray, begin: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Keys of the first and second half of each line, for partners not shorter and for shorter ones."""
-    out = []
-    for m in (n, n - 1):
-        half = m // 2
-        size = mixed(m.astype(np.uint64))
-        out.append(mixed(spans.hashes(sums, begin, begin + half) ^ size ^ _U(_PREFIX)))
-        out.append(mixed(spans.hashes(sums, begin + n - (m - half), begin + n) ^ size ^ _U(_SUFFIX)))
-    return out
+_DELETED, _REPLACED = (int(mixed(np.array([k], np.uint64))[0]) for k in (14, 15))
 
 
 class _Lines:
-    """The lines of one text after the other with at least ``min_words`` words."""
-
-    def __init__(self, min_words: int):
-        self.min_words, self.words, self.spans = min_words, WordHashes(), Spans()
-
-    def read(self, text: bytes) -> bool:
-        self.parts = [x.split() for x in text.split(b"\n")]
-        sizes = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
-        self.line = np.flatnonzero(sizes >= self.min_words)
-        if not len(self.line):
-            return False
-        self.n = sizes[self.line]
-        self.begin = (np.cumsum(sizes) - sizes)[self.line]
-        self.sums = self.spans.sums(self.words.of([w for p in self.parts for w in p]))
-        self.key = mixed(self.spans.hashes(self.sums, self.begin, self.begin + self.n) ^ mixed(self.n.astype(np.uint64)))
-        self.later = np.ones(len(self.line), bool)
-        self.later[np.unique(self.key, return_index=True)[1]] = False
-        return True
-
-    def halves(self) -> list[np.ndarray]:
-        return _halves(self.spans, self.sums, self.begin, self.n)
-
-
-_LINE_KINDS = {"doc_id": pa.int64(), "line": pa.int32(), "h": pa.int64(), "later": pa.bool_(), **{f"k{i}": pa.int64() for i in range(4)}}
+    """Lines of at least ``min_words`` words of the texts of a slice, as parallel arrays."""
+
+    def __init__(self, part: pa.RecordBatch, min_words: int):
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        self.words: list[bytes] = []
+        docs, numbers, later, hashes = [], [], [], []
+        for doc_id, text in zip(part.column(1).to_pylist(), texts_of(part), strict=True):
+            if doc_id is None:
+                continue
+            seen = set()
+            for number, line in enumerate(text.split(b"\n")):
+                words = line.split()
+                n = len(words)
+                if n < min_words:
+                    continue
+                whole = b" ".join(words)
+                key = digest(whole, 1)
+                # Halves for partners that are not shorter (m = n), and for shorter ones (m = n - 1).
+                half, less = n // 2, (n - 1) // 2
+                cut = len(b" ".join(words[:half]))
+                first = cut if less == half else cut - 1 - len(words[half - 1])
+                last = n - (n - 1 - less)
+                rest = cut + 1 if last == half else cut + 2 + len(words[half])
+                hashes += (
+                    key,
+                    digest(whole[:cut], 4 * n),
+                    digest(whole[cut + 1 :], 4 * n + 1),
+                    digest(whole[:first], 4 * n - 4),
+                    digest(whole[rest:], 4 * n - 3),
+                )
+                docs.append(doc_id)
+                numbers.append(number)
+                later.append(key in seen)
+                seen.add(key)
+                self.words.append(whole)
+        table = np.array(hashes, np.uint64).reshape(-1, 5)
+        self.key, self.halves = table[:, 0], [table[:, k] for k in range(1, 5)]
+        self.doc_id, self.line = np.array(docs, np.int64), np.array(numbers, np.int32)
+        self.later = np.array(later, bool)
 
 
 def _all_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    names = ["doc_id", "line", "h", "later", "k0", "k1", "k2", "k3"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = _Lines(min_words)
         for batch in batches:
             for part in text_slices(batch):
-                out: list[list[np.ndarray]] = []
-                for doc_id, text in zip(part.column(1).to_pylist(), texts_of(part), strict=True):
-                    if doc_id is not None and lines.read(text):
-                        own = np.full(len(lines.line), doc_id, np.int64)
-                        keys = [k.view(np.int64) for k in lines.halves()]
-                        out.append([own, lines.line.astype(np.int32), lines.key.view(np.int64), lines.later, *keys])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], list(_LINE_KINDS))
+                lines = _Lines(part, min_words)
+                keys = [np.ascontiguousarray(k).view(np.int64) for k in (lines.key, *lines.halves)]
+                columns = [lines.doc_id, lines.line, keys[0], lines.later, *keys[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return docs.mapInArrow(run, "doc_id bigint, line int, h bigint, later boolean, k0 bigint, k1 bigint, k2 bigint, k3 bigint")
 
@@ -88,21 +91,19 @@ def _candidates(docs: DataFrame, wanted: np.ndarray, min_words: int) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = _Lines(min_words)
         for batch in batches:
             for part in text_slices(batch):
-                rows = []
-                for doc_id, text in zip(part.column(1).to_pylist(), texts_of(part), strict=True):
-                    if doc_id is None or not lines.read(text):
-                        continue
-                    sides = sum(passes(shared.value, k).astype(np.int32) << i for i, k in enumerate(lines.halves()))
-                    for i in np.flatnonzero((sides > 0) & ~lines.later):
-                        words = b" ".join(lines.parts[lines.line[i]]).decode()
-                        rows.append((int(lines.key[i].astype(np.int64)), doc_id, int(lines.line[i]), words, int(sides[i])))
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
-                    columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "words", "sides"])
+                lines = _Lines(part, min_words)
+                sides = np.zeros(len(lines.key), np.int32)
+                for i, keys in enumerate(lines.halves):
+                    sides |= passes(shared.value, keys).astype(np.int32) << i
+                at = np.flatnonzero((sides > 0) & ~lines.later)
+                words = [lines.words[i].decode() for i in at]
+                columns = [lines.key[at].view(np.int64), lines.doc_id[at], lines.line[at], words, sides[at]]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc_id", "line", "words", "sides"]
+                )
 
     return docs.mapInArrow(run, "h bigint, doc_id bigint, line int, words string, sides int")
 
@@ -213,7 +214,8 @@ def cut_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words
     """
     gone = removed_lines(docs, id, text, min_words).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
     gone = stored(gone, "gone").withColumnRenamed("doc_id", "_doc")
-    joined = docs.drop("n_lines", "n_removed", "kept_sha256").join(gone, F.col(id).cast("bigint") == F.col("_doc"), "left").drop("_doc")
+    # Always by sort and merge, so that the cost grows evenly with the input.
+    joined = docs.drop("n_lines", "n_removed", "kept_sha256").join(gone.hint("merge"), F.col(id).cast("bigint") == F.col("_doc"), "left").drop("_doc")
     columns = [c for c in joined.columns if c != "_gone"]
     at = columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(columns).schema.fields)
