@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ def round_score(value: Column, digits: int = 4) -> Column:
     division goes by ``try_divide`` because ANSI division would add a zero check per row.
     """
     scale = float(10**digits)
-    return F.try_divide(F.floor(value * scale + 0.5).cast("double"), F.lit(scale))
+    rounded = F.try_divide(F.floor(value * scale + 0.5).cast("double"), F.lit(scale))
+    # From 2**53 on doubles have no such places, and a floor would not fit a long.
+    return F.when(F.abs(value * scale) < float(2**53), rounded).otherwise(value.cast("double"))
 
 
 def divide(left: Column, right: Column) -> Column:
@@ -24,7 +28,9 @@ def divide(left: Column, right: Column) -> Column:
 
 def modulo(left: Column, right: Column) -> Column:
     """Remainder with the sign of the divisor, null where the divisor is zero."""
-    return left - right * F.floor(F.try_divide(left, right)).cast("double")
+    left, right = left.cast("double"), right.cast("double")
+    rest = F.when(right != 0, left % F.when(right != 0, right).otherwise(1.0))
+    return F.when((rest != 0) & ((rest < 0) != (right < 0)), rest + right).otherwise(rest)
 
 
 def logarithm(value: Column, base: Column | float | None = None) -> Column:
@@ -36,6 +42,8 @@ def logarithm(value: Column, base: Column | float | None = None) -> Column:
 
 
 def factorial(value: Column) -> Column:
-    """Factorial of a whole number from 0 to 20, otherwise null."""
-    whole = value.cast("double") == F.floor(value.cast("double"))
-    return F.when(whole & value.between(0, 20), F.factorial(value.cast("int")))
+    """Factorial of a whole number from 0 to 170, the last that a double holds, otherwise null."""
+    known = F.array(*[F.lit(float(math.factorial(n))) for n in range(171)])
+    inside = value.between(0, 170)
+    place = F.when(inside, value.cast("double").cast("int"))
+    return F.when(inside & (place == value.cast("double")), F.get(known, place))

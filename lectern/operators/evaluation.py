@@ -99,6 +99,9 @@ CASES = [
 # The tool whose results count as retrieved context, and the default error text.
 SEARCH_TOOL = "knowledge_search"
 UNKNOWN_ERROR = "Unknown error"
+NO_RESPONSE = "No response"
+
+NOT_STORED = "no response stored"
 
 COMPLETED = "completed"
 ERROR = "error"
@@ -112,17 +115,21 @@ def eval_cases(spark: SparkSession) -> DataFrame:
 def eval_outcomes(cases: DataFrame, responses: DataFrame, width: int = 200) -> DataFrame:
     """``(id, category, status, response_preview, error)``, one row per response to a case.
 
-    ``responses`` has ``id, response, error``. A response with an error has no preview.
+    ``responses`` has ``id, response, error``. A response with an error has no preview, one without
+    a text that of NO_RESPONSE. A case without any response is an error.
     """
     failed = F.col("error").isNotNull()
+    text = F.coalesce("response", F.lit(NO_RESPONSE))
+    answered = responses.select("id", "response", "error", F.lit(True).alias("_answered"))
     return (
         cases.select("id", "category")
-        .join(responses.select("id", "response", "error"), "id")
+        .join(answered, "id", "left")
+        .withColumn("error", F.when(F.col("_answered"), F.col("error")).otherwise(NOT_STORED))
         .select(
             "id",
             "category",
             F.when(failed, ERROR).otherwise(COMPLETED).alias("status"),
-            F.when(~failed, preview(F.col("response"), width)).alias("response_preview"),
+            F.when(~failed, preview(text, width)).alias("response_preview"),
             "error",
         )
     )

@@ -22,6 +22,6 @@ def formula_columns(df: DataFrame, formulas: dict[str, Column]) -> DataFrame:
         usable = (F.abs(value) < F.lit(float("inf"))) & value.isNotNull()
         result = F.when(usable, value)
         added[name] = result
-        added[f"{name}_integral"] = F.coalesce(result == F.floor(result), F.lit(False))
+        added[f"{name}_integral"] = F.coalesce((F.abs(result) >= float(2**53)) | (result == F.floor(result)), F.lit(False))
         added[f"{name}_status"] = F.when(usable, "success").otherwise("error")
     return computed.withColumns(added).drop(*raw.values())

@@ -42,7 +42,8 @@ def convert_units(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
 
     Unit names are compared in lower case; the pair must be in the table as it stands (no
     inverse, no same-unit pair). An unknown pair gives an ``error`` row that names the
-    supported units. Results are rounded to four places.
+    supported units, a result that is NaN or infinite is an ``error`` without them. Results are
+    rounded to four places.
     """
     table = conversion_table(df.sparkSession) if table is None else table
     known = table.select(
@@ -56,14 +57,16 @@ def convert_units(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     pair = (F.lower("from_unit") == F.col("_from")) & (F.lower("to_unit") == F.col("_to"))
     found = F.col("_from").isNotNull()
     value = (F.col("value") + F.col("pre")) * F.col("mul") / F.col("div") + F.col("post")
+    # Null stays a conversion without a result; NaN and infinity are none.
+    finite = F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(True))
     error = F.concat(F.lit("Unsupported conversion: "), "from_unit", F.lit(" -> "), "to_unit")
     return (
         df.join(broadcast_if_small(known, _SMALL_TABLE), pair, "left")
         .withColumns(
             {
-                "result": round_score(value),
-                "status": F.when(found, "success").otherwise("error"),
-                "error": F.when(~found, error),
+                "result": F.when(finite, round_score(value)),
+                "status": F.when(found & finite, "success").otherwise("error"),
+                "error": F.when(~found, error).when(~finite, F.lit("The result is not a finite number")),
                 "supported_units": F.when(~found, supported_units(table).scalar()),
             }
         )

@@ -496,7 +496,7 @@ def route_learned(spark, sf_dir):
 def parse_verdicts(spark, sf_dir):
     """Assistants state a verdict, users quote one without brackets, systems give none."""
     turns = table(spark, sf_dir, "conversations")
-    reason = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 40)
+    reason = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     text = (
         F.when(
             F.col("role") == "assistant",
@@ -561,7 +561,9 @@ def eval_outcomes(spark, sf_dir):
         ),
         F.when(F.col("o_orderstatus") == "P", F.lit("partly shipped")).alias("error"),
     )
-    return evaluation.eval_outcomes(_cases(spark, sf_dir), responses)
+    # Orders of the lowest priority are cases without a response.
+    answered = responses.where(orders["o_orderpriority"] != "5-LOW")
+    return evaluation.eval_outcomes(_cases(spark, sf_dir), answered)
 
 
 @query

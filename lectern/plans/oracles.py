@@ -5,6 +5,8 @@ Written from the meaning of each operator; nothing here is taken from the Spark
 
 from __future__ import annotations
 
+import math
+
 # The 29 white space code points, as a SQL expression.
 _WS = (
     "(SELECT string_agg(chr(c::INTEGER), '' ORDER BY c) FROM ("
@@ -250,7 +252,7 @@ WITH computed AS (
     sqrt(l_extendedprice) AS root, sin(l_quantity * pi() / 50) AS wave, cos(l_quantity * pi() / 50) AS swing,
     power(1 + l_discount, 10) AS grown, ln(l_extendedprice) / ln(10) AS scale,
     CASE WHEN l_quantity > 25 THEN ln(l_quantity - 25) END AS above,
-    CASE WHEN l_quantity <= 20 THEN factorial(least(l_quantity, 20)::INTEGER)::DOUBLE END AS orderings
+    ([{', '.join(repr(float(math.factorial(n))) + '::DOUBLE' for n in range(171))}])[l_quantity::INTEGER + 1] AS orderings
   FROM lineitem)
 SELECT l_orderkey, l_linenumber, {_round('charge')} AS charge, {_round('per_unit')} AS per_unit,
   {_round('per_off')} AS per_off, {_round('rest')} AS rest, {_round('root')} AS root, {_round('wave')} AS wave,
@@ -308,7 +310,7 @@ FROM own""",
 SELECT query_id, query, rag_hits, general_hits, label, confidence, reason FROM routed""",
     "parse_verdicts": """
 WITH told AS (
-  SELECT conv_id, turn, role, nullif(trim(substring(replace(text, chr(10), ' '), 1, 40)), '') AS reason
+  SELECT conv_id, turn, role, nullif(trim(replace(text, chr(10), ' ')), '') AS reason
   FROM conversations)
 SELECT conv_id, turn,
        CASE role WHEN 'assistant' THEN 'RAG' WHEN 'user' THEN 'GENERAL' END AS label,
@@ -336,10 +338,10 @@ LEFT JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r
 WHERE q.role = 'user'""",
     "eval_outcomes": """
 SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS category,
-       CASE o_orderstatus WHEN 'P' THEN 'error' ELSE 'completed' END AS status,
-       CASE WHEN o_orderstatus <> 'P'
+       CASE WHEN o_orderstatus = 'P' OR o_orderpriority = '5-LOW' THEN 'error' ELSE 'completed' END AS status,
+       CASE WHEN o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'
             THEN substring(repeat('order of customer ' || o_custkey || '; ', 12), 1, 200) END AS response_preview,
-       CASE WHEN o_orderstatus = 'P' THEN 'partly shipped' END AS error
+       CASE WHEN o_orderpriority = '5-LOW' THEN 'no response stored' WHEN o_orderstatus = 'P' THEN 'partly shipped' END AS error
 FROM orders""",
     "category_summary": f"""WITH {_OUTCOMES}
 SELECT category, count(*) FILTER (status = 'completed') AS completed, count(*) AS total,

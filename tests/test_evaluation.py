@@ -34,18 +34,19 @@ def test_outcomes_and_summaries(spark):
     responses += [("rag_2", None, "timeout"), ("tool_3", "half", "cut")]
     outcomes = eval_outcomes(cases, spark.createDataFrame(responses, "id string, response string, error string"))
     rows = {r["id"]: r for r in outcomes.collect()}
-    assert len(rows) == 9 and len(rows["rag_1"]["response_preview"]) == 200
+    assert rows["edge_2"]["error"] == "no response stored"
+    assert len(rows) == 10 and len(rows["rag_1"]["response_preview"]) == 200
     assert (rows["tool_3"]["status"], rows["tool_3"]["response_preview"]) == ("error", None)
     summary = [(r["category"], r["passed"], r["status"]) for r in category_summary(outcomes).collect()]
     assert summary == [
         ("calculator", "2/2", "PASS"),
-        ("general_knowledge", "1/1", "PASS"),
+        ("general_knowledge", "1/2", "FAIL"),
         ("hybrid", "1/1", "PASS"),
         ("rag", "3/4", "FAIL"),
         ("web_search", "0/1", "FAIL"),
     ]
-    assert tuple(overall_summary(cases, outcomes).first()) == (10, 7, 2)
-    assert {tuple(r) for r in failed_cases(outcomes).collect()} == {("rag_2", "timeout"), ("tool_3", "cut")}
+    assert tuple(overall_summary(cases, outcomes).first()) == (10, 7, 3)
+    assert {tuple(r) for r in failed_cases(outcomes).collect()} == {("rag_2", "timeout"), ("tool_3", "cut"), ("edge_2", "no response stored")}
 
 
 def test_failures_without_text(spark):

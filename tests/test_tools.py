@@ -26,6 +26,9 @@ def evaluate(spark, **formulas):
         (lambda: F.sqrt(F.lit(144)), 12),
         (lambda: logarithm(F.lit(100), 10), 2),
         (lambda: factorial(F.lit(10)), 3628800),
+        (lambda: factorial(F.lit(170)), float(math.factorial(170))),
+        (lambda: modulo(F.lit(1e20), F.lit(7.0)), float(10**20 % 7)),
+        (lambda: modulo(F.lit(-7.0), F.lit(3.0)), 2.0),
         (lambda: modulo(F.lit(7.0), F.lit(-3.0)), -2),
         (lambda: modulo(F.lit(-7.0), F.lit(3.0)), 2),
     ],
@@ -51,7 +54,7 @@ def test_formulas_with_fractions(spark):
         lambda: F.ln(F.lit(-1)),
         lambda: F.exp(F.lit(1000)),
         lambda: -F.exp(F.lit(1000)),
-        lambda: factorial(F.lit(21)),
+        lambda: factorial(F.lit(171)),
         lambda: factorial(F.lit(2.5)),
         lambda: F.lit(None).cast("double"),
     ],
@@ -203,3 +206,10 @@ def test_small_functions(spark):
     ).first()
     assert (got["name"], got["bare"], len(got["preview"])) == ("book.pdf", "book.pdf", 200)
     assert (got["half"], got["down"]) == (0.0001, -0.1234)
+
+
+def test_large_and_unfit_conversions(spark):
+    rows = [(1e16,), (float("nan"),), (float("inf"),)]
+    df = spark.createDataFrame(rows, "value double").selectExpr("value", "'km' AS from_unit", "'miles' AS to_unit")
+    got = [(r["result"], r["status"]) for r in convert_units(df).collect()]
+    assert got == [(1e16 * 0.621371, "success"), (None, "error"), (None, "error")]
