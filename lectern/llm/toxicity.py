@@ -45,6 +45,14 @@ def _keys(word: str) -> list[str]:
     return [word, *[f"{n}^{word[:n]}" for n in (4, 5, 6, 7) if len(word) >= n]]
 
 
+class _Shared(dict):
+    """One string object per word, as the sample holds each word many times."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = word
+        return word
+
+
 def _chains(tokens: list[str]) -> list[tuple[int, int]]:
     """Begin and end of each chain of words among ``tokens``."""
     out, begin = [], 0
@@ -129,8 +137,9 @@ def _fit_field(texts: list[list[str]], toxic: np.ndarray, rounds: int) -> dict:
     width = max(map(len, known.values()))
     row = {w: [*f, *[2**WEIGHT_BITS] * (width - len(f))] for w, f in known.items()}
     inside = place[mask]
-    features = np.array([row[tokens[i]] for i in inside])
+    features = np.fromiter((f for i in inside for f in row[tokens[i]]), np.int32, width * len(inside)).reshape(-1, width)
     truth = label[inside].astype(float)
+    del tokens, row, known
     bias, scale, steps = -3.0, np.full(2**WEIGHT_BITS + 1, 1e-6), np.full((2, 2), 1e-6)
     w = np.zeros(2**WEIGHT_BITS + 1)
     grid = np.zeros(place.shape)
@@ -139,11 +148,13 @@ def _fit_field(texts: list[list[str]], toxic: np.ndarray, rounds: int) -> dict:
     y[mask] = truth
     bias_scale = 1e-6
     for _ in range(rounds):
-        grid[mask] = w[features].sum(axis=1) + bias
+        grid[mask] = sum(w[features[:, k]] for k in range(width)) + bias
         x, back = _messages(grid, lengths, a)
         p = _sigmoid(x + back)
         error = truth - p[mask]
-        gradient = np.bincount(features.ravel(), np.repeat(error, width), minlength=len(w)) - 0.01 * w
+        gradient = -0.01 * w
+        for k in range(width):
+            gradient += np.bincount(features[:, k], error, minlength=len(w))
         gradient[-1] = 0
         scale += gradient**2
         w += 0.5 * gradient / np.sqrt(scale)
@@ -216,9 +227,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     picked = F.broadcast(stored(chosen[0].unionByName(chosen[1]), "picked"))  # 2 * sample rows at most
     rows = docs.join(picked, "id").where(F.length("text") > 0).dropDuplicates(["text"]).select("id", "text", "toxic").collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"]))
-    texts = [_TOKEN.findall(r["text"].lower()) for r in rows]
+    shared = _Shared()
+    texts = [list(map(shared.__getitem__, _TOKEN.findall(r["text"].lower()))) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], bool)
     first = np.arange(len(rows)) % 2 == 0
+    del rows
     model = _fit_field([x for x, f in zip(texts, first, strict=True) if f], toxic[first], rounds)
     rate = (count["k"] + 0.5) / (count["n"] + 1)
     rest = [x for x, f in zip(texts, first, strict=True) if not f]
