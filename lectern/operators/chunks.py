@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
-from lectern.operators.sizing import rows_within
+from lectern.operators.sizing import has_at_most
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -18,9 +18,6 @@ _WINDOWS_PER_SLICE = 64
 # Ids up to this many are broadcast (64 hex characters each, some 40 MB with overhead).
 _BROADCAST_IDS = 200_000
 
-# Sources up to this many are listed in a filter on the index.
-_LISTED_SOURCES = 1_000
-
 
 def _starts(text: str, last: Column | None, step: int) -> Column:
     end = F.length(text) - 1
@@ -71,36 +68,36 @@ def chunk_pages(
     ).where(F.length("content") > 0)
 
 
-def chunk_id(source: str = "source", page: str = "page_num", start: str = "start") -> Column:
-    """The same chunk always gets the same id, so runs can be repeated."""
-    return F.sha2(F.concat_ws("|", source, page, start), 256)
+def chunk_id(
+    source: str = "source", page: str = "page_num", start: str = "start", content: str = "content"
+) -> Column:
+    """The same text at the same place always gets the same id, so runs can be repeated; a revised
+    text gets another one. A missing part is marked, so that it is not taken for another part.
+    """
+    parts = [F.col(source), F.col(page), F.col(start), F.sha2(F.col(content), 256)]
+    marked = [F.coalesce(F.concat(F.lit("="), part.cast("string")), F.lit("~")) for part in parts]
+    return F.sha2(F.concat_ws("|", *marked), 256)
 
 
 def with_ids(chunks: DataFrame, deterministic: bool = True) -> DataFrame:
-    """Add ``id``: from the chunk's place, or a random one."""
+    """Add ``id``: from the chunk's place and text, or a random one."""
     return chunks.withColumn("id", chunk_id() if deterministic else F.expr("uuid()"))
 
 
 def new_chunks(chunks: DataFrame, stored: DataFrame, broadcast_ids: int = _BROADCAST_IDS) -> DataFrame:
-    """Chunks whose id (see ``chunk_id``) is not stored yet.
+    """Chunks whose id (see ``chunk_id``) is not stored yet, each id once.
 
     The index is usually far larger than what is added. If the new chunks are few (counted),
     their ids are broadcast to find those already stored in one pass over the index's ids; the
-    index is not shuffled. As an id is derived from its source, only chunks of the same sources
-    are read where the sources are few, which skips most files of an index that grew source by
-    source. Otherwise both sides are joined by id, which spreads evenly.
+    index is not shuffled. Otherwise both sides are joined by id, which spreads evenly. Both ways
+    compare the same ids.
     """
-    listed = rows_within(chunks.select("source"), broadcast_ids)
-    if listed is None:
-        return chunks.join(stored.select("id"), "id", "left_anti")
-    ids = chunks.select("id").distinct()
-    names = {row["source"] for row in listed}
-    if len(names) <= _LISTED_SOURCES:
-        same = F.col("source").isin(*sorted(names - {None}))
-        stored = stored.where(same | F.col("source").isNull() if None in names else same)
-    known = stored.select("id").join(F.broadcast(ids), "id", "left_semi")
+    once = chunks.dropDuplicates(["id"])
+    if not has_at_most(chunks.select("id"), broadcast_ids):
+        return once.join(stored.select("id"), "id", "left_anti")
+    known = stored.select("id").join(F.broadcast(chunks.select("id").distinct()), "id", "left_semi")
     # Distinct, so again no more rows than ids were broadcast.
-    return chunks.join(F.broadcast(known.distinct()), "id", "left_anti")
+    return once.join(F.broadcast(known.distinct()), "id", "left_anti")
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:

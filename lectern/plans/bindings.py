@@ -138,6 +138,20 @@ def new_chunks_(spark, sf_dir):
     return new_chunks(chunks(documents), chunks(earlier)).select("id", "source", "page_num", "start")
 
 
+@query
+def reindex(spark, sf_dir):
+    """Labelled documents were indexed earlier, the English ones as drafts; then all documents come
+    as they are now. Most pages have other numbers by then.
+    """
+    path = scratch_path(spark, "index")
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    draft = F.when(F.col("lang") == "en", F.concat(F.lit("Draft. "), "text")).otherwise(F.col("text"))
+    earlier = documents.join(labels, "doc_id", "left_semi").withColumn("text", draft)
+    build_index(read_pages(earlier, "source", "doc_id", "text"), path)
+    build_index(book_pages(spark, sf_dir), path, recreate=False)
+    return scan_index(spark, path).select("id", "source", "page_num", "start", "content")
+
+
 @query
 def index_stats_(spark, sf_dir):
     return index_stats(chunk_pages(book_pages(spark, sf_dir)))

@@ -10,7 +10,17 @@ from lectern.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_pages, new
 from lectern.operators.context import format_context
 from lectern.operators.embedding import hash_embed
 from lectern.operators.search import TOP_K, search_batch
-from lectern.sources.index import Written, create_index, ensure_index, scan_index, write_index
+from lectern.session import scratch_table
+from lectern.sources.index import (
+    Written,
+    append_chunks,
+    create_index,
+    ensure_index,
+    replace_stale,
+    scan_index,
+    stored_rows,
+    write_index,
+)
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -33,13 +43,35 @@ def build_index(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> Written:
-    """Store the chunks of ``pages``: anew, or adding those the index does not have yet."""
+    """Store the chunks of ``pages``: anew, or bringing the sources among them up to date."""
     if recreate:
         return write_index(index_rows(pages, embed, size, overlap), path)
+    return update_index(pages, path, embed, size, overlap)
+
+
+def update_index(
+    pages: DataFrame,
+    path: str,
+    embed: Embedder = hash_embed,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    given: tuple[str, ...] = ("source",),
+) -> Written:
+    """Let the index hold exactly the chunks of ``pages`` for all that ``given`` names among them.
+
+    By default ``pages`` are whole sources: of these, the index then holds what a fresh one would,
+    whatever was inserted, revised or taken out. With ``given=("source", "page_num")`` they are single
+    pages, and other pages of the same source stay. Chunks that are stored already are not embedded
+    again. New rows are written before old ones are marked as replaced, so that an update that was
+    broken off is put right by running it again.
+    """
     spark = pages.sparkSession
     create_index(spark, path)
-    fresh = new_chunks(with_ids(chunk_pages(pages, size, overlap)), scan_index(spark, path))
-    return write_index(embed(fresh), path, mode="append")
+    before = stored_rows(spark, path).count()
+    with scratch_table(with_ids(chunk_pages(pages, size, overlap)), "chunks") as chunks:
+        append_chunks(embed(new_chunks(chunks, stored_rows(spark, path))), path)
+        back = replace_stale(spark, path, pages.select(*given), chunks.select("id"))
+    return Written(stored_rows(spark, path).count() - before + back, scan_index(spark, path).count())
 
 
 def answer(

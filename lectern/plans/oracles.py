@@ -29,7 +29,8 @@ windows AS (
 chunks AS (
   SELECT source, page_num, doc_id, start::INTEGER AS start,
          trim(substring(page, start + 1, 1000), ws) AS content,
-         sha256(concat_ws('|', source, page_num, start)) AS id
+         sha256(concat_ws('|', coalesce('=' || source, '~'), coalesce('=' || page_num, '~'), '=' || start,
+                          '=' || sha256(trim(substring(page, start + 1, 1000), ws)))) AS id
   FROM windows, ws
   WHERE length(trim(substring(page, start + 1, 1000), ws)) > 0)"""
 
@@ -185,6 +186,7 @@ ORACLES: dict[str, str] = {
 SELECT sha256(text) AS id, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(*) > 1""",
     "bad_dimension": """
 SELECT vec_id AS id, CASE label WHEN 1 THEN 63 END::INTEGER AS width FROM embeddings WHERE label IN (1, 2)""",
+    "reindex": f"WITH {_CHUNKS} SELECT id, source, page_num, start, content FROM chunks",
     "new_chunks": f"""WITH {_CHUNKS}
 SELECT id, source, page_num, start FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "index_stats": f"""WITH {_CHUNKS}

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import scratch_table
+
+_LOG = "_replaced/ids"
+_LOG_SCHEMA = "id string, gone boolean, at bigint"
+
 INDEX_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -38,30 +45,94 @@ def clear_index(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], INDEX_SCHEMA).write.mode("overwrite").parquet(path)
 
 
-def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """All stored chunks. Columns that are not used are never read."""
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the table, those that were replaced included."""
     return spark.read.schema(INDEX_SCHEMA).parquet(path)
 
 
+def _replacements(spark: SparkSession, path: str) -> DataFrame | None:
+    """The log of ids that were replaced or came back, None as long as there is none.
+
+    It lies in the index's own folder under a name that scans skip, and is only ever appended to.
+    """
+    try:
+        return spark.read.schema(_LOG_SCHEMA).parquet(f"{path.rstrip('/')}/{_LOG}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _replaced(log: DataFrame) -> DataFrame:
+    """Ids whose last entry says that they are gone."""
+    return log.groupBy("id").agg(F.max_by("gone", "at").alias("gone")).where("gone").select("id")
+
+
+def scan_index(spark: SparkSession, path: str) -> DataFrame:
+    """All chunks that count. Columns that are not used are never read.
+
+    An index of which nothing was ever replaced is a plain scan; otherwise the replaced ids, a
+    narrow table, are taken out by an anti join.
+    """
+    rows, log = stored_rows(spark, path), _replacements(spark, path)
+    return rows if log is None else rows.join(_replaced(log), "id", "left_anti")
+
+
 def index_count(spark: SparkSession, path: str) -> int:
-    """Number of stored chunks, from the file footers; a missing table counts as empty."""
+    """Number of chunks that count; a missing table counts as empty.
+
+    Taken from the file footers unless something was replaced.
+    """
     create_index(spark, path)
     return scan_index(spark, path).count()
 
 
-def append_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
-    """Write ``chunks`` (columns of the schema, in any order) without counting anything."""
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX_SCHEMA]
-    chunks.select(*columns).write.mode(mode).parquet(path)
-
-
-def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> Written:
-    """Store ``chunks`` and count the table before and after, from the file footers."""
+def replace_stale(spark: SparkSession, path: str, given: DataFrame, ids: DataFrame) -> int:
+    """Of the places in ``given`` (columns of the index), let only the chunks in ``ids`` count.
+
+    Other chunks stored for these places are logged as gone, and stored ones in ``ids`` that were
+    gone come back. Nothing is rewritten. Returns how many came back.
+    """
+    log = _replacements(spark, path)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given.columns])
+    places = given.distinct().select(*[F.col(c).alias(f"_{c}") for c in given.columns])
+    stale = scan_index(spark, path).select("id", *given.columns).join(places, same, "left_semi")
+    entries = stale.join(ids, "id", "left_anti").select("id", F.lit(True).alias("gone"))
+    at = 0
+    if log is not None:
+        back = _replaced(log).join(ids, "id", "left_semi")
+        entries = entries.unionByName(back.select("id", F.lit(False).alias("gone")))
+        at = log.agg(F.max("at")).first()[0] + 1
+    with scratch_table(entries.distinct(), "entries") as entries:
+        counts = entries.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("gone")).alias("back")).first()
+        if counts["n"]:
+            entries.withColumn("at", F.lit(at).cast("long")).write.mode("append").parquet(f"{path.rstrip('/')}/{_LOG}")
+    return counts["back"]
+
+
+def append_chunks(chunks: DataFrame, path: str, mode: str = "append", dim: int | None = None) -> None:
+    """Write ``chunks`` (columns of the schema, in any order) without counting anything.
+
+    With ``dim``, a vector that is missing or of another width fails the write.
+    """
+    columns = {f.name: F.col(f.name).cast(f.dataType) for f in INDEX_SCHEMA}
+    if dim is not None:
+        unfit = F.raise_error(F.lit(f"a vector is missing or not {dim} wide"))
+        fits = F.coalesce(F.size("embedding") == dim, F.lit(False))
+        columns["embedding"] = F.when(fits, columns["embedding"]).otherwise(unfit.cast(INDEX_SCHEMA["embedding"].dataType))
+    chunks.select(*[column.alias(name) for name, column in columns.items()]).write.mode(mode).parquet(path)
+
+
+def write_index(chunks: DataFrame, path: str, mode: str = "overwrite", dim: int | None = None) -> Written:
+    """Store ``chunks`` and count the table before and after.
+
+    All vectors must be ``dim`` wide if that is given; the write fails otherwise and adds nothing.
+    """
     if mode not in ("overwrite", "append"):
         raise ValueError("mode is 'overwrite' or 'append'")
     spark = chunks.sparkSession
     before = index_count(spark, path) if mode == "append" else 0
-    append_chunks(chunks, path, mode)
+    append_chunks(chunks, path, mode, dim)
     total = scan_index(spark, path).count()
     return Written(total - before, total)
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_pages, new_chunks, with_ids
-from lectern.sources.index import append_chunks, create_index, scan_index
+from lectern.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE
+from lectern.plans.knowledge import update_index
+from lectern.sources.index import create_index
 
 
 def stream_index(
@@ -19,22 +20,21 @@ def stream_index(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> StreamingQuery:
-    """Append the chunks of newly arrived pages to the index at ``path`` and stop when the
-    stream is worked off.
+    """Bring the index at ``path`` up to date with newly arrived pages and stop when the stream is
+    worked off.
 
     ``pages`` is a streaming ``(source, page_num, content)``; page numbers must come with the
     data. Chunks already stored are dropped by id before they are embedded, so a batch that is
-    repeated after a failure adds nothing; only the ids stored for the sources of the batch are
-    read for that. ``checkpoint`` must be on shared storage.
+    repeated after a failure adds nothing. A page that arrives again in a later batch replaces its
+    stored chunks; of two texts of a page in one batch both are kept. ``checkpoint`` must be on
+    shared storage.
     """
     create_index(pages.sparkSession, path)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        # The batch is looked at several times; without this the source would be, too.
+        # The batch is looked at twice; without this the source would be, too.
         batch.persist()
-        stored = scan_index(batch.sparkSession, path)
-        fresh = new_chunks(with_ids(chunk_pages(batch, size, overlap)), stored)
-        append_chunks(embed(fresh), path)
+        update_index(batch, path, embed, size, overlap, given=("source", "page_num"))
         batch.unpersist()
 
     return (

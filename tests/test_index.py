@@ -2,7 +2,7 @@ import pytest
 
 from lectern import session
 from lectern.operators.embedding import hash_embed
-from lectern.plans.knowledge import answer, build_index, index_rows
+from lectern.plans.knowledge import answer, build_index, index_rows, update_index
 from lectern.sources.index import (
     INDEX_SCHEMA,
     check_dimension,
@@ -55,6 +55,45 @@ def test_indexing_again_adds_only_what_is_new(spark, tmp_path, pages):
     assert check_unique(scan_index(spark, path)).count() == 0
 
 
+def contents(spark, path):
+    return sorted((r["source"], r["page_num"], r["content"]) for r in scan_index(spark, path).collect())
+
+
+def test_updates_replace_insert_remove_and_bring_back(spark, tmp_path):
+    path = str(tmp_path / "index")
+
+    def book(*texts, source="book"):
+        return spark.createDataFrame([(source, i + 1, t) for i, t in enumerate(texts)], PAGE)
+
+    build_index(book("one", "three").unionByName(book("kept", source="other")), path, small)
+    assert build_index(book("one", "two", "three"), path, small, recreate=False) == (2, 4)
+    now = [("book", 1, "one"), ("book", 2, "two"), ("book", 3, "three"), ("other", 1, "kept")]
+    assert contents(spark, path) == now
+    # Back to what was there before: no row is stored twice.
+    assert build_index(book("one", "three"), path, small, recreate=False) == (1, 3)
+    assert contents(spark, path) == [("book", 1, "one"), ("book", 2, "three"), ("other", 1, "kept")]
+    # A page without text loses its chunks; rows that come twice are stored once.
+    assert build_index(book("", "new").union(book("", "new")), path, small, recreate=False) == (1, 2)
+    assert contents(spark, path) == [("book", 2, "new"), ("other", 1, "kept")]
+    assert check_unique(scan_index(spark, path)).count() == 0
+    # Single pages leave the rest of their source alone.
+    one = spark.createDataFrame([(None, 1, "none"), ("book", 9, "nine")], PAGE)
+    update_index(one, path, small, given=("source", "page_num"))
+    update_index(one.replace("none", "other none", "content"), path, small, given=("source", "page_num"))
+    found = {(r["source"], r["page_num"], r["content"]) for r in scan_index(spark, path).collect()}
+    assert found == {("book", 2, "new"), ("book", 9, "nine"), ("other", 1, "kept"), (None, 1, "other none")}
+    clear_index(spark, path)
+    assert index_count(spark, path) == 0
+
+
+def test_writes_of_another_width_fail_and_add_nothing(spark, tmp_path, pages):
+    path = str(tmp_path / "index")
+    write_index(index_rows(pages, small), path, dim=32)
+    with pytest.raises(Exception, match="not 32 wide"):
+        write_index(index_rows(pages, lambda df: hash_embed(df, 16)), path, "append", dim=32)
+    assert index_count(spark, path) == 4
+
+
 def test_ensure_builds_once(spark, tmp_path, pages):
     path, built = str(tmp_path / "index"), []
 
