@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.numbering import ROWS_PER_RANGE, number_rows
+
 
 def session_history(turns: DataFrame, last_n: int = 5) -> DataFrame:
     """``(conv_id, n_turns, history)``: the last turns of each conversation, oldest first, as
@@ -29,26 +31,45 @@ def session_history(turns: DataFrame, last_n: int = 5) -> DataFrame:
     )
 
 
-def turn_pairs(turns: DataFrame, asking: str = "user", replying: str = "assistant") -> DataFrame:
-    """``(conv_id, turn, question, reply)``: each question with the reply in the next turn,
-    null if there is none.
+def turn_pairs(
+    turns: DataFrame,
+    asking: str = "user",
+    replying: str = "assistant",
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """``(conv_id, turn, question, reply)``: each question with the reply that comes next among the
+    turns of the two roles, null if another question or nothing comes next.
 
-    Turns are numbered consecutively in a conversation. A reply is filed under the turn
-    before it, so one grouping by conversation and turn brings the two together; no
-    conversation is gathered in one place. Rows are dealt out first because at most two of
-    them meet: aggregating before the shuffle would only sort the texts once more.
+    Turns may have gaps and other roles between; at equal turns questions come first, then texts in
+    order. Up to ``rows_per_range`` turns are paired in one pass over the ordered conversations.
+    Beyond that, long conversations are numbered in ranges and a reply is filed under the number
+    before its own, so that no conversation is gathered in one place. Both give the same rows.
     """
-    asks = F.col("role") == asking
+    spoken = turns.where(F.col("role").isin(asking, replying)).select(
+        "conv_id", "turn", (F.col("role") == replying).alias("_replies"), "text"
+    )
+    asks = ~F.col("_replies")
+    order = ["turn", "_replies", "text"]
+    if spoken.count() <= rows_per_range:
+        following = Window.partitionBy("conv_id").orderBy(*order)
+        reply = F.when(F.lead("_replies").over(following), F.lead("text").over(following))
+        return (
+            spoken.withColumn("reply", reply)
+            .where(asks & F.col("text").isNotNull())
+            .select("conv_id", "turn", F.col("text").alias("question"), "reply")
+        )
     return (
-        turns.where(F.col("role").isin(asking, replying))
+        number_rows(spoken, "conv_id", order, "_place", rows_per_range)
         .select(
             "conv_id",
-            F.when(asks, F.col("turn")).otherwise(F.col("turn") - 1).alias("turn"),
+            F.when(asks, F.col("_place")).otherwise(F.col("_place") - 1).alias("_place"),
+            F.when(asks, F.col("turn")).alias("turn"),
             F.when(asks, F.col("text")).alias("question"),
             F.when(~asks, F.col("text")).alias("reply"),
         )
-        .repartition("conv_id", "turn")
-        .groupBy("conv_id", "turn")
-        .agg(F.max("question").alias("question"), F.max("reply").alias("reply"))
+        .repartition("conv_id", "_place")
+        .groupBy("conv_id", "_place")
+        .agg(F.max("turn").alias("turn"), F.max("question").alias("question"), F.max("reply").alias("reply"))
         .where(F.col("question").isNotNull())
+        .drop("_place")
     )

@@ -120,3 +120,19 @@ def test_pairs(spark):
     plan = plan_of(pairs)
     # One shuffle (the other is the fixture's own), one sort.
     assert plan.count("Exchange") == 2 and plan.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("rows_per_range", [1000, 2])
+def test_pairs_over_gaps_other_roles_and_doubled_turns(spark, rows_per_range):
+    rows = [
+        (1, 10, "user", "q1"), (1, 15, "system", "note"), (1, 20, "assistant", "r1"),
+        (2, 1, "user", "q"), (2, 1, "assistant", "r"), (2, 1, "assistant", "s"),
+        (3, 1, "user", "a"), (3, 3, "user", "b"), (3, 9, "assistant", None),
+        (4, 1, "assistant", "greeting"), (4, 2, "user", "c"),
+        (None, 1, "user", "x"), (None, 2, "assistant", "y"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    pairs = turn_pairs(df, rows_per_range=rows_per_range)
+    assert {tuple(r) for r in pairs.select("conv_id", "turn", "question", "reply").collect()} == {
+        (1, 10, "q1", "r1"), (2, 1, "q", "r"), (3, 1, "a", None), (3, 3, "b", None), (4, 2, "c", None), (None, 1, "x", "y"),
+    }
