@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import preview
+from lectern.session import scratch_path
 
 CASE_SCHEMA = (
     "id string, query string, expected_agent string, expected_tool string, "
@@ -202,7 +203,7 @@ def confusion_table(accuracy: DataFrame, agents: list[str]) -> DataFrame:
     return accuracy.groupBy("expected_agent").pivot("agent", agents).agg(F.sum("n_cases")).fillna(0, agents)
 
 
-def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int = 8) -> DataFrame:
+def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int | None = None) -> DataFrame:
     """``(response_id, context)``: the first non-empty search result of each run, null if none.
 
     ``nodes`` holds the run trees flat: ``response_id, node_id, parent_id, position, kind,
@@ -212,11 +213,15 @@ def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int
     members one after the other with everything below them, then its messages. Only the first
     message of the tool counts for a run; empty results are passed over.
 
-    The first result of each run climbs to the root, one join per level, and notes its way;
-    the smallest way wins. Texts stay behind and are fetched for the winners. A run nested
-    more than ``max_depth`` deep is an error.
+    The first result of each run climbs to the root, one join per level, and notes its way; of those
+    that meet in a run only the least way goes on. The climb ends when nothing is nested any more.
+    Texts stay behind and are fetched for the winners. With ``max_depth``, a run nested deeper is an
+    error; runs that lie within each other in a circle always are. If there is a column ``role``, messages
+    of other roles than ``tool`` do not count.
     """
     named = nodes.where(F.col("name") == tool)
+    if "role" in nodes.columns:
+        named = named.where((F.col("kind") != "message") | (F.col("role") == "tool"))
     filled = F.coalesce(F.length("content") > 0, F.lit(False))
     at = F.col("position").cast("long")
 
@@ -245,20 +250,31 @@ def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int
     found = first_of_run("tool", 1).unionByName(first_of_run("message", 3))
     inside = (F.col("response_id") == F.col("_response")) & (F.col("run") == F.col("_member"))
     nested = F.col("_parent").isNotNull()
-    for _ in range(max_depth):
-        found = found.join(members, inside, "left").select(
-            "response_id",
-            F.when(nested, F.col("_parent")).otherwise(F.col("run")).alias("run"),
-            F.when(nested, F.concat(F.array("_step"), F.col("way"))).otherwise(F.col("way")).alias("way"),
-            "node_id",
+    spark = nodes.sparkSession
+    most = members.count() if max_depth is None else max_depth
+    for _ in range(most + 1):
+        level = (
+            found.join(members, inside, "left")
+            .select(
+                "response_id",
+                F.when(nested, F.col("_parent")).otherwise(F.col("run")).alias("run"),
+                F.when(nested, F.concat(F.array("_step"), F.col("way"))).otherwise(F.col("way")).alias("way"),
+                "node_id",
+                nested.alias("climbed"),
+            )
+            .groupBy("response_id", "run")
+            .agg(F.min(F.struct("way", "node_id")).alias("first"), F.max("climbed").alias("climbed"))
+            .select("response_id", "run", "first.*", "climbed")
         )
-    too_deep = F.raise_error(F.lit(f"a run is nested more than {max_depth} deep"))
-    way = F.when(nested, too_deep.cast(found.schema["way"].dataType)).otherwise(F.col("way"))
-    first = (
-        found.join(members, inside, "left")
-        .groupBy("response_id")
-        .agg(F.min_by("node_id", way).alias("node_id"))
-    )
+        path = scratch_path(spark, "level")
+        level.write.parquet(path)
+        found = spark.read.schema(level.schema).parquet(path)
+        if found.where("climbed").isEmpty():
+            break
+        found = found.drop("climbed")
+    else:
+        raise ValueError(f"a run is nested more than {most} deep")
+    first = found.groupBy("response_id").agg(F.min_by("node_id", "way").alias("node_id"))
     texts = named.where(filled).select("response_id", "node_id", F.col("content").alias("context"))
     return (
         nodes.where(F.col("kind") == "run")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators.context import NO_CONTEXT, format_context
 from lectern.operators.evaluation import (
@@ -140,3 +141,18 @@ def test_runs_nested_too_deep_are_an_error(spark):
     assert retrieved_context(df, max_depth=3).first()["context"] == "x"
     with pytest.raises(Exception, match="nested more than 2 deep"):
         retrieved_context(df, max_depth=2).collect()
+
+
+def test_runs_of_any_depth_and_roles(spark):
+    inner = [f"m{i}" for i in range(12)]
+    nodes = [run(1), *[member(1, child, parent, 0) for parent, child in zip(["root", *inner], inner)]]
+    nodes += [tool(1, inner[-1], 0, "deep")]
+    nodes += [run(2), message(2, "root", 0, "asked"), message(2, "root", 1, "found")]
+    df = spark.createDataFrame(nodes, NODE)
+    assert {r["response_id"]: r["context"] for r in retrieved_context(df).collect()} == {1: "deep", 2: "asked"}
+    role = F.when(F.col("content") == "asked", "user").otherwise("tool")
+    got = retrieved_context(df.withColumn("role", role)).collect()
+    assert {r["response_id"]: r["context"] for r in got} == {1: "deep", 2: "found"}
+    circle = [run(1), member(1, "a", "b", 0), member(1, "b", "a", 0), tool(1, "a", 0, "x")]
+    with pytest.raises(ValueError, match="nested"):
+        retrieved_context(spark.createDataFrame(circle, NODE))
