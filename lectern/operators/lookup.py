@@ -30,11 +30,13 @@ def keyword_lookup(
     ``priority`` whose key is part of the query in lower case; nulls where there is none.
 
     By default a key also matches inside a longer word; ``word=True`` asks for whole words.
-    ``query_id`` must be unique.
+    ``query_id`` must be unique, and so must ``priority`` and ``key`` together; of keys with the same
+    priority the least counts.
     """
     if max_results < 0:
         raise ValueError("max_results must not be negative")
     capped = table.withColumn("results", F.slice("results", 1, max_results))
+    same = F.col("key") == F.col("_key")
     entries = rows_within(table.select("priority", "key"), inline_keys)
     if entries is None:
         hits = key_hits(
@@ -42,27 +44,31 @@ def keyword_lookup(
             table.select("priority", "key"),
             word,
         )
-        first = hits.groupBy(F.col("text_id").alias("query_id")).agg(F.min("priority").alias("priority"))
+        first = hits.groupBy(F.col("text_id").alias("query_id")).agg(F.min(F.struct("priority", "key")).alias("first"))
         # Queries without an entry get keys of their own, spread evenly, where a null would
         # bring them all to one task.
         unlike = F.lit(-(2**40)) - F.pmod(F.xxhash64("query_id"), F.lit(2**20))
-        entry = F.coalesce(F.col("priority").cast("long"), unlike)
+        entry = F.coalesce(F.col("first.priority").cast("long"), unlike)
         table_side = capped.withColumn("entry", F.col("priority").cast("long")).drop("priority")
         return (
             queries.select("query_id", "query")
             .join(first, "query_id", "left")
-            .select("query_id", "query", entry.alias("entry"))
-            .join(broadcast_if_small(table_side, BROADCAST_KEYS), "entry", "left")
+            .select("query_id", "query", entry.alias("_entry"), F.col("first.key").alias("_key"))
+            .join(broadcast_if_small(table_side, BROADCAST_KEYS), same & (F.col("entry") == F.col("_entry")), "left")
             .select("query_id", "query", "key", "answer", "results")
         )
     lowered = F.lower("query")
-    ordered = sorted(entries, key=lambda e: e["priority"])
-    tests = [F.when(occurs(lowered, e["key"], word), e["priority"]) for e in ordered]
-    priority = F.coalesce(*tests) if tests else F.lit(None).cast("int")
+    ordered = sorted(entries, key=lambda e: (e["priority"], e["key"] or ""))
+    number = table.schema["priority"].dataType
+    place = [F.struct(F.lit(e["priority"]).cast(number).alias("_priority"), F.lit(e["key"]).alias("_key")) for e in ordered]
+    tests = [F.when(occurs(lowered, e["key"], word), at) for e, at in zip(ordered, place, strict=True)]
+    none = F.struct(F.lit(None).cast(number).alias("_priority"), F.lit(None).cast("string").alias("_key"))
+    first = F.coalesce(*tests) if tests else none
     return (
-        queries.select("query_id", "query", priority.alias("priority"))
+        queries.select("query_id", "query", first.alias("first"))
+        .select("query_id", "query", "first.*")
         # No more than inline_keys rows.
-        .join(F.broadcast(capped), "priority", "left")
+        .join(F.broadcast(capped), same & (F.col("priority") == F.col("_priority")), "left")
         .select("query_id", "query", "key", "answer", "results")
     )
 

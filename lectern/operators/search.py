@@ -120,17 +120,18 @@ def search(
 ) -> DataFrame:
     """The ``k`` chunks most similar to ``vector``: all columns but the embedding, ``score``.
 
-    Rows with an undefined score come last, equal scores are ordered by ``key``. Only the
-    embeddings visit Python, a batch at a time, and each task keeps only its ``k`` best rows.
+    Rows with an undefined score come last, equal scores are ordered by ``key``, which must be unique.
+    Only keys and embeddings are read for the scores, and each task keeps only its ``k`` best; the
+    other columns are fetched for these.
     """
     similarity = F.arrow_udf(_similarity([float(x) for x in vector]), T.DoubleType())
     kept = [c for c in chunks.columns if c != "embedding"]
-    return (
-        chunks.select(*kept, similarity(F.col("embedding")).alias("score"))
-        .orderBy(F.desc_nulls_last("score"), key)
-        .limit(k)
-        .withColumn("score", round_score(F.col("score")))
-    )
+    order = [F.desc_nulls_last("score"), key]
+    best = chunks.select(key, similarity(F.col("embedding")).alias("score")).orderBy(*order).limit(k)
+    if kept != [key]:
+        # No more than k rows.
+        best = chunks.select(*kept).join(F.broadcast(best), key).select(*kept, "score").orderBy(*order).limit(k)
+    return best.withColumn("score", round_score(F.col("score")))
 
 
 class _Best:
@@ -289,16 +290,20 @@ def _in_cells(queries: DataFrame, chunks: DataFrame, dim: int, k: int) -> DataFr
 
 
 def _width(queries: DataFrame) -> int:
-    """Width of the first vector; 1, which then fits none, where there is no vector at all."""
-    first = queries.select(F.size("embedding").alias("width")).where("width > 0").first()
-    return 1 if first is None else first["width"]
+    """The width all query vectors share; 1, which then fits none, where there is no vector at all."""
+    width = F.when(F.size("embedding") > 0, F.size("embedding"))
+    least, most = queries.agg(F.min(width), F.max(width)).first()
+    if least != most:
+        raise ValueError(f"query vectors are {least} to {most} wide; with dim, those of another width are left out")
+    return 1 if least is None else least
 
 
 def _best_hits(
     queries: DataFrame, chunks: DataFrame, k: int, dim: int, query_bytes: int, cell_rows: int
 ) -> tuple[DataFrame, int]:
     """The k best of every query in every part of the chunks, and the number of queries."""
-    query = queries.select("query_id", F.col("embedding").alias("query"))
+    # Vectors of another width find nothing, and would make the weight of the collected ones unknown.
+    query = queries.where(F.size("embedding") == dim).select("query_id", F.col("embedding").alias("query"))
     rows = chunks.select("id", "embedding")
     per_slab = max(1, query_bytes // (8 * dim))
     if has_at_most(query, per_slab):
@@ -440,8 +445,8 @@ def search_batch(
 
     ``queries`` has ``query_id, embedding``; ``chunks`` has ``id, embedding`` and any further
     columns. Gives ``query_id, rank, id``, the further columns and ``score``. Vectors that are
-    not ``dim`` wide (the first query's width) are left out; ``sources.index.check_dimension``
-    names them.
+    not ``dim`` wide are left out; ``sources.index.check_dimension`` names them. Without ``dim``, all
+    query vectors must have one width.
 
     Up to ``query_bytes`` of query vectors are broadcast and the chunks are read in place;
     a larger query table is split along with the chunks. Embeddings are dropped before the

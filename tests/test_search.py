@@ -186,3 +186,23 @@ def test_surplus_copies_keep_the_lowest_ids():
     matrix = np.array([[1, 0]] * 5 + [[0, 0]] * 4 + [[0.5, 0.5]], dtype=np.float32)
     ids, kept = best._without_surplus_copies(pa.array(list("abcdefghij")), matrix)
     assert ids.to_pylist() == ["a", "b", "f", "g", "j"] and len(kept) == 5
+
+
+def test_queries_of_several_widths_are_refused_in_any_order(spark):
+    rows = [(1, [1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None)]
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embedding array<float>")
+    for order in (rows, rows[::-1]):
+        queries = spark.createDataFrame(order, "query_id int, embedding array<float>")
+        with pytest.raises(ValueError, match="1 to 2 wide"):
+            search_batch(queries, chunks)
+        assert search_batch(queries, chunks, k=2, dim=2).count() == 4
+
+
+def test_texts_are_read_for_the_best_rows_only(spark, tmp_path):
+    rows = [(str(i), f"text {i}", [float(i), 1.0]) for i in range(9)]
+    spark.createDataFrame(rows, "id string, content string, embedding array<float>").write.parquet(str(tmp_path / "i"))
+    found = search(spark.read.parquet(str(tmp_path / "i")), [1.0, 0.0], k=2)
+    assert [(r["id"], r["content"]) for r in found.collect()] == [("8", "text 8"), ("7", "text 7")]
+    plan = plan_of(found)
+    assert "ReadSchema: struct<id:string,content:string>" in plan
+    assert "ReadSchema: struct<id:string,embedding:array<float>>" in plan

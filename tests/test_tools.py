@@ -213,3 +213,14 @@ def test_large_and_unfit_conversions(spark):
     df = spark.createDataFrame(rows, "value double").selectExpr("value", "'km' AS from_unit", "'miles' AS to_unit")
     got = [(r["result"], r["status"]) for r in convert_units(df).collect()]
     assert got == [(1e16 * 0.621371, "success"), (None, "error"), (None, "error")]
+
+
+@pytest.mark.parametrize("inline_keys", [64, 0])
+def test_entries_of_equal_priority_give_one_row(spark, inline_keys):
+    table = spark.createDataFrame(
+        [(1, "red", "R", []), (1, "ring", "S", []), (2, "blue", "B", [])], LOOKUP_SCHEMA
+    )
+    queries = spark.createDataFrame([(1, "red ring"), (2, "a ring"), (3, "none")], "query_id int, query string")
+    got = keyword_lookup(queries, table, inline_keys=inline_keys).collect()
+    assert sorted((r["query_id"], r["key"], r["answer"]) for r in got if r["key"]) == [(1, "red", "R"), (2, "ring", "S")]
+    assert len(got) == 3
