@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.tasks import Spans, WordHashes, key_filter, mixed, passes, stored, text_slices, texts_of
+from lectern.llm.tasks import Spans, WordHashes, free_name, key_filter, mixed, passes, stored, text_slices, texts_of
 
 MIN_WORDS = 5
 
@@ -213,10 +213,11 @@ def cut_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words
     with the names of the three added ones are replaced.
     """
     gone = removed_lines(docs, id, text, min_words).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    gone = stored(gone, "gone").withColumnRenamed("doc_id", "_doc")
+    key, dead_lines = free_name(docs, "_doc"), free_name(docs, "_gone")
+    gone = stored(gone, "gone").toDF(key, dead_lines)
     # Always by sort and merge, so that the cost grows evenly with the input.
-    joined = docs.drop("n_lines", "n_removed", "kept_sha256").join(gone.hint("merge"), F.col(id).cast("bigint") == F.col("_doc"), "left").drop("_doc")
-    columns = [c for c in joined.columns if c != "_gone"]
+    joined = docs.drop("n_lines", "n_removed", "kept_sha256").join(gone.hint("merge"), F.col(id).cast("bigint") == F.col(key), "left").drop(key)
+    columns = [c for c in joined.columns if c != dead_lines]
     at = columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(columns).schema.fields)
 

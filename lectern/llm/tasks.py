@@ -48,6 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(key: Column) -> Column:
     """crc32 of the key as text, modulo 4; remainder 2 is held out from learning."""
     return F.crc32(key.cast("string").cast("binary")) % 4

@@ -72,3 +72,30 @@ def test_pipeline_keeps_clean_documents(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0.8 * docs.count() < got.count() <= docs.count()
+
+
+def test_pipeline_odd_rows(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    given = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    clean = [r for r in base.where("lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    text = " ".join(f"{a} {b}" for a, b in zip(clean[0]["text"].split()[:60], clean[1]["text"].split()[:60]))
+    odd = [(900_001, text), (900_001, text), (None, text), (None, None), (900_002, None), (900_003, "")]
+    rows = spark.createDataFrame(odd, "doc_id long, text string").selectExpr(
+        *[c if c in ("doc_id", "text") else f"CAST(NULL AS {t}) AS {c}" for c, t in given.items()]
+    )
+    docs = base.unionByName(rows)
+    for name in ("_key", "_key_", "_doc", "_gone", "fp", "rejected", "component_id", "h", "id", "shard"):
+        docs = docs.selectExpr("*", f"'x' AS {name}")
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.where("doc_id IS NULL OR doc_id > 900000").collect()} == {None, 900_001}
+    kept = corpus_pipeline.without_repeated_lines(spark, kept, SF)
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, SF)
+    found = kept.where("doc_id IS NULL OR doc_id > 900000").collect()
+    # One of three copies, and what has no fingerprint.
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in found) == [(0, ""), (900_001, text), (900_002, ""), (900_003, "")]
+    phrase = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    dirty = docs.limit(1).selectExpr(*[f"'{phrase}' AS text" if c == "text" else "CAST(NULL AS BIGINT) AS doc_id" if c == "doc_id" else c for c in docs.columns])
+    assert corpus_pipeline.uncontaminated(spark, dirty, SF).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
