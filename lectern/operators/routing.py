@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,30 +68,65 @@ def route_queries(
     )
 
 
-def train_router(labelled: DataFrame, features: int = 1 << 14, iterations: int = 20) -> PipelineModel:
-    """A classifier for queries learned from ``query, label`` (label 1 for RAG, 0 for GENERAL)."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="query", outputCol="_tokens", pattern=r"[\p{L}\p{N}]+", gaps=False),
-            HashingTF(inputCol="_tokens", outputCol="_features", numFeatures=features),
-            LogisticRegression(
-                featuresCol="_features", labelCol="label", maxIter=iterations, regParam=0.01
-            ),
-        ]
-    ).fit(labelled.select("query", F.col("label").cast("double").alias("label")))
+# Tokens are counted in this many buckets of their hash, so a model has a fixed size.
+TOKEN_BUCKETS = 1 << 16
+# Weights are whole millionths, so that their sums do not depend on the order of adding.
+_UNIT = 1_000_000
 
 
-def route_learned(queries: DataFrame, model: PipelineModel, sure: float = 0.8, fair: float = 0.6) -> DataFrame:
-    """Add ``label, confidence`` by the trained model: HIGH from ``sure``, MEDIUM from ``fair``."""
-    p = F.col("_p")
-    best = F.greatest(p, 1 - p)
+def _buckets(text: Column) -> Column:
+    """Hash buckets of the words of a text, repeats included; none for null."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"))
+    return F.coalesce(buckets, F.array().cast("array<int>"))
+
+
+def _in_units(odds: Column) -> Column:
+    return F.floor(F.ln(odds) * _UNIT + 0.5)
+
+
+def train_router(labelled: DataFrame) -> DataFrame:
+    """A naive Bayes model from ``query, label`` (label 1 for RAG, 0 for GENERAL; null teaches nothing).
+
+    One row: ``prior`` and ``weights``, log odds for RAG in millionths, of all texts and of each token
+    bucket, with one added to every count. Counts are combined before the shuffle and number
+    TOKEN_BUCKETS rows at most, whatever the size of ``labelled``.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col("label").isNotNull()).select("query", (F.col("label") == 1).alias("rag"))
+    counts = [F.count_if(F.col("rag")).alias("rag"), F.count_if(~F.col("rag")).alias("general")]
+    seen = rows.select("rag", F.explode(_buckets(F.col("query"))).alias("bucket")).groupBy("bucket").agg(*counts)
+    every = spark.range(TOKEN_BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    filled = every.join(seen, "bucket", "left").fillna(0, ["rag", "general"])
+    total = lambda c: F.sum(c).cast("double") + TOKEN_BUCKETS
+    table = filled.agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "rag", "general"))).alias("t"),
+        (total("general") / total("rag")).alias("scale"),
+    )
+    weight = lambda t: _in_units((t["rag"] + 1) / (t["general"] + 1) * F.col("scale"))
+    prior = rows.agg(*counts).select(_in_units((F.col("rag") + 1) / (F.col("general") + 1)).alias("prior"))
+    return table.select(F.transform("t", weight).alias("weights"), prior.scalar().alias("prior"))
+
+
+def route_learned(queries: DataFrame, model: DataFrame, sure: float = 0.8, fair: float = 0.6) -> DataFrame:
+    """Add ``label, confidence`` by the trained model: HIGH from ``sure``, MEDIUM from ``fair``.
+
+    Row by row in the scan stage: the model is a scalar subquery of fixed size. Even odds are GENERAL.
+    """
+    odds = F.aggregate(
+        _buckets(F.col("query")),
+        F.col("_prior"),
+        lambda total, bucket: total + F.get(F.col("_weights"), bucket),
+    )
+    least = lambda p: math.ceil(math.log(p / (1 - p)) * _UNIT)
+    size = F.abs(F.col("_odds"))
     return (
-        model.transform(queries)
-        .withColumn("_p", F.get(vector_to_array("probability"), F.lit(1)))
+        queries.withColumns({"_weights": model.select("weights").scalar(), "_prior": model.select("prior").scalar()})
+        .withColumn("_odds", odds)
         .select(
             *queries.columns,
-            F.when(p > 0.5, RAG).otherwise(GENERAL).alias("label"),
-            F.when(best >= sure, "HIGH").when(best >= fair, "MEDIUM").otherwise("LOW").alias("confidence"),
+            F.when(F.col("_odds") > 0, RAG).otherwise(GENERAL).alias("label"),
+            F.when(size >= least(sure), "HIGH").when(size >= least(fair), "MEDIUM").otherwise("LOW").alias("confidence"),
         )
     )
 

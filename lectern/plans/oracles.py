@@ -310,6 +310,30 @@ SELECT query_id, CASE WHEN kept THEN answer ELSE 'nothing on ' || event_type END
 FROM own""",
     "route_queries": f"""WITH {_ROUTED}
 SELECT query_id, query, rag_hits, general_hits, label, confidence, reason FROM routed""",
+    "route_learned": r"""
+WITH tokens AS (
+  SELECT doc_id, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) AS bucket
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents)),
+taught AS (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL),
+seen AS (
+  SELECT bucket, count(*) FILTER (quality = 1) AS rag, count(*) FILTER (quality <> 1) AS general
+  FROM tokens JOIN taught USING (doc_id) GROUP BY bucket),
+scale AS (SELECT (coalesce(sum(general), 0) + 65536.0::DOUBLE) / (coalesce(sum(rag), 0) + 65536.0::DOUBLE) AS ratio FROM seen),
+weights AS (
+  SELECT bucket, CAST(floor(ln((rag + 1)::DOUBLE / (general + 1) * ratio) * 1000000 + 0.5) AS BIGINT) AS weight
+  FROM (SELECT range AS bucket, coalesce(rag, 0) AS rag, coalesce(general, 0) AS general
+        FROM range(65536) LEFT JOIN seen ON bucket = range), scale),
+prior AS (
+  SELECT CAST(floor(ln((count(*) FILTER (quality = 1) + 1)::DOUBLE / (count(*) FILTER (quality <> 1) + 1)) * 1000000 + 0.5)
+              AS BIGINT) AS prior
+  FROM documents JOIN taught USING (doc_id)),
+odds AS (
+  SELECT doc_id, coalesce(total, 0) + prior AS odds
+  FROM documents LEFT JOIN (SELECT doc_id, sum(weight) AS total FROM tokens JOIN weights USING (bucket) GROUP BY doc_id)
+       USING (doc_id), prior)
+SELECT doc_id, CASE WHEN odds > 0 THEN 'RAG' ELSE 'GENERAL' END AS label,
+       CASE WHEN abs(odds) >= 1386295 THEN 'HIGH' WHEN abs(odds) >= 405466 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
+FROM odds""",
     "parse_verdicts": """
 WITH told AS (
   SELECT conv_id, turn, role, nullif(trim(replace(text, chr(10), ' ')), '') AS reason
