@@ -68,15 +68,15 @@ def route_queries(
     )
 
 
-# Tokens are counted in this many buckets of their hash, so a model has a fixed size.
+# Texts with a word are counted in this many buckets of its hash, so a model has a fixed size.
 TOKEN_BUCKETS = 1 << 16
 # Weights are whole millionths, so that their sums do not depend on the order of adding.
 _UNIT = 1_000_000
 
 
 def _buckets(text: Column) -> Column:
-    """Hash buckets of the words of a text, repeats included; none for null."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """Hash buckets of the distinct words of a text; none for null."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0))
     buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"))
     return F.coalesce(buckets, F.array().cast("array<int>"))
 
@@ -88,7 +88,7 @@ def _in_units(odds: Column) -> Column:
 def train_router(labelled: DataFrame) -> DataFrame:
     """A naive Bayes model from ``query, label`` (label 1 for RAG, 0 for GENERAL; null teaches nothing).
 
-    One row: ``prior`` and ``weights``, log odds for RAG in millionths, of all texts and of each token
+    One row: ``prior`` and ``weights``, log odds for RAG in millionths, of all texts and of each word
     bucket, with one added to every count. Counts are combined before the shuffle and number
     TOKEN_BUCKETS rows at most, whatever the size of ``labelled``.
     """
@@ -100,7 +100,7 @@ def train_router(labelled: DataFrame) -> DataFrame:
     filled = every.join(seen, "bucket", "left").fillna(0, ["rag", "general"])
     total = lambda c: F.sum(c).cast("double") + TOKEN_BUCKETS
     table = filled.agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "rag", "general"))).alias("t"),
+        F.sort_array(F.collect_list(F.struct("bucket", "rag", "general"))).alias("t"),
         (total("general") / total("rag")).alias("scale"),
     )
     weight = lambda t: _in_units((t["rag"] + 1) / (t["general"] + 1) * F.col("scale"))

@@ -22,7 +22,8 @@ from lectern.operators.search import search, search_approx, search_batch, search
 from lectern.operators.sessions import session_history, turn_pairs
 from lectern.operators.sizing import spread
 from lectern.operators.units import convert_units, requested_units
-from lectern.plans.knowledge import answer, build_index, index_rows
+from lectern.plans.evaluation import evaluate
+from lectern.plans.knowledge import answer, build_index, index_rows, search_texts
 from lectern.session import scratch_path
 from lectern.sources.index import check_dimension, check_unique, ensure_index, scan_index
 from lectern.sources.pages import numbered_pages, read_pages
@@ -257,13 +258,22 @@ def search_stats_(spark, sf_dir):
     return search_stats(search_batch(*_all_against_all(spark, sf_dir)))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("content")
+    )
+
+
 @query
 def format_context_(spark, sf_dir):
     """Index all documents, then answer every benchmark text from the index."""
-    asked = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("content")
-    )
-    return answer(spark, scratch_path(spark, "index"), asked, book_pages(spark, sf_dir))
+    return answer(spark, scratch_path(spark, "index"), _asked(spark, sf_dir), book_pages(spark, sf_dir))
+
+
+@query
+def search_texts_(spark, sf_dir):
+    """The same, but the hits themselves."""
+    return search_texts(spark, scratch_path(spark, "index"), _asked(spark, sf_dir), book_pages(spark, sf_dir))
 
 
 # --- table tools --------------------------------------------------------------------------
@@ -669,5 +679,19 @@ def retrieved_context(spark, sf_dir):
     return evaluation.retrieved_context(_run_trees(spark, sf_dir))
 
 
+@query
+def evaluate_(spark, sf_dir):
+    """Each conversation is a case, its fourth turn the response; categories go by the number of turns."""
+    turns = table(spark, sf_dir, "conversations")
+    id = F.col("conv_id").cast("string").alias("id")
+    counted = turns.groupBy(id).agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" turns")).alias("category"))
+    error = F.when(F.col("role") == "user", F.lit("asked back")).alias("error")
+    responses = turns.where("turn = 3").select(id, F.col("text").alias("response"), error)
+    nodes = _run_trees(spark, sf_dir).withColumn("response_id", F.col("response_id").cast("string"))
+    report = evaluate(counted, responses, nodes)
+    verdicts = report.categories.select("category", "passed", F.col("status").alias("category_status"))
+    return report.outcomes.join(verdicts, "category")
+
+
 # A trailing underscore only keeps a query apart from the operator it is named after.
 QUERIES = {name.rstrip("_"): run for name, run in QUERIES.items()}

@@ -74,7 +74,7 @@ def update_index(
     return Written(stored_rows(spark, path).count() - before + back, scan_index(spark, path).count())
 
 
-def answer(
+def search_texts(
     spark: SparkSession,
     path: str,
     queries: DataFrame,
@@ -82,7 +82,8 @@ def answer(
     embed: Embedder = hash_embed,
     k: int = TOP_K,
 ) -> DataFrame:
-    """``(query_id, context)`` for ``queries(query_id, content)`` from the index at ``path``.
+    """``(query_id, rank, content, page_num, source, score)``: up to ``k`` hits of each of
+    ``queries(query_id, content)`` in the index at ``path``, without rows for queries without hits.
 
     With ``pages``, an empty or missing index is built from them first.
     """
@@ -91,4 +92,17 @@ def answer(
     else:
         index = ensure_index(spark, path, lambda: index_rows(pages, embed))
     asked = embed(queries.select("query_id", "content")).select("query_id", "embedding")
-    return format_context(queries, search_batch(asked, index.drop("start"), k))
+    hits = search_batch(asked, index.drop("start"), k)
+    return hits.select("query_id", "rank", "content", "page_num", "source", "score")
+
+
+def answer(
+    spark: SparkSession,
+    path: str,
+    queries: DataFrame,
+    pages: DataFrame | None = None,
+    embed: Embedder = hash_embed,
+    k: int = TOP_K,
+) -> DataFrame:
+    """``(query_id, context)`` for ``queries(query_id, content)``: the hits of ``search_texts`` as one block."""
+    return format_context(queries, search_texts(spark, path, queries, pages, embed, k))

@@ -173,6 +173,38 @@ accuracy AS (
          expected_agent IS NOT DISTINCT FROM agent AS "right"
   FROM chosen GROUP BY expected_agent, agent)"""
 
+_HITS = f"""
+WITH {_CHUNKS},
+{_buckets('chunk_parts', 'id', 'chunks', 'content')},
+{_dense('chunk_vectors', 'id', 'chunks', 'chunk_parts')},
+{_buckets('item_parts', 'item_id', 'benchmark', 'text')},
+{_dense('item_vectors', 'item_id', 'benchmark', 'item_parts')},
+scored AS (
+  SELECT q.item_id AS query_id, c.id, {_RAW.format('c.embedding', 'q.embedding')} AS raw
+  FROM item_vectors q, chunk_vectors c),
+hits AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC NULLS LAST, id) AS rank,
+         id, {_round('raw')} AS score
+  FROM scored QUALIFY rank <= 5)"""
+
+_CONTEXTS = """
+WITH RECURSIVE runs AS (
+  SELECT DISTINCT conv_id, -1::BIGINT AS turn, []::BIGINT[] AS way FROM conversations
+  UNION ALL
+  SELECT c.conv_id, c.turn, list_concat(r.way, [2, c.turn])
+  FROM conversations c JOIN runs r ON r.conv_id = c.conv_id
+   AND ((c.turn < 2 AND r.turn = -1) OR (c.turn >= 2 AND r.turn = c.turn - 2))),
+found AS (
+  SELECT r.conv_id, list_concat(r.way, [1, 0]) AS way, c.text AS content
+  FROM runs r JOIN conversations c USING (conv_id, turn)
+  WHERE c.role = 'assistant' AND c.turn > 2 AND length(c.text) > 0
+  UNION ALL
+  SELECT r.conv_id, list_concat(r.way, [3, c.turn]), c.text
+  FROM runs r JOIN conversations c USING (conv_id, turn) WHERE c.turn % 3 = 2 AND length(c.text) > 0),
+first AS (SELECT conv_id, arg_min(content, way) AS context FROM found GROUP BY conv_id)
+SELECT conv_id AS response_id, context
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN first USING (conv_id)"""
+
 ORACLES: dict[str, str] = {
     "read_pages": f"WITH {_PAGES} SELECT source, page_num, content FROM pages_",
     "source_name": "SELECT page_id, string_split(url, '/')[-1] AS name FROM pages",
@@ -227,23 +259,13 @@ scored AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY raw DESC NULLS LAST, vec_id))::INTEGER AS rank,
        vec_id, {_round('raw')} AS score
 FROM scored QUALIFY rank <= 5""",
-    "format_context": f"""
-WITH {_CHUNKS},
-{_buckets('chunk_parts', 'id', 'chunks', 'content')},
-{_dense('chunk_vectors', 'id', 'chunks', 'chunk_parts')},
-{_buckets('item_parts', 'item_id', 'benchmark', 'text')},
-{_dense('item_vectors', 'item_id', 'benchmark', 'item_parts')},
-scored AS (
-  SELECT q.item_id AS query_id, c.id, {_RAW.format('c.embedding', 'q.embedding')} AS raw
-  FROM item_vectors q, chunk_vectors c),
-hits AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC NULLS LAST, id) AS rank,
-         id, {_round('raw')} AS score
-  FROM scored QUALIFY rank <= 5)
+    "format_context": f"""{_HITS}
 SELECT query_id,
        string_agg(printf('[Chunk %d] (Page %d, Score: %.4f)', rank, page_num, score) || chr(10) || content,
                   chr(10) || chr(10) ORDER BY rank) AS context
 FROM hits JOIN chunks USING (id) GROUP BY query_id""",
+    "search_texts": f"""{_HITS}
+SELECT query_id, rank, content, page_num, source, score FROM hits JOIN chunks USING (id)""",
     "formula_columns": f"""
 WITH computed AS (
   SELECT l_orderkey, l_linenumber, l_quantity AS q,
@@ -313,7 +335,7 @@ SELECT query_id, query, rag_hits, general_hits, label, confidence, reason FROM r
     "route_learned": r"""
 WITH tokens AS (
   SELECT doc_id, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) AS bucket
-  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents)),
+  FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents)),
 taught AS (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL),
 seen AS (
   SELECT bucket, count(*) FILTER (quality = 1) AS rag, count(*) FILTER (quality <> 1) AS general
@@ -387,21 +409,20 @@ SELECT expected_agent, agent, n_cases, n_tool_right, "right" FROM accuracy""",
 SELECT expected_agent, coalesce(sum(n_cases) FILTER (agent = 'Retriever Agent'), 0)::BIGINT AS to_retriever,
        coalesce(sum(n_cases) FILTER (agent = 'General Agent'), 0)::BIGINT AS to_general
 FROM accuracy GROUP BY expected_agent""",
-    "retrieved_context": """
-WITH RECURSIVE runs AS (
-  SELECT DISTINCT conv_id, -1::BIGINT AS turn, []::BIGINT[] AS way FROM conversations
-  UNION ALL
-  SELECT c.conv_id, c.turn, list_concat(r.way, [2, c.turn])
-  FROM conversations c JOIN runs r ON r.conv_id = c.conv_id
-   AND ((c.turn < 2 AND r.turn = -1) OR (c.turn >= 2 AND r.turn = c.turn - 2))),
-found AS (
-  SELECT r.conv_id, list_concat(r.way, [1, 0]) AS way, c.text AS content
-  FROM runs r JOIN conversations c USING (conv_id, turn)
-  WHERE c.role = 'assistant' AND c.turn > 2 AND length(c.text) > 0
-  UNION ALL
-  SELECT r.conv_id, list_concat(r.way, [3, c.turn]), c.text
-  FROM runs r JOIN conversations c USING (conv_id, turn) WHERE c.turn % 3 = 2 AND length(c.text) > 0),
-first AS (SELECT conv_id, arg_min(content, way) AS context FROM found GROUP BY conv_id)
-SELECT conv_id AS response_id, context
-FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN first USING (conv_id)""",
+    "retrieved_context": _CONTEXTS,
+    "evaluate": f"""
+WITH contexts AS ({_CONTEXTS}),
+cases AS (SELECT conv_id, count(*) || ' turns' AS category FROM conversations GROUP BY conv_id),
+outcomes AS (
+  SELECT c.conv_id, category,
+         CASE WHEN r.conv_id IS NULL THEN 'no response stored' WHEN r.role = 'user' THEN 'asked back' END AS error, r.text
+  FROM cases c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = 3),
+categories AS (
+  SELECT category, count(*) FILTER (error IS NULL) || '/' || count(*) AS passed,
+         CASE WHEN count(error) = 0 THEN 'PASS' ELSE 'FAIL' END AS category_status
+  FROM outcomes GROUP BY category)
+SELECT conv_id::VARCHAR AS id, category, CASE WHEN error IS NULL THEN 'completed' ELSE 'error' END AS status,
+       CASE WHEN error IS NULL THEN substring(coalesce(text, 'No response'), 1, 200) END AS response_preview,
+       error, context, passed, category_status
+FROM outcomes JOIN categories USING (category) JOIN contexts ON response_id = conv_id""",
 }

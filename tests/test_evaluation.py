@@ -156,3 +156,33 @@ def test_runs_of_any_depth_and_roles(spark):
     circle = [run(1), member(1, "a", "b", 0), member(1, "b", "a", 0), tool(1, "a", 0, "x")]
     with pytest.raises(ValueError, match="nested"):
         retrieved_context(spark.createDataFrame(circle, NODE))
+
+
+def test_evaluation_plan(spark):
+    from lectern.plans.evaluation import evaluate
+
+    cases = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", None)], "id string, category string")
+    responses = spark.createDataFrame(
+        [("a", "fine", None), ("c", None, None), ("d", "t", "broken"), ("z", "no case", None)],
+        "id string, response string, error string",
+    )
+    nodes = spark.createDataFrame(
+        [
+            ("a", "r", None, 0, "run", None, None),
+            ("a", "t", "r", 0, "tool", "knowledge_search", "found"),
+            ("c", "r", None, 0, "run", None, None),
+        ],
+        "response_id string, node_id string, parent_id string, position int, kind string, name string, content string",
+    )
+    report = evaluate(cases, responses, nodes)
+    got = {r["id"]: (r["status"], r["response_preview"], r["error"], r["context"]) for r in report.outcomes.collect()}
+    assert got == {
+        "a": ("completed", "fine", None, "found"),
+        "b": ("error", None, "no response stored", None),
+        "c": ("completed", "No response", None, None),
+        "d": ("error", None, "broken", None),
+    }
+    assert [tuple(r)[3:] for r in report.categories.collect()] == [("0/1", "FAIL"), ("1/2", "FAIL"), ("1/1", "PASS")]
+    assert tuple(report.overall.first()) == (4, 2, 2)
+    assert {tuple(r) for r in report.failures.collect()} == {("b", "no response stored"), ("d", "broken")}
+    assert report.category_names.count() == 3

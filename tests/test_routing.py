@@ -136,3 +136,13 @@ def test_pairs_over_gaps_other_roles_and_doubled_turns(spark, rows_per_range):
     assert {tuple(r) for r in pairs.select("conv_id", "turn", "question", "reply").collect()} == {
         (1, 10, "q1", "r1"), (2, 1, "q", "r"), (3, 1, "a", None), (3, 3, "b", None), (4, 2, "c", None), (None, 1, "x", "y"),
     }
+
+
+def test_learned_router_without_words_or_labels(spark):
+    queries = spark.createDataFrame([(1, None), (2, ""), (3, "?!"), (3, "?!")], "query_id int, query string")
+    taught = spark.createDataFrame([("tree", 1), ("tree", None), (None, 1), ("", 0)], "query string, label int")
+    got = route_learned(queries, train_router(taught))
+    assert [r["label"] for r in got.collect()] == ["RAG"] * 4  # two of three labels
+    nothing = train_router(taught.limit(0))
+    assert {(r["label"], r["confidence"]) for r in route_learned(queries, nothing).collect()} == {("GENERAL", "LOW")}
+    assert "Exchange" not in plan_of(got.select("query_id", "label")).split("Subquery")[0]
