@@ -53,6 +53,14 @@ class _Shared(dict):
         return word
 
 
+def _places(text: str, low: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of the lower-cased text as code points of the text; some characters grow when lowered."""
+    if len(low) == len(text):
+        return spans
+    ends = np.cumsum([len(c.lower()) for c in text])
+    return [(int(np.searchsorted(ends, b, "right")), int(np.searchsorted(ends, e - 1, "right")) + 1) for b, e in spans]
+
+
 def _chains(tokens: list[str]) -> list[tuple[int, int]]:
     """Begin and end of each chain of words among ``tokens``."""
     out, begin = [], 0
@@ -263,7 +271,9 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
                     for k, text in enumerate(texts):
                         own = hot[np.searchsorted(hot, begins[k]) : np.searchsorted(hot, begins[k] + len(tokens[k]))] - begins[k]
                         wanted = set(own.tolist())
-                        spans = [m.span() for i, m in enumerate(_TOKEN.finditer(text.lower())) if i in wanted] if wanted else []
+                        low = text.lower() if wanted else ""
+                        spans = [m.span() for i, m in enumerate(_TOKEN.finditer(low)) if i in wanted]
+                        spans = _places(text, low, spans) if spans else []
                         found.append([{"begin": b, "end": e} for b, e in spans])
                     columns.append(pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))))
                 yield pa.RecordBatch.from_arrays(columns, [id, "score", *(["spans"] if with_spans else [])])

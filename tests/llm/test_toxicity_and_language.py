@@ -34,11 +34,13 @@ def test_toxicity_held_out_recall(spark):
 def test_toxicity_spans_and_odd_rows(spark):
     bad = [(i, f"some plain words here number{i}. you utter moron go away now", 1) for i in range(40)]
     good = [(100 + i, f"some plain words here number{i}. the weather is fine go away now", 0) for i in range(40)]
+    bad[1] = (1, "İİİ İstanbul. you utter moron go away now", 1)  # longer in lower case
     docs = spark.createDataFrame([*bad, *good, (900, None, 0), (901, "", 0)], "doc_id long, text string, spans int")
     truth = docs.select("doc_id", F.when(F.col("doc_id") < 100, 1).otherwise(0).alias("toxic"))
     got = {r["doc_id"]: r for r in toxicity.judge(docs, truth).collect()}
     text = bad[0][1]
     assert [text[s["begin"] : s["end"]] for s in got[0]["spans"] if text[s["begin"] : s["end"]] == "moron"] == ["moron"]
+    assert "moron" in [bad[1][1][s["begin"] : s["end"]] for s in got[1]["spans"]]
     assert got[0]["score"] > 0.5 > got[100]["score"]
     assert got[900]["score"] == got[901]["score"] < 0.3
     assert toxicity.judge(docs.limit(0), truth.limit(0)).count() == 0
