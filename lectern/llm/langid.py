@@ -2,9 +2,11 @@
 
 Characters are folded to 16 bits (lower case, one code for all that is not a letter or mark), so that a
 4-gram is a 64-bit number. Spark counts the 4-grams of each language over all training texts and from
-them the types that continue each shorter gram. The counts go to the tasks as sorted hash arrays: keys are
-hashed into ``slots`` places per table, which bounds the model (languages x 7 tables x slots x 12
-bytes) whatever the corpus; grams that share a place add up. A text gets the language whose model has
+them the types that continue each shorter gram. Grams are exact keys throughout, so that the tables grow
+with the types seen. Joins of these tables give each 4-gram of the corpus its bits in every language, in
+whole units of 2**-24 bit, so that sums do not depend on their order. The most frequent grams go to the
+tasks as sorted arrays of at most ``head`` bytes; where there are more, the others are counted per
+document and joined with their bits. A text gets the language whose model has
 the lowest cross-entropy per character. Texts that no model explains are rejected: their excess over the
 mean cross-entropy of the language, weighed by length, lies beyond the quantile that training texts of
 the language exceed with probability ``alpha``, and is larger than ``margin`` bits.
@@ -20,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.tasks import mixed, stored, text_slices
+from lectern.llm.tasks import stored, text_slices
 
 ORDER = 4
-SLOTS = 2**20
+HEAD_BYTES = 64 * 2**20
 ALPHA = 0.0005
 MARGIN_BITS = 2.5
 SLICE = 2 * 2**20
+UNIT = 2**24
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -64,13 +67,13 @@ class _Codes:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """``lang``, ``g`` (4-gram as bigint) and its count ``c``."""
+    """``lang`` (null too), ``g`` (4-gram as bigint) and its count ``c``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for batch in batches:
             for part in text_slices(batch, SLICE):
-                grams: dict[str, list[np.ndarray]] = {}
+                grams: dict[str | None, list[np.ndarray]] = {}
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = codes.of(text)
                     if found is not None:
@@ -84,107 +87,147 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, g bigint, c bigint").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
-def _hash(g: np.ndarray, slots: int) -> np.ndarray:
-    return (mixed(g.astype(np.uint64, copy=False)) & _U(slots - 1)).astype(np.int64)
+def _suffix(g: Column, n: int) -> Column:
+    """The last ``n`` characters of grams."""
+    return g if n == ORDER else g.bitwiseAND(F.lit((1 << (16 * n)) - 1))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS) -> dict:
-    """The models of all languages in ``lang``. Rows without a language or a letter teach nothing."""
-    texts = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    by_order = {ORDER: stored(_counts(texts), "grams")}
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], DataFrame]:
+    """The languages in ``lang`` by name; each 4-gram ``g`` of all texts, its count ``n`` and ``bits``:
+    -log2 P(last character | three before it) of each language in units of 2**-24.
+
+    Rows without a language or a letter teach nothing.
+    """
+    every = stored(_counts(docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))), "grams")
+    by_order = {ORDER: every.where(F.col("lang").isNotNull())}
+    names = sorted(r["lang"] for r in by_order[ORDER].select("lang").distinct().collect())
     for n in range(ORDER - 1, 0, -1):
-        suffix = F.col("g").bitwiseAND(F.lit((1 << (16 * n)) - 1)).alias("g")
+        suffix = _suffix(F.col("g"), n).alias("g")
         by_order[n] = stored(by_order[n + 1].groupBy("lang", suffix).agg(F.count(F.lit(1)).alias("c")), "grams")
-    none = F.lit(0).cast("bigint")
-    parts = []
-    for n, grams in by_order.items():
-        ones, twos = (F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))
-        parts.append(grams.select("lang", F.lit(n).alias("kind"), "g", F.col("c").alias("a"), none.alias("b")))
-        parts.append(grams.groupBy("lang").agg(ones.alias("a"), twos.alias("b")).select("lang", F.lit(20 + n), none, "a", "b"))
-        context = F.shiftrightunsigned("g", 16).alias("g") if n > 1 else none.alias("g")
-        totals = grams.groupBy("lang", context).agg(F.sum("c").alias("a"), F.count(F.lit(1)).alias("b"))
-        parts.append(totals.select("lang", F.lit(10 + n), "g", "a", "b"))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.union(part)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = _hash(batch.column(2).to_numpy().view(np.uint64), slots)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(slot.astype(np.int32)), batch.column(3), batch.column(4)],
-                ["lang", "kind", "slot", "a", "b"],
-            )
-
-    hashed = table.mapInArrow(run, "lang string, kind int, slot int, a bigint, b bigint")
-    rows = hashed.groupBy("lang", "kind", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().to_pandas()
-    model: dict = {"slots": slots, "languages": {}}
-    for language, own in rows.groupby("lang"):
-        tables, discounts = {}, {}
-        for kind, part in own.groupby("kind"):
-            part = part.sort_values("slot")
-            if kind > 20:
-                ones, twos = int(part["a"].iloc[0]), int(part["b"].iloc[0])
-                discounts[int(kind) - 20] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-            else:
-                tables[int(kind)] = tuple(part[c].to_numpy(t) for c, t in (("slot", np.uint32), ("a", np.float32), ("b", np.float32)))
-        model["languages"][str(language)] = (tables, discounts)
-    return model
-
-
-def _log_probabilities(grams: np.ndarray, model: dict) -> np.ndarray:
-    """log2 P(last character | three before it) of each 4-gram, a row per language."""
-    slots, out = model["slots"], []
-
-    def look(table, keys):
-        slot = _hash(keys, slots).astype(np.uint32)
-        at = np.minimum(np.searchsorted(table[0], slot), len(table[0]) - 1)
-        known = table[0][at] == slot
-        return np.where(known, table[1][at], 0).astype(float), np.where(known, table[2][at], 0).astype(float)
-
-    for _, (tables, discounts) in sorted(model["languages"].items()):
-        p = np.full(len(grams), 1 / 65536)
-        for n in range(1, ORDER + 1):
-            own = grams & _U((1 << (16 * n)) - 1)
-            count, _ = look(tables[n], own)
-            total, types = look(tables[10 + n], own >> _U(16) if n > 1 else np.zeros(len(grams), _U))
-            d = discounts[n]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                p = np.where(total > 0, (np.maximum(count - d, 0) + d * types * p) / total, p)
-        out.append(np.log2(p))
-    return np.array(out)
-
-
-def _scores(docs: DataFrame, model: dict, carried: list[str]) -> DataFrame:
+    grams = stored(every.groupBy("g").agg(F.sum("c").alias("n")), "grams")
+    languages = F.array(*[F.lit(name) for name in names]).cast("array<string>")
+    below = None
+    for n in range(1, ORDER + 1):
+        own = by_order[n]
+        ones, twos = (F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2))
+        seldom = {r["lang"]: (r["n1"], r["n2"]) for r in own.groupBy("lang").agg(ones, twos).collect()}
+        discounts = [min(0.95, max(0.1, seldom[name][0] / (seldom[name][0] + 2 * seldom[name][1]))) if seldom[name][0] else 0.5 for name in names]
+        discounts = F.array(*[F.lit(d) for d in discounts]).cast("array<double>")
+        counts = own.groupBy(F.col("g").alias(f"_g{n}")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("count"))
+        context = F.shiftrightunsigned("g", 16) if n > 1 else F.lit(0).cast("bigint")
+        totals = own.groupBy("lang", context.alias("_context")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
+        totals = totals.groupBy("_context").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct("total", "types").alias("t")))).alias("t"))
+        keys = grams if n == ORDER else grams.select(_suffix(F.col("g"), n).alias("g")).distinct()
+        context = F.shiftrightunsigned("g", 16) if n > 1 else F.lit(0).cast("bigint")
+        keys = keys.withColumn("context", context)
+        keys = keys.join(counts, F.col("g") == F.col(f"_g{n}"), "left")
+        keys = keys.join(F.broadcast(totals) if n == 1 else totals, F.col("context") == F.col("_context"), "left")
+        if below is None:
+            keys = keys.withColumn("p", F.transform(languages, lambda x: F.lit(1 / 65536)))
+        else:
+            keys = keys.join(below, _suffix(F.col("g"), n - 1) == F.col("_below"))
+
+        def smoothed(p: Column, i: Column) -> Column:
+            name, d = F.get(languages, i), F.get(discounts, i)
+            count, t = F.coalesce(F.try_element_at("count", name), F.lit(0)), F.try_element_at("t", name)
+            return F.when(t["total"] > 0, (F.greatest(count - d, F.lit(0.0)) + d * t["types"] * p) / t["total"]).otherwise(p)
+
+        p = F.transform("p", smoothed)
+        if n < ORDER:
+            below = keys.select(F.col("g").alias("_below"), p.alias("p"))
+    bits = F.transform(p, lambda x: F.round(-F.log2(x) * UNIT).cast("bigint"))
+    return names, stored(keys.select("g", "n", bits.alias("bits")), "bits")
+
+
+def _head(bits: DataFrame, languages: int, limit: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """The most frequent grams in order and their bits (a row per language); the others, if there are any.
+
+    Counts are cut at a power of two, so that all but 64 rows stay in Spark until the head is known.
+    """
+    level = F.floor(F.log2("n")).cast("int")
+    sizes = {r["level"]: r["count"] for r in bits.groupBy(level.alias("level")).count().collect()}
+    held, least = 0, 64
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k] * 8 * (1 + languages)
+        if held > limit:
+            break
+        least = k
+    table = bits.where(level >= least).select("g", "bits").toArrow().combine_chunks()
+    keys = table["g"].to_numpy()
+    order = np.argsort(keys)
+    values = np.zeros((0, languages), np.int64)
+    if len(keys):
+        values = pa.compute.list_flatten(table["bits"]).to_numpy().reshape(-1, languages)
+    rest = bits.where(level < least) if any(k < least for k in sizes) else None
+    return keys[order], np.ascontiguousarray(values[order].T), rest
+
+
+def _scores(docs: DataFrame, names: list[str], bits: DataFrame, carried: list[str], limit: int) -> DataFrame:
     """Carried columns, then lang_pred, score, cross_entropy, n (characters)."""
-    names = sorted(model["languages"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    head, values, rest = _head(bits, len(names), limit) if names else (np.empty(0, np.int64), np.empty((0, 0), np.int64), None)
+    shared = docs.sparkSession.sparkContext.broadcast((head, values))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
+        head, values = shared.value
         for batch in batches:
             for part in text_slices(batch, SLICE):
-                texts = part.column(0).to_pylist()
-                grams = [codes.of(x) for x in texts]
+                grams = [codes.of(x) for x in part.column(0).to_pylist()]
                 rows = [i for i, g in enumerate(grams) if g is not None and names]
-                best = np.full(len(texts), -1)
-                bits, score, size = (np.zeros(len(texts)) for _ in range(3))
+                size = np.zeros(len(grams), np.int64)
+                sums = np.zeros((len(grams), len(names)), np.int64)
+                others, counts = [[] for _ in grams], [[] for _ in grams]
                 if rows:
                     sizes = np.array([len(grams[i]) for i in rows])
                     place, distinct = pd.factorize(np.concatenate([grams[i] for i in rows]))
-                    table = _log_probabilities(distinct, shared.value)
+                    distinct = distinct.view(np.int64)
+                    known, at = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
+                    if len(head):
+                        at = np.minimum(np.searchsorted(head, distinct), len(head) - 1)
+                        known = head[at] == distinct
                     begins = np.cumsum(sizes) - sizes
-                    entropy = np.array([-np.add.reduceat(row[place], begins) for row in table]) / sizes
-                    found = entropy.argmin(axis=0)
-                    least = entropy.min(axis=0)
-                    weight = np.exp2(-(entropy - least) * np.sqrt(sizes)).sum(axis=0)
-                    best[rows], bits[rows], score[rows], size[rows] = found, least, 1 / weight, sizes
-                labels = [names[b] if b >= 0 else UNKNOWN for b in best]
-                columns = [pa.array(labels), pa.array(score), pa.array(bits), pa.array(size.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*carried, "lang_pred", "score", "cross_entropy", "n"])
-
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, cross_entropy double, n bigint")
+                    for k in range(len(names)):
+                        own = np.where(known, values[k][at], 0) if len(head) else np.zeros(len(distinct), np.int64)
+                        sums[rows, k] = np.add.reduceat(own[place], begins)
+                    size[rows] = sizes
+                    if not known.all():
+                        for i, begin, n in zip(rows, begins, sizes, strict=True):
+                            own = place[begin : begin + n]
+                            found, count = np.unique(own[~known[own]], return_counts=True)
+                            others[i], counts[i] = distinct[found], count
+                lists = pa.list_(pa.int64())
+                columns = [pa.array(size), *(pa.array(list(x), lists) for x in (sums, others, counts))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*carried, "n", "sums", "grams", "counts"])
+
+    parts = docs.mapInArrow(run, f"{schema}, n bigint, sums array<bigint>, grams array<bigint>, counts array<bigint>")
+    if rest is not None:
+        parts = stored(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
+        each = parts.select("_row", F.explode(F.arrays_zip("grams", "counts")).alias("x")).select("_row", "x.*")
+        each = each.join(rest.select(F.col("g").alias("grams"), "bits"), "grams")
+        added = F.array(*[F.sum(F.col("bits")[k] * F.col("counts")) for k in range(len(names))])
+        added = each.groupBy(F.col("_row").alias("_own")).agg(added.alias("added"))
+        sums = F.when(F.col("added").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "added", lambda a, b: a + b))
+        parts = parts.join(added, F.col("_row") == F.col("_own"), "left").withColumn("sums", sums)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(len(carried)).to_numpy()
+            best, bits, score = np.full(len(size), -1), np.zeros(len(size)), np.zeros(len(size))
+            rows = np.flatnonzero(size)
+            if len(rows):
+                sums = np.array(batch.column(len(carried) + 1).to_pylist(), np.int64)[rows]
+                entropy = sums.T / (size[rows] * float(UNIT))
+                best[rows], least = entropy.argmin(axis=0), entropy.min(axis=0)
+                bits[rows] = least
+                score[rows] = 1 / np.exp2(-(entropy - least) * np.sqrt(size[rows])).sum(axis=0)
+            labels = [names[b] if b >= 0 else UNKNOWN for b in best]
+            columns = [pa.array(labels, pa.string()), pa.array(score), pa.array(bits), pa.array(size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *columns], [*carried, "lang_pred", "score", "cross_entropy", "n"])
+
+    return parts.select(*carried, "n", "sums").mapInArrow(
+        choose, f"{schema}, lang_pred string, score double, cross_entropy double, n bigint"
+    )
 
 
 def identify(
@@ -193,23 +236,23 @@ def identify(
     text: str = "text",
     lang: str = "lang",
     learn: Column | None = None,
-    slots: int = SLOTS,
     alpha: float = ALPHA,
     margin: float = MARGIN_BITS,
+    head: int = HEAD_BYTES,
 ) -> DataFrame:
     """One row per document: ``id``, lang_pred, score, cross_entropy (bits per character), rejected.
 
     Learns from the rows that fulfil ``learn`` (default: all) and have a language. ``lang_pred`` is the
     best language, or ``und`` for null texts, texts without a letter, and if nothing was learned; those
     have score 0 and are rejected. Equal cross-entropies go to the first language by name. ``score``
-    falls with the distance of the others. Repeated rows and null ids are kept; other columns are not read.
+    falls with the distance of the others. ``head`` does not change results. Repeated rows and null ids are kept; other columns are not read.
     """
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     rows = docs.select(
         F.col(text).alias("text"), F.col(id).alias("id"), F.when(learn, F.col(lang).cast("string")).alias("taught")
     )
-    model = train(rows.where(F.col("taught").isNotNull()), "text", "taught", slots)
-    scored = stored(_scores(rows, model, ["id", "taught"]), "languages")
+    names, bits = train(rows, "text", "taught")
+    scored = stored(_scores(rows, names, bits, ["id", "taught"], head), "languages")
     own = scored.where((F.col("taught") == F.col("lang_pred")) & (F.col("n") > 0))
     mean = own.groupBy("lang_pred").agg((F.sum(F.col("n") * F.col("cross_entropy")) / F.sum("n")).alias("mean"))
     mean = stored(mean, "means")
