@@ -1,6 +1,8 @@
 """Line dedup: lines that differ from an earlier line by one word at most are removed.
 
-Lines are compared as sequences of words. The neighbourhood of a line is the line itself and all
+Lines are compared as sequences of words; a character of a script that is written without blanks is a
+word of its own. Exact repeats go whatever their length; one edit is allowed in lines of ``min_words``
+words or more, where such a character counts as half a word. The neighbourhood of a line is the line itself and all
 variants with one word deleted; two lines within one edit share a variant, so equal hashed variants
 are joined, the edit distance is verified on the words, and the earliest line is kept.
 
@@ -13,6 +15,7 @@ which the edit must lie. This leaves out no pair.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,30 +27,51 @@ from lectern.llm.tasks import Spans, WordHashes, free_name, key_filter, mixed, p
 
 MIN_WORDS = 5
 
+# Thai, Lao, Burmese, Khmer, kana, Han; and bytes without which a line has none of them.
+_UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_MAY_BE_UNSPACED = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
+
 _U = np.uint64
 _DELETED, _REPLACED = (int(mixed(np.array([k], np.uint64))[0]) for k in (14, 15))
 
 
+def _words(line: bytes) -> tuple[list[bytes], int]:
+    """The words of a line, and how many are characters of scripts without blanks."""
+    if not _MAY_BE_UNSPACED.search(line):
+        return line.split(), 0
+    apart, n = _UNSPACED.subn(r" \g<0> ", line.decode())
+    return apart.encode().split(), n
+
+
 class _Lines:
-    """Lines of at least ``min_words`` words of the texts of a slice, as parallel arrays."""
+    """Lines with a word of the texts of a slice, as parallel arrays; ``short`` ones have no halves."""
 
     def __init__(self, part: pa.RecordBatch, min_words: int):
         import xxhash
 
         digest = xxhash.xxh64_intdigest
         self.words: list[bytes] = []
-        docs, numbers, later, hashes = [], [], [], []
+        docs, numbers, later, short, hashes = [], [], [], [], []
         for doc_id, text in zip(part.column(1).to_pylist(), texts_of(part), strict=True):
             if doc_id is None:
                 continue
             seen = set()
             for number, line in enumerate(text.split(b"\n")):
-                words = line.split()
+                words, unspaced = _words(line)
                 n = len(words)
-                if n < min_words:
+                if not n:
                     continue
                 whole = b" ".join(words)
                 key = digest(whole, 1)
+                docs.append(doc_id)
+                numbers.append(number)
+                later.append(key in seen)
+                seen.add(key)
+                self.words.append(whole)
+                short.append(n < 2 or 2 * n - unspaced < 2 * min_words)
+                if short[-1]:
+                    hashes += (key, 0, 0, 0, 0)
+                    continue
                 # Halves for partners that are not shorter (m = n), and for shorter ones (m = n - 1).
                 half, less = n // 2, (n - 1) // 2
                 cut = len(b" ".join(words[:half]))
@@ -61,15 +85,10 @@ class _Lines:
                     digest(whole[:first], 4 * n - 4),
                     digest(whole[rest:], 4 * n - 3),
                 )
-                docs.append(doc_id)
-                numbers.append(number)
-                later.append(key in seen)
-                seen.add(key)
-                self.words.append(whole)
         table = np.array(hashes, np.uint64).reshape(-1, 5)
         self.key, self.halves = table[:, 0], [table[:, k] for k in range(1, 5)]
         self.doc_id, self.line = np.array(docs, np.int64), np.array(numbers, np.int32)
-        self.later = np.array(later, bool)
+        self.later, self.short = np.array(later, bool), np.array(short, bool)
 
 
 def _all_lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -80,8 +99,9 @@ def _all_lines(docs: DataFrame, min_words: int) -> DataFrame:
             for part in text_slices(batch):
                 lines = _Lines(part, min_words)
                 keys = [np.ascontiguousarray(k).view(np.int64) for k in (lines.key, *lines.halves)]
-                columns = [lines.doc_id, lines.line, keys[0], lines.later, *keys[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                columns = [pa.array(c) for c in (lines.doc_id, lines.line, keys[0], lines.later)]
+                columns += [pa.array(k, mask=lines.short) for k in keys[1:]]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, "doc_id bigint, line int, h bigint, later boolean, k0 bigint, k1 bigint, k2 bigint, k3 bigint")
 
@@ -97,7 +117,7 @@ def _candidates(docs: DataFrame, wanted: np.ndarray, min_words: int) -> DataFram
                 sides = np.zeros(len(lines.key), np.int32)
                 for i, keys in enumerate(lines.halves):
                     sides |= passes(shared.value, keys).astype(np.int32) << i
-                at = np.flatnonzero((sides > 0) & ~lines.later)
+                at = np.flatnonzero((sides > 0) & ~lines.later & ~lines.short)
                 words = [lines.words[i].decode() for i in at]
                 columns = [lines.key[at].view(np.int64), lines.doc_id[at], lines.line[at], words, sides[at]]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
@@ -170,7 +190,7 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_w
     """Lines to remove (doc_id, line number from 0): an earlier line is at most one word edit away.
 
     Earlier is a smaller document id, or before in the same document. Lines of fewer than ``min_words``
-    words are left alone; distances are judged on the input, not on what is left. Documents without an
+    words go only if an earlier one has the same words; distances are judged on the input, not on what is left. Documents without an
     id neither lose lines nor remove others'; rows that share an id are not earlier than each other.
     """
     narrow = docs.select(F.col(text).alias("text"), F.col(id).cast("bigint").alias("doc_id"))
@@ -180,7 +200,7 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_w
         lines.where("not later").groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in halves]),
         "distinct",
     )
-    twice = distinct.select(F.explode(F.array_distinct(F.array(*halves))).alias("k")).groupBy("k").count().where("count > 1")
+    twice = distinct.select(F.explode(F.array_distinct(F.array(*halves))).alias("k")).where("k is not null").groupBy("k").count().where("count > 1")
     found = _candidates(narrow, key_filter(twice, "k"), min_words)
     firsts = distinct.select(F.col("h").alias("_h"), "first")
     found = found.join(firsts, (F.col("h") == F.col("_h")) & (F.col("doc_id") == F.col("first"))).dropDuplicates(["h"])

@@ -55,3 +55,40 @@ def test_query_equals_brute_force_on_part(spark, tmp_path):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = {(r["doc_id"], r["kept_sha256"]) for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {(d, hashlib.sha256(k.encode()).hexdigest()) for d, k in plain(rows)}
+
+
+def test_short_lines_and_text_without_blanks(spark):
+    """Exact repeats go at any length; one edit from five words, or ten characters without blanks, on."""
+    rows = [
+        (1, "Menu\nRead more\n我们今天在图书馆里看了一本书\n我们今天\nสวัสดีชาวโลกทั้งหลาย\n\n \nalone"),
+        (2, "Menu\nRead  more\nRead less\n我们昨天在图书馆里看了一本书\n我们昨天\nสวัสดีชาวโลกทั้งหลาย\n\n \nMenu"),
+        (3, "我们今天在图书馆里看了一本书\n我们今天在学校里看了一本书\nnew\nnew"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert kept_of(lines.cut_lines(docs)) == {
+        (1, rows[0][1]),
+        (2, "Read less\n我们昨天\n\n "),
+        (3, "我们今天在学校里看了一本书\nnew"),
+    }
+
+
+def test_query_equals_brute_force_with_short_lines(spark, tmp_path):
+    """As ``plain``, but exact repeats go at any length."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want, earlier = set(), []
+    exact = set()
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        kept = []
+        for line in (r["text"] or "").split("\n"):
+            words = line.encode().split()
+            near = len(words) >= 5 and any(lines._one_edit(w, words) for w in earlier)
+            if not near and tuple(words) not in exact:
+                kept.append(line)
+            if words:
+                exact.add(tuple(words))
+            if len(words) >= 5:
+                earlier.append(words)
+        want.add((r["doc_id"], hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    got = {(r["doc_id"], r["kept_sha256"]) for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == want
