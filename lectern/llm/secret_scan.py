@@ -28,12 +28,15 @@ PATTERNS = {
     ACCESS: r"AKIA[A-Z0-9]{16,}",
     HEX: r"[0-9a-f]{24,}",
 }
-# Candidates and parts of this operator's own.
+# Candidates and parts of this operator's own. A name may follow an underscore (DB_PASS).
+_START = r"(?<![A-Za-z0-9])"
 PARTS = {
-    _WEAK_TOKEN: r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+]{32,64}={0,2}(?![A-Za-z0-9/+=_-])",
-    _WEAK_NAME: r"(?i)\b(pass|pwd|auth|key|credential)s?" + _VALUE + r"[A-Za-z0-9+/_.=-]{6,64}",
-    _IDENTIFIER: r"(?i)\b(access_key_id|client_id|user_?name|user|login|account)" + _VALUE + r"[A-Za-z0-9+/_.@=-]{3,}",
-    _ENDPOINT: r"(?i)\b(https?|s3|jdbc:[a-z]+|postgres|mysql|redis|amqp)://[A-Za-z0-9._:@-]+|\b(host|endpoint|server)"
+    _WEAK_TOKEN: r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+]{32,}+={0,2}+(?![A-Za-z0-9/+=_-])",
+    _WEAK_NAME: r"(?i)" + _START + r"(pass|pwd|auth|key|credential)s?" + _VALUE + r"[A-Za-z0-9+/_.=-]{6,}",
+    _IDENTIFIER: r"(?i)" + _START + r"(access_key_id|client_id|user_?name|user|login|account)" + _VALUE + r"[A-Za-z0-9+/_.@=-]{3,}",
+    _ENDPOINT: r"(?i)\b(https?|s3|jdbc:[a-z]+|postgres|mysql|redis|amqp)://[A-Za-z0-9._:@-]+|"
+    + _START
+    + r"(host|endpoint|server)"
     + _VALUE
     + r"[A-Za-z0-9.:/-]{3,}",
     _BLANK: r"\n[ \t\r]*\n",
