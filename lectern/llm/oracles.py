@@ -47,3 +47,66 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
 """
+
+# Damage by a checksum worked out bit by bit, then the cheapest edits from the last row to the first: for
+# each state the least (cost, audit, lines), without and then with rows inserted before.
+ORACLES["op13_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+faulty AS (
+  SELECT *, xor(4294967295, list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT),
+    lambda crc, byte: list_reduce(range(8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)), 4294967295)) % 20 AS fault
+  FROM keyed),
+left_over AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faulty),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM left_over),
+marked AS (
+  SELECT *, role[1] AS ini, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM numbered),
+rows_ AS (
+  SELECT *, role || ':' || text AS line, CASE WHEN cut THEN 3 ELSE 0 END AS open, CASE WHEN blank OR again THEN 1000000 ELSE 0 END AS must
+  FROM marked),
+solved AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, {'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]} AS e, {'c': 6::BIGINT, 'a': 'II', 'r': ['user:', 'assistant:']} AS s,
+    {'c': 3::BIGINT, 'a': 'I', 'r': ['assistant:']} AS u, {'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]} AS a FROM rows_
+  UNION ALL
+  SELECT conv_id, i,
+    least(pe, {'c': cu.c + 3, 'a': 'I' || cu.a, 'r': list_prepend('user:', cu.r)}),
+    least(ps, {'c': cu.c + 3, 'a': 'I' || cu.a, 'r': list_prepend('user:', cu.r)}), cu, ca
+  FROM (
+    SELECT *, least(pu, {'c': pa.c + 3, 'a': 'I' || pa.a, 'r': list_prepend('assistant:', pa.r)}) AS cu,
+      least(pa, {'c': pu.c + 3, 'a': 'I' || pu.a, 'r': list_prepend('user:', pu.r)}) AS ca
+    FROM (
+      SELECT conv_id, i,
+        least({'c': e.c + 4, 'a': 'D' || e.a, 'r': e.r}, to_user,
+          {'c': CASE ini WHEN 's' THEN s.c WHEN 'u' THEN u.c ELSE 1000000 END + must + open, 'a': 'K' || CASE ini WHEN 's' THEN s.a ELSE u.a END,
+           'r': list_prepend(line, CASE ini WHEN 's' THEN s.r ELSE u.r END)}) AS pe,
+        least({'c': s.c + 4, 'a': 'D' || s.a, 'r': s.r}, to_user, keep_user) AS ps,
+        least({'c': u.c + 4, 'a': 'D' || u.a, 'r': u.r}, {'c': a.c + must + open + 3, 'a': 'R' || a.a, 'r': list_prepend('assistant:' || text, a.r)},
+          {'c': CASE ini WHEN 'a' THEN a.c ELSE 1000000 END + must + open, 'a': 'K' || a.a, 'r': list_prepend(line, a.r)}) AS pu,
+        least({'c': a.c + 4, 'a': 'D' || a.a, 'r': a.r}, to_user, keep_user) AS pa
+      FROM (
+        SELECT x.conv_id, x.i, x.ini, x.line, x.text, x.must, x.open, y.e, y.s, y.u, y.a,
+          {'c': y.u.c + x.must + x.open + 3, 'a': 'R' || y.u.a, 'r': list_prepend('user:' || x.text, y.u.r)} AS to_user,
+          {'c': CASE x.ini WHEN 'u' THEN y.u.c ELSE 1000000 END + x.must + x.open, 'a': 'K' || y.u.a, 'r': list_prepend(x.line, y.u.r)} AS keep_user
+        FROM solved y JOIN rows_ x ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND x.i = y.i - 1)))),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE NOT blank AND again) AS duplicate, count(*) FILTER (WHERE NOT blank AND NOT again AND cut) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id),
+known AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(d.e.c, 0) AS cost, coalesce(d.e.a, '') AS audit,
+  sha256(coalesce(array_to_string(d.e.r, chr(10)), '')) AS repaired_sha256
+FROM known k LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN solved d ON d.conv_id IS NOT DISTINCT FROM k.conv_id AND d.i = 1
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, langid, lines, quality, secret_scan, simhash, substrings, toxicity, url_filter
+from lectern.llm import bpe, conversations, decontamination, langid, lines, quality, secret_scan, simhash, substrings, toxicity, url_filter
 from lectern.llm.tasks import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,9 @@ def op9_decontaminate(spark, sf_dir):
 @query
 def op10_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), with_values=False, **public_tokenizer())
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(turns), conversations=turns.select("conv_id"))
