@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, conversations, decontamination, langid, lines, quality, secret_scan, simhash, substrings, toxicity, url_filter
+from lectern.llm import bpe, conversations, decontamination, langid, lines, packing, quality, ranking, secret_scan, simhash, substrings, toxicity, url_filter
 from lectern.llm.tasks import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,19 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), with_values=False, **public_tokenizer())
 
 
+@query
+def op11_packing(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_conversation_repair(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")

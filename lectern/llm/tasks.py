@@ -56,6 +56,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def blocks(items: DataFrame, limit: int) -> Iterator[list[tuple]]:
+    """Rows (``id``, ``text``) in blocks of about ``limit`` bytes, one on the driver at a time; an id is in one block."""
+    weight = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0)).alias("n")).first()["n"]
+    n = int(weight // limit) + 1
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()
+        yield [(r["id"], (r["text"] or "").encode()) for r in rows]
+
+
 def fold(key: Column) -> Column:
     """crc32 of the key as text, modulo 4; remainder 2 is held out from learning."""
     return F.crc32(key.cast("string").cast("binary")) % 4
