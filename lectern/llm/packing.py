@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ WINDOW = 4096
 END = 2
 SHARD_BYTES = 4 * 2**20
 NEIGHBOURS = 32
-# Words that one task remembers the tokens of.
-WORDS = 300_000
+# Words that one worker remembers the tokens of.
+WORDS = 600_000
 
 # BM25 with its customary constants.
 _K1, _B = 1.2, 0.75
@@ -68,7 +70,8 @@ class WordTokens:
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
         model = settings["model"]
-        self.cut = regex.compile(settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # The vocabulary's own way to cut a text; line breaks stand between words here.
+        self.cut = regex.compile(settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
         vocabulary, letters = model["vocab"], _bytes_of_letters()
 
         def merged(token: str) -> bytes:
@@ -111,19 +114,23 @@ class WordTokens:
         self.used += len(ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, others = [], []
-        for word in words:
-            # Up to U+023F; U+0130 grows when lowered.
-            simple = b"<|" not in word and (word.isascii() or max(word) < 0xC9) and b"\xc4\xb0" not in word
-            (plain if simple else others).append(word)
+        data = np.frombuffer(b"\n".join(words), np.uint8)
+        # The fast way takes letters up to U+023F; U+0130 grows when lowered, and special tokens start with <|.
+        odd = data >= 0xC9
+        odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0) | (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        breaks = np.flatnonzero(data == 0x0A)
+        left = set(np.searchsorted(breaks, np.flatnonzero(odd)).tolist())
+        plain = [w for i, w in enumerate(words) if i not in left] if left else words
         if plain:
-            cut = [self.cut.findall(w.decode().lower()) for w in plain]
-            counts = np.array([len(x) for x in cut], np.int64)
-            found = self.fast.encode_to_numpy("".join([p + "\n" for x in cut for p in x]))
+            cut = self.cut.findall(b"\n".join(plain).decode().lower())
+            breaks = np.array([i for i, piece in enumerate(cut) if piece == "\n"], np.int64)
+            counts = np.diff(np.concatenate([[-1], breaks, [len(cut)]])) - 1
+            found = self.fast.encode_to_numpy("\n".join([piece for piece in cut if piece != "\n"]) + "\n")
             ends = np.concatenate([[0], np.flatnonzero(self.last[found]) + 1])
             at = ends[np.concatenate([[0], np.cumsum(counts)])]
             self._keep(plain, self.numbers[found], np.diff(at))
-        if others:
+        if left:
+            others = [words[i] for i in sorted(left)]
             found = [x.ids for x in self.library.encode_batch([w.decode() for w in others], add_special_tokens=False)]
             self._keep(others, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
 
@@ -132,7 +139,7 @@ class WordTokens:
         split = [x.split() for x in texts]
         if len(self.places) > self.held:
             self._forget()
-        unseen = list(dict.fromkeys(w for words in split for w in words if w not in self.places))
+        unseen = list(set(chain.from_iterable(split)).difference(self.places))
         if unseen:
             self._learn(unseen)
         out = []
@@ -145,6 +152,12 @@ class WordTokens:
         return out
 
 
+@lru_cache(maxsize=1)
+def _tokens(path: str) -> WordTokens:
+    """One for each worker, kept from task to task."""
+    return WordTokens(path)
+
+
 class ShardIndex:
     """BM25 inverted index over the tokens of a shard's documents."""
 
@@ -292,7 +305,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens = WordTokens(tokenizer)
+        tokens = _tokens(tokenizer)
         packer = _Packer(window, TaskContext.get().partitionId() << 32, with_ids)
         key = None
 
