@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def logarithm(value: Column, base: Column | float | None = None) -> Column:
 
 def factorial(value: Column) -> Column:
     """Factorial of a whole number from 0 to 170, the last that a double holds, otherwise null."""
-    known = F.array(*[F.lit(float(math.factorial(n))) for n in range(171)])
+    known = F.lit(np.array([float(math.factorial(n)) for n in range(171)]))  # one literal
     inside = value.between(0, 170)
     place = F.when(inside, value.cast("double").cast("int"))
     return F.when(inside & (place == value.cast("double")), F.get(known, place))

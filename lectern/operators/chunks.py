@@ -28,7 +28,7 @@ def chunk_pages(
     pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
     """``(source, page_num, start, content)``: windows of ``size`` characters every
-    ``size - overlap``, trimmed after cutting, without the empty ones.
+    ``size - overlap``, trimmed after cutting, without the empty ones. A ``page_key`` is carried along.
 
     ``start`` counts from 0 and is the position of the window before trimming. Everything
     happens row by row: no shuffle.
@@ -38,31 +38,20 @@ def chunk_pages(
     step = size - overlap
     slice_step = step * _WINDOWS_PER_SLICE
     last_start = slice_step - step
+    page = [c for c in ("source", "page_key", "page_num") if c in pages.columns]
 
     windows = (
         pages.where(F.length("content") > 0)
-        .select("source", "page_num", "content", F.explode(_starts("content", None, slice_step)).alias("_at"))
-        .select(
-            "source",
-            "page_num",
-            "_at",
-            F.substring("content", F.col("_at") + 1, F.lit(last_start + size)).alias("_slice"),
-        )
-        .select(
-            "source",
-            "page_num",
-            "_at",
-            "_slice",
-            F.explode(_starts("_slice", F.lit(last_start), step)).alias("_in"),
-        )
+        .select(*page, "content", F.explode(_starts("content", None, slice_step)).alias("_at"))
+        .select(*page, "_at", F.substring("content", F.col("_at") + 1, F.lit(last_start + size)).alias("_slice"))
+        .select(*page, "_at", "_slice", F.explode(_starts("_slice", F.lit(last_start), step)).alias("_in"))
     )
     # Exploding an array of one keeps the optimizer from folding the text's expression into
     # the filter and into whatever comes later, where it would be evaluated again and drag
     # the slice along.
     text = strip(F.substring("_slice", F.col("_in") + 1, F.lit(size)))
     return windows.select(
-        "source",
-        "page_num",
+        *page,
         (F.col("_at") + F.col("_in")).alias("start"),
         F.explode(F.array(text)).alias("content"),
     ).where(F.length("content") > 0)
@@ -73,6 +62,8 @@ def chunk_id(
 ) -> Column:
     """The same text at the same place always gets the same id, so runs can be repeated; a revised
     text gets another one. A missing part is marked, so that it is not taken for another part.
+
+    ``page`` should name what a page keeps when others are put before it, which its number is not.
     """
     parts = [F.col(source), F.col(page), F.col(start), F.sha2(F.col(content), 256)]
     marked = [F.coalesce(F.concat(F.lit("="), part.cast("string")), F.lit("~")) for part in parts]
@@ -80,8 +71,9 @@ def chunk_id(
 
 
 def with_ids(chunks: DataFrame, deterministic: bool = True) -> DataFrame:
-    """Add ``id``: from the chunk's place and text, or a random one."""
-    return chunks.withColumn("id", chunk_id() if deterministic else F.expr("uuid()"))
+    """Add ``id``: from the chunk's place (by ``page_key`` if there is one) and text, or a random one."""
+    page = "page_key" if "page_key" in chunks.columns else "page_num"
+    return chunks.withColumn("id", chunk_id(page=page) if deterministic else F.expr("uuid()"))
 
 
 def new_chunks(chunks: DataFrame, stored: DataFrame, broadcast_ids: int = _BROADCAST_IDS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import preview
@@ -203,6 +203,49 @@ def confusion_table(accuracy: DataFrame, agents: list[str]) -> DataFrame:
     return accuracy.groupBy("expected_agent").pivot("agent", agents).agg(F.sum("n_cases")).fillna(0, agents)
 
 
+def _ways_from_root(members: DataFrame, at: Column, max_depth: int | None) -> DataFrame:
+    """``_response, _member, _way``: the steps that lead from the root to each nested run."""
+    spark = members.sparkSession
+    current = members.select(
+        F.col("response_id").alias("_response"),
+        F.col("node_id").alias("_member"),
+        F.col("parent_id").alias("_above"),
+        F.array(F.struct(F.lit(2).alias("section"), at.alias("at"))).alias("_way"),
+        F.lit(True).alias("_open"),
+    )
+    # A way of 2**62 steps is in a circle; with a limit, fewer rounds show that it is passed.
+    for doubled in range(62 if max_depth is None else max(0, max_depth - 1).bit_length() + 2):
+        path, seen = scratch_path(spark, "ways"), Observation()
+        counts = [F.count_if("_open").alias("open"), F.max(F.when(~F.col("_open"), F.size("_way"))).alias("depth"), F.count(F.lit(1)).alias("n")]
+        current.observe(seen, *counts).write.parquet(path)
+        state, current = seen.get, spark.read.schema(current.schema).parquet(path)
+        if max_depth is not None and (state["depth"] or 0) > max_depth:
+            break
+        if not state["open"]:
+            return current.select("_response", "_member", "_way")
+        above = current.select(
+            F.col("_response").alias("_r"),
+            F.col("_member").alias("_m"),
+            F.col("_above").alias("_higher"),
+            F.col("_way").alias("_longer"),
+            F.col("_open").alias("_more"),
+        )
+        climbing = current.where("_open").join(above, (F.col("_response") == F.col("_r")) & (F.col("_above") == F.col("_m")), "left")
+        nested = F.col("_m").isNotNull()
+        climbed = climbing.select(
+            "_response",
+            "_member",
+            F.when(nested, F.col("_higher")).otherwise(F.col("_above")).alias("_above"),
+            F.when(nested, F.concat("_longer", "_way")).otherwise(F.col("_way")).alias("_way"),
+            (nested & F.col("_more")).alias("_open"),
+        )
+        # More steps than there are runs: a circle.
+        if state["n"] and doubled > state["n"].bit_length():
+            break
+        current = climbed.unionByName(current.where("not _open"))
+    raise ValueError("runs are nested in a circle" if max_depth is None else f"a run is nested more than {max_depth} deep")
+
+
 def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int | None = None) -> DataFrame:
     """``(response_id, context)``: the first non-empty search result of each run, null if none.
 
@@ -213,11 +256,12 @@ def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int
     members one after the other with everything below them, then its messages. Only the first
     message of the tool counts for a run; empty results are passed over.
 
-    The first result of each run climbs to the root, one join per level, and notes its way; of those
-    that meet in a run only the least way goes on. The climb ends when nothing is nested any more.
-    Texts stay behind and are fetched for the winners. With ``max_depth``, a run nested deeper is an
-    error; runs that lie within each other in a circle always are. If there is a column ``role``, messages
-    of other roles than ``tool`` do not count.
+    Runs find their way from the root by pointer doubling: each points to the run above it, then to the one two
+    above, four, eight …, and joins the ways, so that the number of rounds grows with the logarithm of the depth;
+    runs that have reached the root leave the loop. The first result of each run then has its whole way, and
+    the least one of a response wins. Texts are fetched for the winners only. With ``max_depth``, a run
+    nested deeper is an error; runs that lie within each other in a circle always are. If there is a column
+    ``role``, messages of other roles than ``tool`` do not count.
     """
     named = nodes.where(F.col("name") == tool)
     if "role" in nodes.columns:
@@ -241,40 +285,12 @@ def retrieved_context(nodes: DataFrame, tool: str = SEARCH_TOOL, max_depth: int
             )
         )
 
-    members = nodes.where(F.col("kind") == "member").select(
-        F.col("response_id").alias("_response"),
-        F.col("node_id").alias("_member"),
-        F.col("parent_id").alias("_parent"),
-        F.struct(F.lit(2).alias("section"), at.alias("at")).alias("_step"),
-    )
     found = first_of_run("tool", 1).unionByName(first_of_run("message", 3))
+    ways = _ways_from_root(nodes.where(F.col("kind") == "member"), at, max_depth)
     inside = (F.col("response_id") == F.col("_response")) & (F.col("run") == F.col("_member"))
-    nested = F.col("_parent").isNotNull()
-    spark = nodes.sparkSession
-    most = members.count() if max_depth is None else max_depth
-    for _ in range(most + 1):
-        level = (
-            found.join(members, inside, "left")
-            .select(
-                "response_id",
-                F.when(nested, F.col("_parent")).otherwise(F.col("run")).alias("run"),
-                F.when(nested, F.concat(F.array("_step"), F.col("way"))).otherwise(F.col("way")).alias("way"),
-                "node_id",
-                nested.alias("climbed"),
-            )
-            .groupBy("response_id", "run")
-            .agg(F.min(F.struct("way", "node_id")).alias("first"), F.max("climbed").alias("climbed"))
-            .select("response_id", "run", "first.*", "climbed")
-        )
-        path = scratch_path(spark, "level")
-        level.write.parquet(path)
-        found = spark.read.schema(level.schema).parquet(path)
-        if found.where("climbed").isEmpty():
-            break
-        found = found.drop("climbed")
-    else:
-        raise ValueError(f"a run is nested more than {most} deep")
-    first = found.groupBy("response_id").agg(F.min_by("node_id", "way").alias("node_id"))
+    whole = F.concat(F.coalesce("_way", F.array().cast(ways.schema["_way"].dataType)), F.col("way"))
+    placed = found.join(ways, inside, "left").select("response_id", whole.alias("way"), "node_id")
+    first = placed.groupBy("response_id").agg(F.min_by("node_id", "way").alias("node_id"))
     texts = named.where(filled).select("response_id", "node_id", F.col("content").alias("context"))
     return (
         nodes.where(F.col("kind") == "run")

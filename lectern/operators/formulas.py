@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Why a formula has no usable result, and what to look at.
+_MISSING = ("no result", "look for missing inputs, divisors of zero and arguments outside a function's domain")
+_NOT_A_NUMBER = ("result is not a number", "look for roots and logarithms of negative values")
+_INFINITE = ("result is infinite", "use smaller values or exponents")
+
+
 def formula_columns(df: DataFrame, formulas: dict[str, Column]) -> DataFrame:
-    """Add ``name``, ``name_integral`` and ``name_status`` for every formula.
+    """Add ``name``, ``name_integral``, ``name_status``, ``name_error`` and ``name_hint`` for every formula.
 
     Formulas are Column expressions; ``lectern.functions`` has those whose usual Spark form
     differs (division, modulo, logarithm, factorial). A result that is null, NaN or infinite
-    is an ``error`` and becomes null; ``name_integral`` tells whether it is a whole number.
+    is an ``error`` and becomes null, with the reason in ``name_error`` and advice in ``name_hint``; both
+    are null for a ``success``. ``name_integral`` tells whether the result is a whole number.
     """
     raw = {name: f"_raw_{name}" for name in formulas}
     computed = df.withColumns({raw[n]: e.cast("double") for n, e in formulas.items()})
@@ -24,4 +31,7 @@ def formula_columns(df: DataFrame, formulas: dict[str, Column]) -> DataFrame:
         added[name] = result
         added[f"{name}_integral"] = F.coalesce((F.abs(result) >= float(2**53)) | (result == F.floor(result)), F.lit(False))
         added[f"{name}_status"] = F.when(usable, "success").otherwise("error")
+        for i, part in enumerate(("error", "hint")):
+            told = F.when(value.isNull(), _MISSING[i]).when(F.isnan(value), _NOT_A_NUMBER[i]).when(~usable, _INFINITE[i])
+            added[f"{name}_{part}"] = told
     return computed.withColumns(added).drop(*raw.values())

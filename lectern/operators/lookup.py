@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.operators.matching import BROADCAST_KEYS, INLINE_KEYS, key_hits, occurs
+from lectern.operators.matching import BROADCAST_KEYS, INLINE_KEYS, occurrences, occurs
 from lectern.operators.sizing import broadcast_if_small, rows_within
 
 RESULTS = "array<struct<title:string,url:string,content:string>>"
@@ -25,6 +26,7 @@ def keyword_lookup(
     max_results: int = MAX_RESULTS,
     word: bool = False,
     inline_keys: int = INLINE_KEYS,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """``(query_id, query, key, answer, results)``: the first entry of ``table`` by
     ``priority`` whose key is part of the query in lower case; nulls where there is none.
@@ -39,22 +41,22 @@ def keyword_lookup(
     same = F.col("key") == F.col("_key")
     entries = rows_within(table.select("priority", "key"), inline_keys)
     if entries is None:
-        hits = key_hits(
-            queries.select(F.col("query_id").alias("text_id"), F.lower("query").alias("text")),
-            table.select("priority", "key"),
-            word,
-        )
-        first = hits.groupBy(F.col("text_id").alias("query_id")).agg(F.min(F.struct("priority", "key")).alias("first"))
+        number = table.schema["priority"].dataType
+        none = F.lit(None).cast(T.StructType([T.StructField("priority", number), T.StructField("key", T.StringType())]))
+        texts = queries.select(F.col("query_id").alias("text_id"), F.lower("query").alias("text"))
+        hits = occurrences(texts, table.select("priority", "key"), word, broadcast_keys)
+        hits = hits.select(F.col("text_id").alias("query_id"), F.lit(None).cast("string").alias("query"), F.struct("priority", "key").alias("first"))
+        # Each query meets its entries in one aggregation; entries are narrow, and the least goes on.
+        every = queries.select("query_id", "query", none.alias("first")).unionByName(hits)
+        first = every.groupBy("query_id").agg(F.max("query").alias("query"), F.min("first").alias("first"))
         # Queries without an entry get keys of their own, spread evenly, where a null would
         # bring them all to one task.
         unlike = F.lit(-(2**40)) - F.pmod(F.xxhash64("query_id"), F.lit(2**20))
         entry = F.coalesce(F.col("first.priority").cast("long"), unlike)
         table_side = capped.withColumn("entry", F.col("priority").cast("long")).drop("priority")
         return (
-            queries.select("query_id", "query")
-            .join(first, "query_id", "left")
-            .select("query_id", "query", entry.alias("_entry"), F.col("first.key").alias("_key"))
-            .join(broadcast_if_small(table_side, BROADCAST_KEYS), same & (F.col("entry") == F.col("_entry")), "left")
+            first.select("query_id", "query", entry.alias("_entry"), F.col("first.key").alias("_key"))
+            .join(broadcast_if_small(table_side, broadcast_keys), same & (F.col("entry") == F.col("_entry")), "left")
             .select("query_id", "query", "key", "answer", "results")
         )
     lowered = F.lower("query")

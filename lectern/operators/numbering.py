@@ -1,94 +1,47 @@
 """Consecutive numbers within a group, also where one group holds most of the rows.
 
-A plain ``row_number`` sends each group to one task. Here a large group is cut into ranges
-of its order, every range is numbered by a task of its own, and the number of rows in the
-earlier ranges is added on top.
+A plain ``row_number`` sends each group to one task. Here the keys alone are dealt out by ranges of
+(group, order) and sorted; a row's place in its range is its number but for the rows of its group in earlier
+ranges, which one small sum per range and group supplies. The numbers then meet the rows by key.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-ROWS_PER_RANGE = 1_000_000
-SAMPLE_ROWS = 20_000
 
+from lectern.session import scratch_path
 
-def _range_starts(df: DataFrame, group: str, order: list[str], total: int, rows_per_range: int):
-    """First order key of every range after the first, for the groups large enough to be cut.
+# Bits of ``monotonically_increasing_id`` that count within a partition.
+_PLACE_BITS = 33
 
-    Works on a sample of about SAMPLE_ROWS narrow rows. Where the cuts fall only affects how
-    even the ranges are, never the numbers.
-    """
-    fraction = min(1.0, SAMPLE_ROWS / total)
-    sampled = defaultdict(list)
-    narrow = df.select(F.col(group).alias("g"), F.struct(*order).alias("k"))
-    for row in narrow.sample(fraction, 17).orderBy("g", "k").collect():
-        sampled[row["g"]].append(row["k"])
-    starts = []
-    for value, keys in sampled.items():
-        ranges = math.ceil(len(keys) / fraction / rows_per_range)
-        cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if ranges > 1 else []
-        if cuts:
-            starts.append((value, cuts))
-    return starts
 
+def place_rows(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``group`` and ``order`` of every row, with ``name``: 1, 2, 3 … within the group by ``order``.
 
-def number_rows(
-    df: DataFrame,
-    group: str,
-    order: list[str],
-    name: str,
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
+    Rows that tie come in any order. The sorted keys are stored, since ranges drawn anew would cut
+    elsewhere.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "places")
+    keys = [F.col(group).alias("_group"), *[F.col(c).alias(f"_key{i}") for i, c in enumerate(order)]]
+    narrow = df.select(*keys)
+    ordered = narrow.repartitionByRange(*narrow.columns).sortWithinPartitions(*narrow.columns)
+    ordered.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.schema(narrow.withColumn("_at", F.lit(0).cast("long")).schema).parquet(path)
+    placed = placed.withColumn("_part", F.shiftright("_at", _PLACE_BITS))
+    # One row for each range and group that meet: fewer than ranges and groups together.
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("_group", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    first = first.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    first = first.select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), "_first", "_before")
+    met = placed.join(first, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return met.select(*narrow.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name))
+
+
+def number_rows(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Add ``name``: 1, 2, 3 … within ``group`` by ``order``, which must be unique there."""
-    total = df.count()
-    starts = []
-    if total > rows_per_range:
-        starts = _range_starts(df, group, order, total, rows_per_range)
-    if not starts:
-        numbered = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-        return df.withColumn(name, numbered.cast("long"))
-
-    key = F.struct(*order)
-    schema = T.StructType(
-        [
-            T.StructField("_group", df.schema[group].dataType),
-            T.StructField("_starts", T.ArrayType(df.select(key.alias("k")).schema["k"].dataType)),
-        ]
-    )
-    # At most SAMPLE_ROWS cuts in all, so this side always fits a broadcast.
-    cuts = F.broadcast(df.sparkSession.createDataFrame(starts, schema))
-
-    def with_range(rows: DataFrame, how: str) -> DataFrame:
-        passed = F.size(F.filter("_starts", lambda first: first <= key))
-        return (
-            rows.join(cuts, F.col(group).eqNullSafe(F.col("_group")), how)
-            .withColumn("_range", F.coalesce(F.when(F.col("_starts").isNotNull(), passed), F.lit(0)))
-            .drop("_starts", "_group")
-        )
-
-    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        with_range(df.select(group, *order), "inner")
-        .groupBy(group, "_range")
-        .count()
-        .select(
-            F.col(group).alias("_og"),
-            F.col("_range").alias("_or"),
-            F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"),
-        )
-    )
-    same: list[Column] = [F.col(group).eqNullSafe(F.col("_og")), F.col("_range") == F.col("_or")]
-    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
-    return (
-        with_range(df, "left")
-        .join(F.broadcast(offsets), reduce(lambda a, b: a & b, same), "left")
-        .withColumn(name, inside.cast("long") + F.coalesce("_before", F.lit(0)))
-        .drop("_range", "_og", "_or", "_before")
-    )
+    places = place_rows(df, group, order, name)
+    same = F.col(group).eqNullSafe(F.col("_group"))
+    for i, column in enumerate(order):
+        same &= F.col(column).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(places, same).select(*df.columns, name)

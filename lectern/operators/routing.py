@@ -8,9 +8,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.operators.matching import INLINE_KEYS, key_hits, occurs
+from lectern.operators.matching import BROADCAST_KEYS, INLINE_KEYS, occurrences, occurs
 from lectern.operators.sizing import rows_within
+from lectern.session import scratch_path
 
 RAG = "RAG"
 GENERAL = "GENERAL"
@@ -22,7 +24,11 @@ _VERDICT = r"Classification: \[?(RAG|GENERAL)\]? -- Reason: ([^\n]*)"
 
 
 def route_queries(
-    queries: DataFrame, terms: DataFrame, word: bool = False, inline_terms: int = INLINE_KEYS
+    queries: DataFrame,
+    terms: DataFrame,
+    word: bool = False,
+    inline_terms: int = INLINE_KEYS,
+    broadcast_terms: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Add ``rag_hits, general_hits, label, confidence, reason`` to ``query_id, query``.
 
@@ -33,17 +39,15 @@ def route_queries(
     terms = terms.select("term", "label").distinct()
     entries = rows_within(terms, inline_terms)
     if entries is None:
-        hits = key_hits(
-            queries.select(F.col("query_id").alias("text_id"), F.lower("query").alias("text")),
-            terms.select(F.col("term").alias("key"), "label"),
-            word,
-        )
-        counts = hits.groupBy(F.col("text_id").alias("query_id")).agg(
-            F.count_if(F.col("label") == RAG).alias("rag_hits"),
-            F.count_if(F.col("label") == GENERAL).alias("general_hits"),
-        )
-        counted = (
-            queries.select("query_id", "query").join(counts, "query_id", "left").fillna(0, ["rag_hits", "general_hits"])
+        texts = queries.select(F.col("query_id").alias("text_id"), F.lower("query").alias("text"))
+        hits = occurrences(texts, terms.select(F.col("term").alias("key"), "label"), word, broadcast_terms)
+        hits = hits.select(F.col("text_id").alias("query_id"), F.lit(None).cast("string").alias("query"), "key", "label")
+        none = F.lit(None).cast("string")
+        every = queries.select("query_id", "query", none.alias("key"), none.alias("label")).unionByName(hits)
+        counted = every.groupBy("query_id").agg(
+            F.max("query").alias("query"),
+            F.count_distinct(F.when(F.col("label") == RAG, F.col("key"))).alias("rag_hits"),
+            F.count_distinct(F.when(F.col("label") == GENERAL, F.col("key"))).alias("general_hits"),
         )
     else:
         lowered = F.lower("query")
@@ -150,7 +154,8 @@ def dispatch(routed: DataFrame, branches: dict[str, Callable[[DataFrame], DataFr
     """Send the rows of each label to its operator and gather the answers in one table.
 
     Columns that only some answers have are null in the others; ``label`` tells which branch
-    answered. Rows of a label without a branch are an error in the call, not dropped.
+    answered. Rows of a label without a branch are an error in the call, not dropped. The routed plan runs
+    once, whatever the number of branches.
     """
     known = F.coalesce(F.col("label").isin(*branches), F.lit(False))
     checked = routed.withColumn(
@@ -159,8 +164,12 @@ def dispatch(routed: DataFrame, branches: dict[str, Callable[[DataFrame], DataFr
             F.raise_error(F.concat(F.lit("no branch for label "), F.coalesce("label", F.lit("null"))))
         ),
     )
+    # Stored by label, so that the routed plan runs once and each branch reads its own files.
+    path = scratch_path(routed.sparkSession, "routed")
+    checked.withColumn("_branch", F.col("label")).write.partitionBy("_branch").parquet(path)
+    stored = routed.sparkSession.read.schema(T.StructType([*checked.schema.fields, T.StructField("_branch", T.StringType())])).parquet(path)
     answers = [
-        answer(checked.where(F.col("label") == label)).withColumn("label", F.lit(label))
+        answer(stored.where(F.col("_branch") == label).drop("_branch")).withColumn("label", F.lit(label))
         for label, answer in branches.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers)

@@ -1,28 +1,34 @@
-"""Exact cosine search for one query vector or a table of them, and a search by buckets.
+"""Exact cosine search for one query vector or a table of them.
 
 Many queries against many chunks is a matrix product. It is worked off in blocks inside the
 tasks, and a block only ever hands on its ``k`` best chunks per query; pairs are never rows of
 a DataFrame. Blocks are screened in single precision, and everything within the error bound of
 the k-th best is scored again in double, adding up in the order ``functions.vectors`` uses. The
 result is exact and does not depend on how the rows are split.
+
+The chunks are always read in place. Queries go to them as a broadcast, a large query table in one slab
+after the other. Over an index of many splits, some splits are searched first: the k-th best score of a
+query there bounds what the others need to hand on.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from hashlib import md5
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.numbers import round_score
-from lectern.operators.sizing import has_at_most
+from lectern.operators.filters import may_be_in
+from lectern.operators.sizing import has_at_most, splits
+from lectern.session import scratch_path, stored_table
 
 TOP_K = 5
 
@@ -30,8 +36,8 @@ TOP_K = 5
 BROADCAST_QUERY_BYTES = 64 * 2**20
 # Hits are broadcast to fetch their chunks up to this many rows (an id and three numbers each).
 BROADCAST_HITS = 500_000
-# Chunks handled together where both sides are split.
-ROWS_PER_CELL = 100_000
+# Splits of an index from which a few of them are searched first.
+SAMPLED_SPLITS = 16
 # Cells of one product of a block of queries and a batch of chunks.
 _PRODUCT_CELLS = 4_000_000
 # Pairs scored again at a time.
@@ -135,14 +141,15 @@ def search(
 
 
 class _Best:
-    """The k best chunks of every query among the batches seen so far."""
+    """The k best chunks of every query among the batches seen so far, of those that reach ``least``."""
 
-    def __init__(self, queries: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, k: int, least: np.ndarray | None = None):
         self.queries = _Vectors.of(queries)
         self.k = k
         self.dim = queries.shape[1]
         self.kept: pa.Table | None = None
-        self.worst = np.full(len(queries), -np.inf)
+        self.least = np.full(len(queries), -np.inf) if least is None else least
+        self.worst = self.least.copy()
         # Bound on the error of a single precision cosine.
         self.slack = np.float32(2 * (self.dim + 4) * 2.0**-23)
 
@@ -164,7 +171,8 @@ class _Best:
         c = np.concatenate([f[1] for f in found])
         if len(q):
             score = _scores(self.queries, chunks, q, c)
-            self._keep(q, ids.take(pa.array(c)), score)
+            reached = score >= self.least[q]
+            self._keep(q[reached], ids.take(pa.array(c[reached])), score[reached])
 
     def _without_surplus_copies(self, ids: pa.Array, matrix: np.ndarray):
         """Leave out rows that cannot be hits: beyond the k lowest ids of equal vectors.
@@ -237,35 +245,6 @@ class _Best:
         )
 
 
-def _against_broadcast(query_table, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = query_table.value
-        if not len(queries):
-            return
-        best = _Best(queries, k)
-        for batch in batches:
-            best.add(batch)
-        hits = best.hits(query_ids)
-        if hits is not None:
-            yield from hits.to_batches()
-
-    return run
-
-
-def _cell(dim: int, k: int, schema: pa.Schema):
-    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
-        query_ids, vectors = _fitting(queries["query_id"], queries["query"], dim)
-        if not len(query_ids):
-            return schema.empty_table()
-        best = _Best(_matrix(vectors, dim), k)
-        for batch in chunks.to_batches(max_chunksize=10_000):
-            best.add(batch)
-        hits = best.hits(query_ids)
-        return schema.empty_table() if hits is None else hits.cast(schema)
-
-    return run
-
-
 def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -276,17 +255,33 @@ def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
     )
 
 
-def _arrow_schema(spark, schema: T.StructType) -> pa.Schema:
-    return spark.createDataFrame([], schema).toArrow().schema
+def _searched(rows: DataFrame, held, schema: T.StructType, k: int, every: int = 1, least: np.ndarray | None = None) -> DataFrame:
+    """The k best rows of every query in each split, or in one of ``every`` splits; rows are read in place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _in_cells(queries: DataFrame, chunks: DataFrame, dim: int, k: int) -> DataFrame:
-    """Block product of two tables that carry the cell they belong to."""
-    schema = _hit_schema(queries, chunks)
-    product = _cell(dim, k, _arrow_schema(queries.sparkSession, schema))
-    return (
-        queries.groupBy("_a", "_b").cogroup(chunks.groupBy("_a", "_b")).applyInArrow(product, schema)
-    )
+        query_ids, queries = held.value
+        if not len(queries) or TaskContext.get().partitionId() % every:
+            return
+        best = _Best(queries, k, least)
+        for batch in batches:
+            best.add(batch)
+        hits = best.hits(query_ids)
+        if hits is not None:
+            yield from hits.to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _kth_best(hits: DataFrame, n_queries: int, k: int) -> np.ndarray:
+    """The k-th best score of each query (by its number) among ``hits``, minus infinity where there are fewer."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("raw"))
+    kth = hits.withColumn("raw", F.coalesce("raw", F.lit(_UNDEFINED))).withColumn("n", F.row_number().over(order))
+    found = kth.where(F.col("n") == k).select("query_id", "raw").toArrow()  # a row for each query of a slab at most
+    least = np.full(n_queries, -np.inf)
+    least[found["query_id"].to_numpy()] = found["raw"].to_numpy()
+    return least
 
 
 def _width(queries: DataFrame) -> int:
@@ -298,119 +293,50 @@ def _width(queries: DataFrame) -> int:
     return 1 if least is None else least
 
 
-def _best_hits(
-    queries: DataFrame, chunks: DataFrame, k: int, dim: int, query_bytes: int, cell_rows: int
-) -> tuple[DataFrame, int]:
-    """The k best of every query in every part of the chunks, and the number of queries."""
-    # Vectors of another width find nothing, and would make the weight of the collected ones unknown.
-    query = queries.where(F.size("embedding") == dim).select("query_id", F.col("embedding").alias("query"))
-    rows = chunks.select("id", "embedding")
-    per_slab = max(1, query_bytes // (8 * dim))
-    if has_at_most(query, per_slab):
-        few = query.toArrow()
-        query_ids, vectors = _fitting(few["query_id"], few["query"], dim)
-        held = query.sparkSession.sparkContext.broadcast(
-            (query_ids, np.array(_matrix(vectors, dim), dtype=np.float64))
-        )
-        return rows.mapInArrow(_against_broadcast(held, k), _hit_schema(query, rows)), few.num_rows
-
-    # Both sides are split: every slab of queries meets every part of the chunks. Ids are
-    # unique, so their hashes give parts of equal size whatever the data looks like.
-    asked = query.count()
-    slabs = math.ceil(asked / per_slab)
-    parts = max(1, math.ceil(rows.count() / cell_rows))
-    hits = _in_cells(
-        query.withColumn("_a", F.pmod(F.xxhash64("query_id"), F.lit(slabs))).withColumn(
-            "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-        ),
-        rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn(
-            "_a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slabs - 1).cast("long")))
-        ),
-        dim,
-        k,
-    )
-    return hits, asked
-
-
-def _planes(dim: int, bits: int) -> np.ndarray:
-    """``bits`` directions of +1 and -1 from a fixed rule."""
-    return np.array(
-        [
-            [1.0 if md5(f"{p}-{i}".encode()).hexdigest()[0] < "8" else -1.0 for i in range(dim)]
-            for p in range(bits)
-        ]
-    )
-
+def query_slabs(queries: DataFrame, dim: int, query_bytes: int) -> Iterator[tuple[pa.Array, np.ndarray, bool]]:
+    """Ids and vectors of the queries of width ``dim``, at most about ``query_bytes`` on the driver at a time,
+    and whether that is all of them.
 
-def direction_bucket(vector: Column, dim: int, bits: int) -> Column:
-    """Bit p tells on which side of direction p the vector lies: 0 to ``2**bits - 1``.
-
-    Vectors of another width fall into bucket 0.
+    A larger table is written in slabs first, each of which is then read for itself.
     """
-    planes, powers = _planes(dim, bits), 1 << np.arange(bits)
-
-    def bucket(vectors: pa.Array) -> pa.Array:
-        at, fitting = _fitting(pa.array(np.arange(len(vectors))), vectors, dim)
-        side = _matrix(fitting, dim).astype(np.float64) @ planes.T > 0
-        buckets = np.zeros(len(vectors), dtype=np.int32)
-        buckets[at.to_numpy()] = side @ powers
-        return pa.array(buckets)
-
-    return F.arrow_udf(bucket, T.IntegerType())(vector)
-
-
-def _by_bucket(counts: dict[int, int], bits: int, per_part: int, bucket: str) -> Column:
-    """Number of parts for the rows of a bucket, from the counted rows of each."""
-    parts = [max(1, math.ceil(counts.get(b, 0) / per_part)) for b in range(1 << bits)]
-    return F.element_at(F.lit(parts), F.col(bucket) + 1)
-
+    spark = queries.sparkSession
+    query = queries.where(F.size("embedding") == dim).select("query_id", F.col("embedding").alias("query"))
 
-def search_approx(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = TOP_K,
-    bits: int = 6,
-    dim: int | None = None,
-    query_bytes: int = BROADCAST_QUERY_BYTES,
-    cell_rows: int = ROWS_PER_CELL,
-) -> DataFrame:
-    """Like ``search_batch``, but each query only meets the chunks that lie in its own bucket
-    of directions or in one that differs in a single bit.
+    def held(part: DataFrame, whole: bool) -> tuple[pa.Array, np.ndarray, bool]:
+        few = part.toArrow()
+        query_ids, vectors = _fitting(few["query_id"], few["query"], dim)
+        return query_ids, np.array(_matrix(vectors, dim), dtype=np.float64), whole
 
-    Scores are exact; chunks in other buckets are missed. A bucket with many chunks or many
-    queries is split into parts, so a crowded one is worked off by many tasks.
+    per_slab = max(1, query_bytes // (8 * dim))
+    if has_at_most(query, per_slab):
+        yield held(query, True)
+        return
+    path, slabs = scratch_path(spark, "queries"), math.ceil(2 * query.count() / per_slab)
+    # Dealt by place and not by id, so that repeated ids spread as well.
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slabs))
+    query.withColumn("slab", place).write.partitionBy("slab").parquet(path)
+    for slab in range(slabs):
+        part = spark.read.parquet(path).where(F.col("slab") == slab).select("query_id", "query")
+        yield held(part.select(F.col("query_id").cast(query.schema["query_id"].dataType), "query"), False)
+
+
+def best_of_slabs(queries: DataFrame, rows: DataFrame, k: int, dim: int, query_bytes: int, search_slab) -> tuple[DataFrame, int]:
+    """Ranked hits (query_id, id, raw, rank) of all queries, and how many queries there are.
+
+    ``search_slab(held, schema)`` gives the hits of a slab that was broadcast. A single slab stays a lazy
+    plan; of several, each is searched and stored before the next one is fetched.
     """
-    if not 1 <= bits <= 10:
-        raise ValueError("bits is 1 to 10")
-    dim = _width(queries) if dim is None else dim
-    rows = chunks.select("id", "embedding").withColumn(
-        "_a", direction_bucket(F.col("embedding"), dim, bits)
-    )
-    probes = F.array(F.col("_own"), *[F.col("_own").bitwiseXOR(F.lit(1 << p)) for p in range(bits)])
-    asked = (
-        queries.select("query_id", F.col("embedding").alias("query"))
-        .withColumn("_own", direction_bucket(F.col("query"), dim, bits))
-        .withColumn("_a", F.explode(probes))
-        .drop("_own")
-    )
-    # At most 2**bits rows each.
-    in_bucket = dict(map(tuple, rows.groupBy("_a").count().collect()))
-    to_bucket = dict(map(tuple, asked.groupBy("_a").count().collect()))
-    parts = _by_bucket(in_bucket, bits, cell_rows, "_a")
-    slabs = _by_bucket(to_bucket, bits, max(1, query_bytes // (8 * dim)), "_a")
-    part, slab = F.pmod(F.xxhash64("id"), parts), F.pmod(F.xxhash64("query_id"), slabs)
-    hits = _in_cells(
-        asked.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))))
-        .withColumn("_b", F.col("_p") * slabs + slab)
-        .drop("_p"),
-        rows.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), (slabs - 1).cast("long"))))
-        .withColumn("_b", part * slabs + F.col("_s"))
-        .drop("_s"),
-        dim,
-        k,
-    )
-    n_queries = sum(to_bucket.values()) // (bits + 1)
-    return _completed(_ranked(hits, k), chunks, n_queries * k)
+    spark, schema = queries.sparkSession, _hit_schema(queries, rows)
+    parts, asked = [], 0
+    for query_ids, vectors, whole in query_slabs(queries, dim, query_bytes):
+        asked += len(query_ids)
+        held = spark.sparkContext.broadcast((query_ids, vectors))
+        hits = _ranked(search_slab(held, schema), k)
+        if whole:
+            return hits, asked
+        parts.append(stored_table(hits, "hits"))
+        held.destroy()
+    return reduce(DataFrame.unionByName, parts), asked
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -418,19 +344,23 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _completed(hits: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+def completed(hits: DataFrame, chunks: DataFrame, most: int, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """Hits, at most ``most``, with the other chunk columns fetched for the hits alone.
 
-    A moderate number is broadcast, so that the chunks are filtered where they are read
-    instead of being shuffled.
+    A moderate number is broadcast, so that the chunks are filtered where they are read. Of more, a Bloom
+    filter of their ids goes to the scan, and only chunks that pass it are shuffled to meet them.
     """
     scored = hits.select("query_id", "rank", "id", round_score(F.col("raw")).alias("score"))
     extra = [c for c in chunks.columns if c not in ("id", "embedding")]
     if not extra:
         return scored
-    wanted = F.broadcast(scored) if most <= BROADCAST_HITS else scored
-    found = chunks.select("id", *extra).join(wanted, "id")
-    return found.select("query_id", "rank", "id", *extra, "score")
+    wanted, told = scored, chunks.select("id", *extra)
+    if most <= broadcast_hits:
+        wanted = F.broadcast(scored)
+    else:
+        wanted = stored_table(scored, "hits")
+        told = told.where(may_be_in(wanted, "id", most)(F.col("id")))
+    return told.join(wanted, "id").select("query_id", "rank", "id", *extra, "score")
 
 
 def search_batch(
@@ -439,7 +369,8 @@ def search_batch(
     k: int = TOP_K,
     dim: int | None = None,
     query_bytes: int = BROADCAST_QUERY_BYTES,
-    cell_rows: int = ROWS_PER_CELL,
+    sampled_splits: int = SAMPLED_SPLITS,
+    broadcast_hits: int = BROADCAST_HITS,
 ) -> DataFrame:
     """The ``k`` most similar chunks of every query.
 
@@ -448,13 +379,27 @@ def search_batch(
     not ``dim`` wide are left out; ``sources.index.check_dimension`` names them. Without ``dim``, all
     query vectors must have one width.
 
-    Up to ``query_bytes`` of query vectors are broadcast and the chunks are read in place;
-    a larger query table is split along with the chunks. Embeddings are dropped before the
-    ranking, and only the hits are then completed with the chunks' texts.
+    Up to ``query_bytes`` of query vectors are broadcast at a time and the chunks are read in place, once
+    for each slab of queries. From ``sampled_splits`` splits on, the square root of their number is
+    searched first, and the others only hand on chunks that reach the k-th best score found there.
+    Embeddings are dropped before the ranking, and only the hits are then completed with the chunks' texts.
     """
     width = _width(queries) if dim is None else dim
-    hits, n_queries = _best_hits(queries, chunks, k, width, query_bytes, cell_rows)
-    return _completed(_ranked(hits, k), chunks, n_queries * k)
+    rows = chunks.select("id", "embedding")
+    pieces = splits(rows)
+
+    def search_slab(held, schema: T.StructType) -> DataFrame:
+        if pieces < sampled_splits:
+            return _searched(rows, held, schema, k)
+        numbered = rows.sparkSession.sparkContext.broadcast((pa.array(np.arange(len(held.value[0]))), held.value[1]))
+        by_number = T.StructType([T.StructField("query_id", T.LongType()), *schema.fields[1:]])
+        sample = _searched(rows, numbered, by_number, k, math.isqrt(pieces))
+        least = _kth_best(sample, len(held.value[0]), k)
+        numbered.destroy()
+        return _searched(rows, held, schema, k, least=least)
+
+    hits, n_queries = best_of_slabs(queries, rows, k, width, query_bytes, search_slab)
+    return completed(hits, chunks, n_queries * k, broadcast_hits)
 
 
 def search_stats(hits: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.numbering import ROWS_PER_RANGE, number_rows
+from lectern.operators.numbering import place_rows
+
+# Turns up to this many are paired by a plain window.
+ROWS_PER_RANGE = 1_000_000
 
 
 def session_history(turns: DataFrame, last_n: int = 5) -> DataFrame:
@@ -58,8 +61,10 @@ def turn_pairs(
             .where(asks & F.col("text").isNotNull())
             .select("conv_id", "turn", F.col("text").alias("question"), "reply")
         )
+    # All columns are keys, so the numbered keys are the turns.
     return (
-        number_rows(spoken, "conv_id", order, "_place", rows_per_range)
+        place_rows(spoken, "conv_id", order, "_place")
+        .toDF("conv_id", *order, "_place")
         .select(
             "conv_id",
             F.when(asks, F.col("_place")).otherwise(F.col("_place") - 1).alias("_place"),

@@ -42,6 +42,14 @@ def broadcast_if_small(df: DataFrame, rows: int, weight: int = BROADCAST_BYTES)
     return F.broadcast(df) if size["n_rows"] <= rows and size["n_bytes"] <= weight else df
 
 
+def splits(scan: DataFrame) -> int:
+    """About how many pieces a table scan is read in, from the planner's estimate of its size; nothing runs."""
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bytes_each = scan.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
+    each = int(scan.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(bytes_each))
+    return max(1, -(-size // max(1, each)))
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows of a table scan out by ``keys`` if it has fewer pieces than there are cores.
 

@@ -13,19 +13,30 @@ from lectern.functions.text import source_name
 from lectern.functions.vectors import cosine
 from lectern.operators import evaluation, routing
 from lectern.operators.chunks import chunk_pages, index_stats, new_chunks, with_ids
+from lectern.operators.context import format_context
 from lectern.operators.embedding import embed, hash_embed
 from lectern.operators.formulas import formula_columns
+from lectern.operators.inverted import search_approx, store_cells
 from lectern.operators.lookup import LOOKUP_SCHEMA, keyword_lookup, prefer, with_fallback
 from lectern.operators.numbering import number_rows
 from lectern.operators.responses import envelope, normalise_responses
-from lectern.operators.search import search, search_approx, search_batch, search_stats
+from lectern.operators.search import search, search_batch, search_stats
 from lectern.operators.sessions import session_history, turn_pairs
 from lectern.operators.sizing import spread
 from lectern.operators.units import convert_units, requested_units
 from lectern.plans.evaluation import evaluate
 from lectern.plans.knowledge import answer, build_index, index_rows, search_texts
-from lectern.session import scratch_path
-from lectern.sources.index import check_dimension, check_unique, ensure_index, scan_index
+from lectern.session import scratch_path, stored_table
+from lectern.sources.index import (
+    check_dimension,
+    check_unique,
+    clear_index,
+    compact_index,
+    ensure_index,
+    scan_index,
+    stored_rows,
+    write_index,
+)
 from lectern.sources.pages import numbered_pages, read_pages
 from lectern.streaming.index_stream import stream_index
 
@@ -44,8 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as books: one per source, pages in the order of ``doc_id``."""
-    return read_pages(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    """Documents as books: one per source, pages in the order of ``doc_id``, which is their key."""
+    return read_pages(table(spark, sf_dir, "documents"), "source", "doc_id", "text", with_key=True)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +68,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_pages_(spark, sf_dir):
-    return book_pages(spark, sf_dir)
+    return read_pages(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 @query
@@ -67,7 +78,7 @@ def source_name_(spark, sf_dir):
 
 @query
 def chunk_pages_(spark, sf_dir):
-    return chunk_pages(book_pages(spark, sf_dir))
+    return chunk_pages(book_pages(spark, sf_dir)).select("source", "page_num", "start", "content")
 
 
 @query
@@ -85,11 +96,32 @@ def _stored(index: DataFrame) -> DataFrame:
 
 @query
 def index_write(spark, sf_dir):
+    """Written once for a start, cleared, and written anew."""
     path = scratch_path(spark, "index")
-    build_index(book_pages(spark, sf_dir), path)
+    pages = book_pages(spark, sf_dir)
+    write_index(with_ids(chunk_pages(pages)).withColumn("embedding", F.array().cast("array<float>")), path)
+    clear_index(spark, path)
+    build_index(pages, path)
     return _stored(scan_index(spark, path))
 
 
+@query
+def index_append(spark, sf_dir):
+    """Chunks of labelled documents are stored; all others are appended, then some of them once more, which
+    the key refuses.
+    """
+    path = scratch_path(spark, "index")
+    chunks = with_ids(chunk_pages(book_pages(spark, sf_dir))).withColumn("embedding", F.array().cast("array<float>"))
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("page_key"))
+    write_index(chunks.join(labelled, "page_key", "left_semi"), path)
+    write_index(chunks.join(labelled, "page_key", "left_anti"), path, "append")
+    try:
+        write_index(chunks.where("page_num = 1"), path, "append")
+    except ValueError:
+        return scan_index(spark, path).groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("id").alias("n_ids"))
+    raise AssertionError("ids were stored twice")
+
+
 @query
 def index_count(spark, sf_dir):
     """Adding the same pages once more must not change the count."""
@@ -134,13 +166,12 @@ def new_chunks_(spark, sf_dir):
     earlier = documents.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
 
     def chunks(df: DataFrame) -> DataFrame:
-        return with_ids(chunk_pages(numbered_pages(df, "source", "page_num", "text")))
+        return with_ids(chunk_pages(numbered_pages(df, "source", "page_num", "text", "doc_id")))
 
     return new_chunks(chunks(documents), chunks(earlier)).select("id", "source", "page_num", "start")
 
 
-@query
-def reindex(spark, sf_dir):
+def _reindexed(spark: SparkSession, sf_dir: str) -> str:
     """Labelled documents were indexed earlier, the English ones as drafts; then all documents come
     as they are now. Most pages have other numbers by then.
     """
@@ -148,9 +179,49 @@ def reindex(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     draft = F.when(F.col("lang") == "en", F.concat(F.lit("Draft. "), "text")).otherwise(F.col("text"))
     earlier = documents.join(labels, "doc_id", "left_semi").withColumn("text", draft)
-    build_index(read_pages(earlier, "source", "doc_id", "text"), path)
+    build_index(read_pages(earlier, "source", "doc_id", "text", with_key=True), path)
     build_index(book_pages(spark, sf_dir), path, recreate=False)
-    return scan_index(spark, path).select("id", "source", "page_num", "start", "content")
+    return path
+
+
+@query
+def reindex(spark, sf_dir):
+    return scan_index(spark, _reindexed(spark, sf_dir)).select("id", "source", "page_num", "start", "content")
+
+
+@query
+def index_compacted(spark, sf_dir):
+    """The same after its logs were folded into the files: the rows are all that is stored."""
+    path = _reindexed(spark, sf_dir)
+    compact_index(spark, path, share=0.0, updates=0)
+    return stored_rows(spark, path).select("id", "source", "page_num", "start", "content")
+
+
+@query
+def reindex_inserted(spark, sf_dir):
+    """Every book gets its first page last: how many rows that writes, how many are dead afterwards, and
+    whether all pages have their new numbers.
+    """
+    path = scratch_path(spark, "index")
+    pages = book_pages(spark, sf_dir)
+    later = pages.where("page_num > 1").withColumn("page_num", F.col("page_num") - 1)
+    build_index(later, path)
+    before = stored_rows(spark, path).groupBy("source").agg(F.count(F.lit(1)).alias("n_before"))
+    before = stored_table(before, "before")
+    build_index(pages, path, recreate=False)
+    stored = stored_rows(spark, path).groupBy("source").agg(F.count(F.lit(1)).alias("n_stored"))
+    counted = scan_index(spark, path).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("page_num").alias("page_numbers"), F.count_distinct("page_num").alias("n_pages")
+    )
+    whole = counted.join(stored, "source").join(before, "source", "left")
+    return whole.select(
+        "source",
+        "n_chunks",
+        "n_pages",
+        "page_numbers",
+        (F.col("n_stored") - F.coalesce("n_before", F.lit(0))).alias("n_written"),
+        (F.col("n_stored") - F.col("n_chunks")).alias("n_dead"),
+    )
 
 
 @query
@@ -243,14 +314,33 @@ def search_batch_(spark, sf_dir):
 
 @query
 def search_split(spark, sf_dir):
-    """The same search with the query table treated as too large to broadcast."""
-    hits = search_batch(*_all_against_all(spark, sf_dir), query_bytes=256 * 64 * 8, cell_rows=250)
+    """The same search with the query table treated as too large to broadcast at once, the index as one of
+    many splits, and the hits as too many to broadcast.
+    """
+    hits = search_batch(
+        *_all_against_all(spark, sf_dir), query_bytes=1024 * 64 * 8, sampled_splits=1, broadcast_hits=0
+    )
     return hits.withColumnRenamed("id", "vec_id")
 
 
+@query
+def search_labels(spark, sf_dir):
+    """Vectors of one label lose a component; the others are searched among all, with labels fetched by a
+    filter of the hits' ids.
+    """
+    given = table(spark, sf_dir, "embeddings")
+    spoilt = F.when(F.col("label") == 1, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    chunks = given.select(F.col("vec_id").alias("id"), spoilt.alias("embedding"), "label")
+    queries = chunks.select(F.col("id").alias("query_id"), "embedding")
+    return search_batch(queries, chunks, dim=64, broadcast_hits=0).withColumnRenamed("id", "vec_id")
+
+
 @query
 def search_approx_(spark, sf_dir):
-    return search_approx(*_all_against_all(spark, sf_dir), bits=4).withColumnRenamed("id", "vec_id")
+    path = scratch_path(spark, "cells")
+    queries, chunks = _all_against_all(spark, sf_dir)
+    store_cells(chunks, path, cells=16)
+    return search_approx(queries, path, probes=12).withColumnRenamed("id", "vec_id")
 
 
 @query
@@ -270,6 +360,19 @@ def format_context_(spark, sf_dir):
     return answer(spark, scratch_path(spark, "index"), _asked(spark, sf_dir), book_pages(spark, sf_dir))
 
 
+@query
+def format_context_some(spark, sf_dir):
+    """Items of fewer than 150 characters ask without a word, and hits that score 0.6 or less do not count, so many
+    queries have none.
+    """
+    path = scratch_path(spark, "index")
+    build_index(book_pages(spark, sf_dir), path)
+    asked = _asked(spark, sf_dir)
+    vague = asked.withColumn("content", F.when(F.length("content") < 150, "\u2603 \u2603").otherwise(F.col("content")))
+    hits = search_texts(spark, path, vague).where("score > 0.6")
+    return format_context(vague, hits)
+
+
 @query
 def search_texts_(spark, sf_dir):
     """The same, but the hits themselves."""
@@ -295,9 +398,11 @@ def formula_columns_(spark, sf_dir):
         "above": F.ln(quantity - 25),
         "orderings": factorial(quantity),
         "explosion": F.exp(quantity * 20),
+        "below": F.sqrt(25 - quantity),
+        "huge": price * float(2**60),
     }
     computed = formula_columns(table(spark, sf_dir, "lineitem"), formulas)
-    plain = [n for n in formulas if n != "explosion"]
+    plain = [n for n in formulas if n not in ("explosion", "huge")]
     return computed.select(
         "l_orderkey",
         "l_linenumber",
@@ -311,6 +416,9 @@ def formula_columns_(spark, sf_dir):
         "above_status",
         "orderings_status",
         "explosion_status",
+        "huge_integral",
+        (F.col("huge") / float(2**60)).alias("huge"),
+        *[f"{n}_{part}" for n in ("per_off", "below", "explosion") for part in ("error", "hint")],
     )
 
 
@@ -395,24 +503,51 @@ def keyword_lookup_(spark, sf_dir):
     return found.select("query_id", "query", "key", "answer", _titles("results"))
 
 
-@query
-def keyword_lookup_table(spark, sf_dir):
-    """Keys taken from the data, matched by a join: every word of a part name, longer first."""
-    names = _names(spark, sf_dir)
+def _word_entries(names: DataFrame) -> DataFrame:
+    """An entry for every word of ``query``, longer ones first."""
     words = names.select(F.explode(F.split(F.lower("query"), " ")).alias("key")).distinct()
-    numbered = number_rows(
-        words.withColumns({"all": F.lit(1), "short": -F.length("key")}), "all", ["short", "key"], "priority"
-    )
-    entries = numbered.select(
+    numbered = number_rows(words.withColumns({"all": F.lit(1), "short": -F.length("key")}), "all", ["short", "key"], "priority")
+    return numbered.select(
         F.col("priority").cast("int").alias("priority"),
         "key",
         F.concat(F.lit("about "), "key").alias("answer"),
         F.array().cast("array<struct<title:string,url:string,content:string>>").alias("results"),
     )
-    found = keyword_lookup(names, entries, inline_keys=0)
+
+
+@query
+def keyword_lookup_table(spark, sf_dir):
+    """Keys taken from the data: every word of a part name, longer first."""
+    names = _names(spark, sf_dir)
+    found = keyword_lookup(names, _word_entries(names), inline_keys=0)
     return found.select("query_id", "key", "answer")
 
 
+@query
+def keyword_lookup_documents(spark, sf_dir):
+    """Whole documents asked for whole benchmark texts, as if the keys were too many to be sent to the tasks."""
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    items = table(spark, sf_dir, "benchmark")
+    entries = items.select(
+        F.col("item_id").cast("int").alias("priority"),
+        F.lower("text").alias("key"),
+        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("answer"),
+        F.array().cast("array<struct<title:string,url:string,content:string>>").alias("results"),
+    )
+    found = keyword_lookup(documents, entries, inline_keys=0, broadcast_keys=0)
+    return found.select("query_id", "key", "answer")
+
+
+@query
+def route_documents(spark, sf_dir):
+    """Whole documents routed by words of part names, by the same way."""
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    label = F.when(F.length("term") % 2 == 0, routing.RAG).otherwise(routing.GENERAL)
+    routed = routing.route_queries(documents, words.withColumn("label", label), inline_terms=0, broadcast_terms=0)
+    return routed.select("query_id", "rag_hits", "general_hits", "label", "confidence")
+
+
 @query
 def lookup_fallback(spark, sf_dir):
     replies = with_fallback(keyword_lookup(_names(spark, sf_dir), _entries(spark)))
@@ -444,7 +579,7 @@ def _stored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat(F.lit("long text "), k.cast("int")),
     )
     raw = (
-        F.when(F.col("event_type") == "error", F.substring("props", 1, 4))
+        F.when(F.col("event_type") == "error", F.concat(F.lit("<"), F.col("props")))
         .when(F.col("event_type") == "view", F.col("props"))
         .otherwise(full)
     )
@@ -552,7 +687,15 @@ def session_history_(spark, sf_dir):
 
 @query
 def turn_pairs_(spark, sf_dir):
-    return turn_pairs(table(spark, sf_dir, "conversations"))
+    """Turns lie ten apart, those with a comma in their first sentence are lost, and a system note follows each turn of
+    several lines.
+    """
+    turns = table(spark, sf_dir, "conversations").withColumn("turn", F.col("turn") * 10)
+    kept = turns.where((F.instr("text", ",") == 0) | (F.instr("text", ",") > F.instr("text", ".")))
+    notes = kept.where(F.contains("text", F.lit("\n"))).select(
+        "conv_id", (F.col("turn") + 5).alias("turn"), F.lit("system").alias("role"), F.lit("a note").alias("text")
+    )
+    return turn_pairs(kept.select("conv_id", "turn", "role", "text").unionByName(notes))
 
 
 # --- evaluation ---------------------------------------------------------------------------

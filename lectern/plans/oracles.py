@@ -29,7 +29,7 @@ windows AS (
 chunks AS (
   SELECT source, page_num, doc_id, start::INTEGER AS start,
          trim(substring(page, start + 1, 1000), ws) AS content,
-         sha256(concat_ws('|', coalesce('=' || source, '~'), coalesce('=' || page_num, '~'), '=' || start,
+         sha256(concat_ws('|', coalesce('=' || source, '~'), coalesce('=' || doc_id, '~'), '=' || start,
                           '=' || sha256(trim(substring(page, start + 1, 1000), ws)))) AS id
   FROM windows, ws
   WHERE length(trim(substring(page, start + 1, 1000), ws)) > 0)"""
@@ -219,6 +219,13 @@ SELECT sha256(text) AS id, count(*) AS n_rows FROM documents GROUP BY 1 HAVING c
     "bad_dimension": """
 SELECT vec_id AS id, CASE label WHEN 1 THEN 63 END::INTEGER AS width FROM embeddings WHERE label IN (1, 2)""",
     "reindex": f"WITH {_CHUNKS} SELECT id, source, page_num, start, content FROM chunks",
+    "index_compacted": f"WITH {_CHUNKS} SELECT id, source, page_num, start, content FROM chunks",
+    "index_append": f"""WITH {_CHUNKS}
+SELECT source, count(*) AS n_chunks, count(DISTINCT id) AS n_ids FROM chunks GROUP BY source""",
+    "reindex_inserted": f"""WITH {_CHUNKS}
+SELECT source, count(*) AS n_chunks, count(DISTINCT page_num) AS n_pages, sum(page_num)::BIGINT AS page_numbers,
+       count(*) FILTER (page_num = 1) AS n_written, 0::BIGINT AS n_dead
+FROM chunks GROUP BY source""",
     "new_chunks": f"""WITH {_CHUNKS}
 SELECT id, source, page_num, start FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "index_stats": f"""WITH {_CHUNKS}
@@ -245,17 +252,26 @@ SELECT vec_id, {_round('raw')} AS score FROM scored ORDER BY raw DESC NULLS LAST
     "search_stats": f"""WITH {_ALL_HITS}
 SELECT query_id, count(*) AS n_hits, max(score) AS top_score, min(score) AS lowest_score
 FROM hits GROUP BY query_id""",
+    "search_labels": f"""
+WITH fit AS (SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings WHERE label <> 1),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, c.label, {_RAW.format('c.embedding', 'q.embedding')} AS raw FROM fit q, fit c)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY raw DESC NULLS LAST, vec_id))::INTEGER AS rank,
+       vec_id, label, {_round('raw')} AS score
+FROM scored QUALIFY rank <= 5""",
     "search_approx": f"""
-WITH planes AS (
-  SELECT p, list(CASE WHEN substr(md5(p || '-' || i), 1, 1) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE ORDER BY i) AS plane
-  FROM (SELECT unnest(range(4)) AS p), (SELECT unnest(range(64)) AS i) GROUP BY p),
-bucketed AS (
-  SELECT vec_id, any_value(embedding)::DOUBLE[] AS embedding,
-         sum(CASE WHEN list_inner_product(embedding::DOUBLE[], plane) > 0 THEN 1 << p ELSE 0 END)::INTEGER AS bucket
-  FROM embeddings, planes GROUP BY vec_id),
+WITH centres AS (
+  SELECT row_number() OVER (ORDER BY hash, vec_id) AS cell, embedding::DOUBLE[] AS centre
+  FROM (SELECT vec_id, embedding, md5(vec_id::VARCHAR) AS hash FROM embeddings
+        QUALIFY row_number() OVER (PARTITION BY embedding ORDER BY hash, vec_id) = 1)
+  QUALIFY cell <= 16),
+near AS (
+  SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY {_RAW.format('embedding::DOUBLE[]', 'centre')} DESC, cell) AS place
+  FROM embeddings, centres),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, {_RAW.format('c.embedding', 'q.embedding')} AS raw
-  FROM bucketed q JOIN bucketed c ON bit_count(xor(q.bucket, c.bucket)) <= 1)
+  SELECT q.vec_id AS query_id, c.vec_id, {_RAW.format('b.embedding::DOUBLE[]', 'a.embedding::DOUBLE[]')} AS raw
+  FROM near q JOIN near c ON q.cell = c.cell AND q.place <= 12 AND c.place = 1
+  JOIN embeddings a ON a.vec_id = q.vec_id JOIN embeddings b ON b.vec_id = c.vec_id)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY raw DESC NULLS LAST, vec_id))::INTEGER AS rank,
        vec_id, {_round('raw')} AS score
 FROM scored QUALIFY rank <= 5""",
@@ -264,11 +280,29 @@ SELECT query_id,
        string_agg(printf('[Chunk %d] (Page %d, Score: %.4f)', rank, page_num, score) || chr(10) || content,
                   chr(10) || chr(10) ORDER BY rank) AS context
 FROM hits JOIN chunks USING (id) GROUP BY query_id""",
+    "format_context_some": f"""
+WITH {_CHUNKS},
+{_buckets('chunk_parts', 'id', 'chunks', 'content')},
+{_dense('chunk_vectors', 'id', 'chunks', 'chunk_parts')},
+asked AS (SELECT item_id, CASE WHEN length(text) < 150 THEN '' ELSE text END AS text FROM benchmark),
+{_buckets('item_parts', 'item_id', 'asked', 'text')},
+{_dense('item_vectors', 'item_id', 'asked', 'item_parts')},
+scored AS (
+  SELECT q.item_id AS query_id, c.id, {_RAW.format('c.embedding', 'q.embedding')} AS raw FROM item_vectors q, chunk_vectors c),
+hits AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC NULLS LAST, id) AS rank, id, {_round('raw')} AS score
+  FROM scored QUALIFY rank <= 5),
+blocks AS (
+  SELECT query_id, string_agg(printf('[Chunk %d] (Page %d, Score: %.4f)', rank, page_num, score) || chr(10) || content,
+                              chr(10) || chr(10) ORDER BY rank) AS context
+  FROM hits JOIN chunks USING (id) WHERE score > 0.6 GROUP BY query_id)
+SELECT item_id AS query_id, coalesce(context, 'No relevant context found in the knowledge base.') AS context
+FROM benchmark LEFT JOIN blocks ON query_id = item_id""",
     "search_texts": f"""{_HITS}
 SELECT query_id, rank, content, page_num, source, score FROM hits JOIN chunks USING (id)""",
     "formula_columns": f"""
 WITH computed AS (
-  SELECT l_orderkey, l_linenumber, l_quantity AS q,
+  SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS price,
     l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge,
     CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS per_unit,
     CASE WHEN l_discount <> 0 THEN l_extendedprice / l_discount END AS per_off,
@@ -276,6 +310,7 @@ WITH computed AS (
     sqrt(l_extendedprice) AS root, sin(l_quantity * pi() / 50) AS wave, cos(l_quantity * pi() / 50) AS swing,
     power(1 + l_discount, 10) AS grown, ln(l_extendedprice) / ln(10) AS scale,
     CASE WHEN l_quantity > 25 THEN ln(l_quantity - 25) END AS above,
+    CASE WHEN l_quantity <= 25 THEN sqrt(25 - l_quantity) END AS below,
     ([{', '.join(repr(float(math.factorial(n))) + '::DOUBLE' for n in range(171))}])[l_quantity::INTEGER + 1] AS orderings
   FROM lineitem)
 SELECT l_orderkey, l_linenumber, {_round('charge')} AS charge, {_round('per_unit')} AS per_unit,
@@ -285,7 +320,14 @@ SELECT l_orderkey, l_linenumber, {_round('charge')} AS charge, {_round('per_unit
   CASE WHEN per_off IS NULL THEN 'error' ELSE 'success' END AS per_off_status,
   CASE WHEN above IS NULL THEN 'error' ELSE 'success' END AS above_status,
   CASE WHEN orderings IS NULL THEN 'error' ELSE 'success' END AS orderings_status,
-  CASE WHEN q * 20 > 709 THEN 'error' ELSE 'success' END AS explosion_status
+  CASE WHEN q * 20 > 709 THEN 'error' ELSE 'success' END AS explosion_status,
+  {_round('below')} AS below, TRUE AS huge_integral, price AS huge,
+  CASE WHEN per_off IS NULL THEN 'no result' END AS per_off_error,
+  CASE WHEN per_off IS NULL THEN 'look for missing inputs, divisors of zero and arguments outside a function''s domain' END AS per_off_hint,
+  CASE WHEN below IS NULL THEN 'result is not a number' END AS below_error,
+  CASE WHEN below IS NULL THEN 'look for roots and logarithms of negative values' END AS below_hint,
+  CASE WHEN q * 20 > 709 THEN 'result is infinite' END AS explosion_error,
+  CASE WHEN q * 20 > 709 THEN 'use smaller values or exponents' END AS explosion_hint
 FROM computed""",
     "convert_units": f"""WITH {_REQUESTS}
 SELECT p_partkey, value, from_unit, to_unit, {_round('(value + pre) * mul / div + post')} AS result,
@@ -312,6 +354,18 @@ entries AS (SELECT key, row_number() OVER (ORDER BY -length(key), key) AS priori
 SELECT query_id, key, 'about ' || key AS answer
 FROM names LEFT JOIN entries ON contains(lower(query), key)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY priority) = 1""",
+    "keyword_lookup_documents": """
+SELECT doc_id AS query_id, lower(b.text) AS key, 'item ' || item_id AS answer
+FROM documents d LEFT JOIN benchmark b ON contains(lower(d.text), lower(b.text))
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY item_id) = 1""",
+    "route_documents": """
+WITH words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part),
+counted AS (
+  SELECT doc_id AS query_id, count(*) FILTER (length(term) % 2 = 0) AS rag_hits, count(*) FILTER (length(term) % 2 = 1) AS general_hits
+  FROM documents LEFT JOIN words ON contains(lower(text), term) GROUP BY doc_id)
+SELECT query_id, rag_hits, general_hits, CASE WHEN rag_hits > general_hits THEN 'RAG' ELSE 'GENERAL' END AS label,
+  CASE WHEN rag_hits > 0 AND general_hits > 0 THEN 'MEDIUM' WHEN rag_hits + general_hits > 0 THEN 'HIGH' ELSE 'LOW' END AS confidence
+FROM counted""",
     "lookup_fallback": f"""WITH {_ENTRIES}
 SELECT query_id, answer, array_to_string([r.title for r in results], '; ') AS titles,
        array_to_string([r.url for r in results], '; ') AS urls, source, 'success' AS status
@@ -380,10 +434,14 @@ SELECT conv_id, count(*) AS n_turns,
        string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history
 FROM newest GROUP BY conv_id""",
     "turn_pairs": """
-SELECT q.conv_id, q.turn, q.text AS question, r.text AS reply
-FROM conversations q
-LEFT JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant'
-WHERE q.role = 'user'""",
+WITH spoken AS (
+  SELECT conv_id, 10 * turn AS turn, role, text FROM conversations
+  WHERE (instr(text, ',') = 0 OR instr(text, ',') > instr(text, '.')) AND role IN ('user', 'assistant')),
+following AS (
+  SELECT *, lead(role) OVER following AS next_role, lead(text) OVER following AS next_text
+  FROM spoken WINDOW following AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, text AS question, CASE WHEN next_role = 'assistant' THEN next_text END AS reply
+FROM following WHERE role = 'user'""",
     "eval_outcomes": """
 SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS category,
        CASE WHEN o_orderstatus = 'P' OR o_orderpriority = '5-LOW' THEN 'error' ELSE 'completed' END AS status,

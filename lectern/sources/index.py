@@ -1,4 +1,10 @@
-"""The chunk index: a Parquet table with a declared schema."""
+"""The chunk index: a Parquet table with a declared schema, and three narrow logs beside its files.
+
+``_pages`` knows every page by its source and key, with its number and a digest of its text; ``_replaced``
+names chunks that no longer count, and ``_moved`` pages whose number changed after their chunks were
+written. Logs lie in the index's own folder under names that scans skip, are only ever appended to, and
+the last entry counts. ``compact_index`` folds them into a fresh generation of files. One writer at a time.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.session import scratch_table
+from lectern.operators.filters import may_be_in
+from lectern.session import file_system, scratch_table
+
+_REPLACED, _REPLACED_SCHEMA = "_replaced/ids", "id string, gone boolean, at bigint"
+_PAGES, _PAGES_SCHEMA = "_pages/log", "source string, page_key string, page_num int, digest string, gone boolean, at bigint"
+_MOVED, _MOVED_SCHEMA = "_moved/log", "source string, page_key string, page_num int, at bigint"
+_CURRENT, _GENERATION = "_current", "_generation-"
 
-_LOG = "_replaced/ids"
-_LOG_SCHEMA = "id string, gone boolean, at bigint"
+# Share of dead rows, and number of logged updates, from which compaction pays.
+DEAD_SHARE = 0.2
+LOGGED_UPDATES = 64
 
 INDEX_SCHEMA = T.StructType(
     [
@@ -24,6 +37,7 @@ INDEX_SCHEMA = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("start", T.IntegerType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("page_key", T.StringType()),
     ]
 )
 
@@ -35,6 +49,49 @@ class Written(NamedTuple):
     total: int
 
 
+# --- files and logs ------------------------------------------------------------------------
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, none if it is missing."""
+    files, place = file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+
+def _generation(spark: SparkSession, path: str) -> int:
+    return max(map(int, _names(spark, f"{path.rstrip('/')}/{_CURRENT}")), default=0)
+
+
+def _home(spark: SparkSession, path: str) -> str:
+    """The folder that holds the rows that count now: the index's own, or its latest generation."""
+    generation = _generation(spark, path)
+    return f"{path.rstrip('/')}/{_GENERATION}{generation}" if generation else path.rstrip("/")
+
+
+def _log(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame | None:
+    """A log, None as long as nothing was written to it."""
+    try:
+        return spark.read.schema(schema).parquet(f"{_home(spark, path)}/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _updates(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the updates in a log; every update is a folder of its own."""
+    return [int(n.removeprefix("at=")) for n in _names(spark, f"{_home(spark, path)}/{name}") if n.startswith("at=")]
+
+
+def _append(entries: DataFrame, path: str, name: str) -> None:
+    spark = entries.sparkSession
+    at = max(_updates(spark, path, name), default=-1) + 1
+    entries.write.mode("overwrite").parquet(f"{_home(spark, path)}/{name}/at={at}")
+
+
+# --- the table -----------------------------------------------------------------------------
+
+
 def create_index(spark: SparkSession, path: str) -> None:
     """Create the empty table unless something is stored at ``path``."""
     spark.createDataFrame([], INDEX_SCHEMA).write.mode("ignore").parquet(path)
@@ -47,35 +104,44 @@ def clear_index(spark: SparkSession, path: str) -> None:
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the table, those that were replaced included."""
-    return spark.read.schema(INDEX_SCHEMA).parquet(path)
+    return spark.read.schema(INDEX_SCHEMA).parquet(_home(spark, path))
 
 
-def _replacements(spark: SparkSession, path: str) -> DataFrame | None:
-    """The log of ids that were replaced or came back, None as long as there is none.
+def _gone(log: DataFrame) -> DataFrame:
+    """Ids whose last entry says that they are gone."""
+    return log.groupBy("id").agg(F.max_by("gone", "at").alias("gone")).where("gone").select("id")
 
-    It lies in the index's own folder under a name that scans skip, and is only ever appended to.
-    """
-    try:
-        return spark.read.schema(_LOG_SCHEMA).parquet(f"{path.rstrip('/')}/{_LOG}")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
 
+def _same_page(df: DataFrame, other: DataFrame) -> tuple[DataFrame, object]:
+    """``other`` with its keys renamed, and the condition that a row is of the same page."""
+    named = other.withColumnsRenamed({"source": "_source", "page_key": "_key"})
+    return named, F.col("source").eqNullSafe(F.col("_source")) & F.col("page_key").eqNullSafe(F.col("_key"))
 
-def _replaced(log: DataFrame) -> DataFrame:
-    """Ids whose last entry says that they are gone."""
-    return log.groupBy("id").agg(F.max_by("gone", "at").alias("gone")).where("gone").select("id")
+
+def with_page_numbers(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` (with source, page_key, page_num as stored) with the numbers that the pages have now.
+
+    A plain pass unless pages moved since; meant for hits, but right for any rows of the index.
+    """
+    log = _log(rows.sparkSession, path, _MOVED, _MOVED_SCHEMA)
+    if log is None:
+        return rows
+    latest = log.groupBy("source", "page_key").agg(F.max_by("page_num", "at").alias("_now"))
+    latest, same = _same_page(rows, latest)
+    numbered = rows.join(latest, same, "left").withColumn("page_num", F.coalesce("_now", "page_num"))
+    return numbered.select(*rows.columns)
 
 
-def scan_index(spark: SparkSession, path: str) -> DataFrame:
+def scan_index(spark: SparkSession, path: str, page_numbers: bool = True) -> DataFrame:
     """All chunks that count. Columns that are not used are never read.
 
-    An index of which nothing was ever replaced is a plain scan; otherwise the replaced ids, a
-    narrow table, are taken out by an anti join.
+    An index of which nothing was replaced or moved is a plain scan. Otherwise the replaced ids, a narrow
+    table, are taken out by an anti join, and page numbers are looked up; ``page_numbers=False`` leaves
+    them as they were written, for callers that look them up for a few rows only.
     """
-    rows, log = stored_rows(spark, path), _replacements(spark, path)
-    return rows if log is None else rows.join(_replaced(log), "id", "left_anti")
+    rows, log = stored_rows(spark, path), _log(spark, path, _REPLACED, _REPLACED_SCHEMA)
+    rows = rows if log is None else rows.join(_gone(log), "id", "left_anti")
+    return with_page_numbers(rows, path) if page_numbers else rows
 
 
 def index_count(spark: SparkSession, path: str) -> int:
@@ -84,63 +150,154 @@ def index_count(spark: SparkSession, path: str) -> int:
     Taken from the file footers unless something was replaced.
     """
     create_index(spark, path)
-    return scan_index(spark, path).count()
+    return scan_index(spark, path, page_numbers=False).count()
+
+
+# --- pages ---------------------------------------------------------------------------------
+
+
+def known_pages(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(source, page_key, page_num, digest)`` of the pages the index holds; None if it never heard of any."""
+    log = _log(spark, path, _PAGES, _PAGES_SCHEMA)
+    if log is None:
+        return None
+    last = F.max_by(F.struct("page_num", "digest", "gone"), "at").alias("last")
+    now = log.groupBy("source", "page_key").agg(last).select("source", "page_key", "last.*")
+    return now.where("not gone").drop("gone")
+
+
+def log_pages(entries: DataFrame, path: str) -> None:
+    """Note pages: source, page_key, page_num, digest, gone."""
+    _append(entries.select("source", "page_key", "page_num", "digest", "gone"), path, _PAGES)
+
+
+def log_moves(entries: DataFrame, path: str) -> None:
+    """Note the present number of pages whose stored chunks have another one."""
+    _append(entries.select("source", "page_key", "page_num"), path, _MOVED)
 
 
-def replace_stale(spark: SparkSession, path: str, given: DataFrame, ids: DataFrame) -> int:
-    """Of the places in ``given`` (columns of the index), let only the chunks in ``ids`` count.
+def moves_logged(spark: SparkSession, path: str) -> bool:
+    """Whether any page has moved since its chunks were written."""
+    return bool(_updates(spark, path, _MOVED))
 
-    Other chunks stored for these places are logged as gone, and stored ones in ``ids`` that were
-    gone come back. Nothing is rewritten. Returns how many came back.
+
+def replace_stale(spark: SparkSession, path: str, places: DataFrame | None, ids: DataFrame) -> int:
+    """Of the pages ``places`` (source, page_key), let only the chunks in ``ids`` count.
+
+    Other chunks stored for these pages are logged as gone, and stored ones in ``ids`` that were
+    gone come back. Nothing is rewritten. Without ``places`` chunks only come back. Returns how many did.
     """
-    log = _replacements(spark, path)
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given.columns])
-    places = given.distinct().select(*[F.col(c).alias(f"_{c}") for c in given.columns])
-    stale = scan_index(spark, path).select("id", *given.columns).join(places, same, "left_semi")
-    entries = stale.join(ids, "id", "left_anti").select("id", F.lit(True).alias("gone"))
-    at = 0
+    log = _log(spark, path, _REPLACED, _REPLACED_SCHEMA)
+    parts = []
+    if places is not None:
+        rows = scan_index(spark, path, page_numbers=False).select("id", "source", "page_key")
+        named, same = _same_page(rows, places.select("source", "page_key").distinct())
+        stale = rows.join(named, same, "left_semi").join(ids, "id", "left_anti")
+        parts.append(stale.select("id", F.lit(True).alias("gone")))
     if log is not None:
-        back = _replaced(log).join(ids, "id", "left_semi")
-        entries = entries.unionByName(back.select("id", F.lit(False).alias("gone")))
-        at = log.agg(F.max("at")).first()[0] + 1
-    with scratch_table(entries.distinct(), "entries") as entries:
+        parts.append(_gone(log).join(ids, "id", "left_semi").select("id", F.lit(False).alias("gone")))
+    if not parts:
+        return 0
+    with scratch_table(reduce(DataFrame.unionByName, parts).distinct(), "entries") as entries:
         counts = entries.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("gone")).alias("back")).first()
         if counts["n"]:
-            entries.withColumn("at", F.lit(at).cast("long")).write.mode("append").parquet(f"{path.rstrip('/')}/{_LOG}")
+            _append(entries, path, _REPLACED)
     return counts["back"]
 
 
+# --- writes --------------------------------------------------------------------------------
+
+
+def ids_stored(ids: DataFrame, path: str) -> DataFrame:
+    """Those of ``ids`` (one column ``id``) that a row of the table carries, replaced rows included.
+
+    Files whose range of ids lies outside that of ``ids`` are not read; the others are tested against a
+    Bloom filter in the scan, and only rows that pass are compared. The table is not shuffled.
+    """
+    spark = ids.sparkSession
+    found = ids.agg(F.count("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    stored = stored_rows(spark, path).select("id")
+    if not found["n"]:
+        return stored.limit(0)
+    near = stored.where(F.col("id").between(found["low"], found["high"]))
+    return near.where(may_be_in(ids, "id", found["n"])(F.col("id"))).join(ids, "id", "left_semi").distinct()
+
+
+def _refuse_doubles(chunks: DataFrame, path: str, mode: str) -> None:
+    """Fail if an id is missing, comes twice, or is stored already."""
+    with scratch_table(chunks.select(F.col("id").cast("string").alias("id")), "ids") as ids:
+        doubles = ids.groupBy("id").count().where("count > 1 or id is null").select("id").limit(3).collect()
+        if not doubles and mode == "append":
+            doubles = ids_stored(ids, path).limit(3).collect()
+    if doubles:
+        raise ValueError(f"ids are missing, given twice or stored already, among them {[r['id'] for r in doubles]}")
+
+
 def append_chunks(chunks: DataFrame, path: str, mode: str = "append", dim: int | None = None) -> None:
-    """Write ``chunks`` (columns of the schema, in any order) without counting anything.
+    """Write ``chunks`` (columns of the schema, in any order) without counting or comparing anything.
 
-    With ``dim``, a vector that is missing or of another width fails the write.
+    With ``dim``, a vector that is missing or of another width fails the write. A missing ``page_key`` is
+    the page's number.
     """
-    columns = {f.name: F.col(f.name).cast(f.dataType) for f in INDEX_SCHEMA}
+    columns = {f.name: F.col(f.name).cast(f.dataType) for f in INDEX_SCHEMA if f.name != "page_key"}
+    columns["page_key"] = F.col("page_key" if "page_key" in chunks.columns else "page_num").cast("string")
     if dim is not None:
         unfit = F.raise_error(F.lit(f"a vector is missing or not {dim} wide"))
         fits = F.coalesce(F.size("embedding") == dim, F.lit(False))
         columns["embedding"] = F.when(fits, columns["embedding"]).otherwise(unfit.cast(INDEX_SCHEMA["embedding"].dataType))
-    chunks.select(*[column.alias(name) for name, column in columns.items()]).write.mode(mode).parquet(path)
+    target = path if mode == "overwrite" else _home(chunks.sparkSession, path)
+    chunks.select(*[column.alias(name) for name, column in columns.items()]).write.mode(mode).parquet(target)
 
 
-def write_index(chunks: DataFrame, path: str, mode: str = "overwrite", dim: int | None = None) -> Written:
+def write_index(chunks: DataFrame, path: str, mode: str = "overwrite", dim: int | None = None, unique: bool = True) -> Written:
     """Store ``chunks`` and count the table before and after.
 
-    All vectors must be ``dim`` wide if that is given; the write fails otherwise and adds nothing.
+    All vectors must be ``dim`` wide if that is given, and ids must be given once and not be stored yet; the
+    write fails otherwise and adds nothing. ``unique=False`` leaves ids unchecked, for ids known to differ.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError("mode is 'overwrite' or 'append'")
     spark = chunks.sparkSession
     before = index_count(spark, path) if mode == "append" else 0
+    if unique:
+        _refuse_doubles(chunks, path, mode)
     append_chunks(chunks, path, mode, dim)
-    total = scan_index(spark, path).count()
+    total = scan_index(spark, path, page_numbers=False).count()
     return Written(total - before, total)
 
 
+def compact_index(spark: SparkSession, path: str, share: float = DEAD_SHARE, updates: int = LOGGED_UPDATES) -> bool:
+    """Fold the logs into a new generation of files once more than ``share`` of the rows are dead or more
+    than ``updates`` updates are logged; afterwards a scan is a plain scan again, with the same rows.
+
+    The new generation counts from the moment its marker is made, so a compaction that was broken off
+    changes nothing and is simply run again. The generation before it stays for scans that have begun;
+    older ones are removed. Returns whether anything was done.
+    """
+    replaced = _log(spark, path, _REPLACED, _REPLACED_SCHEMA)
+    logged = sum(len(_updates(spark, path, name)) for name in (_REPLACED, _PAGES, _MOVED))
+    dead = 0 if replaced is None else _gone(replaced).count()
+    if logged <= updates and (not dead or dead <= share * stored_rows(spark, path).count()):
+        return False
+    root, generation = path.rstrip("/"), _generation(spark, path) + 1
+    target = f"{root}/{_GENERATION}{generation}"
+    scan_index(spark, path).write.mode("overwrite").parquet(target)
+    pages = known_pages(spark, path)
+    if pages is not None:
+        pages.withColumn("gone", F.lit(False)).write.parquet(f"{target}/{_PAGES}/at=0")
+    files, marker = file_system(spark, f"{root}/{_CURRENT}/{generation}")
+    files.mkdirs(marker)
+    for name in _names(spark, root):
+        old = int(name.removeprefix(_GENERATION)) if name.startswith(_GENERATION) else -1 if name == _CURRENT else 0
+        if 0 <= old < generation - 1:
+            files.delete(file_system(spark, f"{root}/{name}")[1], True)
+    return True
+
+
 def ensure_index(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The index at ``path``, filled from ``build()`` first if it is empty or missing."""
     create_index(spark, path)
-    if scan_index(spark, path).isEmpty():
+    if scan_index(spark, path, page_numbers=False).isEmpty():
         append_chunks(build(), path, "overwrite")
     return scan_index(spark, path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import source_name
-from lectern.operators.numbering import ROWS_PER_RANGE, number_rows
+from lectern.operators.numbering import number_rows
 
 
 def read_pages(
@@ -14,12 +14,12 @@ def read_pages(
     book: str = "source",
     order: str | list[str] = "position",
     text: str = "content",
-    rows_per_range: int = ROWS_PER_RANGE,
+    with_key: bool = False,
 ) -> DataFrame:
     """``(source, page_num, content)`` with ``page_num`` counted from 1 along ``order``.
 
-    ``order`` must be unique within a book. A book of more than ``rows_per_range`` pages is
-    numbered by several tasks.
+    ``order`` must be unique within a book. ``with_key`` adds ``page_key``, the order key as text: what a page
+    keeps when others are put before it, and what an index knows it by.
     """
     order = [order] if isinstance(order, str) else list(order)
     keys = [f"_order{i}" for i in range(len(order))]
@@ -28,14 +28,19 @@ def read_pages(
         F.col(text).alias("content"),
         *[F.col(column).alias(key) for column, key in zip(order, keys)],
     )
-    numbered = number_rows(narrow, "source", keys, "page_num", rows_per_range)
-    return numbered.select("source", F.col("page_num").cast("int").alias("page_num"), "content")
+    numbered = number_rows(narrow, "source", keys, "page_num")
+    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys]).alias("page_key")
+    return numbered.select("source", *([key] if with_key else []), F.col("page_num").cast("int").alias("page_num"), "content")
 
 
-def numbered_pages(df: DataFrame, book: str, page: str, text: str) -> DataFrame:
-    """The same table where the data already carries page numbers: a projection, no shuffle."""
+def numbered_pages(df: DataFrame, book: str, page: str, text: str, key: str | None = None) -> DataFrame:
+    """The same table where the data already carries page numbers: a projection, no shuffle.
+
+    ``key`` names the column that becomes ``page_key``.
+    """
     return df.select(
         F.col(book).alias("source"),
+        *([] if key is None else [F.col(key).cast("string").alias("page_key")]),
         F.col(page).cast("int").alias("page_num"),
         F.col(text).alias("content"),
     )

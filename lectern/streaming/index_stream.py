@@ -23,11 +23,11 @@ def stream_index(
     """Bring the index at ``path`` up to date with newly arrived pages and stop when the stream is
     worked off.
 
-    ``pages`` is a streaming ``(source, page_num, content)``; page numbers must come with the
-    data. Chunks already stored are dropped by id before they are embedded, so a batch that is
-    repeated after a failure adds nothing. A page that arrives again in a later batch replaces its
-    stored chunks; of two texts of a page in one batch both are kept. ``checkpoint`` must be on
-    shared storage.
+    ``pages`` is a streaming ``(source, page_num, content)``, with a ``page_key`` where pages keep one; page
+    numbers must come with the data. Pages that are known with the same text are left out before they
+    are cut, so a batch that is repeated after a failure adds nothing. A page that arrives again in a later
+    batch replaces its stored chunks; of two texts of a page in one batch both are kept. ``checkpoint``
+    must be on shared storage.
     """
     create_index(pages.sparkSession, path)
 

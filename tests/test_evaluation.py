@@ -158,6 +158,27 @@ def test_runs_of_any_depth_and_roles(spark):
         retrieved_context(spark.createDataFrame(circle, NODE))
 
 
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    """Fifty deep: seven doublings; and a run that holds most of the nodes."""
+    from lectern.operators import evaluation
+
+    paths = []
+    monkeypatch.setattr(evaluation, "scratch_path", lambda s, n, f=evaluation.scratch_path: paths.append(n) or f(s, n))
+    inner = [f"m{i}" for i in range(50)]
+    nodes = [run(1), *[member(1, child, parent, 0) for parent, child in zip(["root", *inner], inner)]]
+    nodes += [tool(1, inner[-1], 0, "deepest"), message(1, inner[30], 0, "halfway")]
+    nodes += [run(2), member(2, "wide", "root", 5)]
+    nodes += [n for i in range(3000) for n in (member(2, f"w{i}", "wide", i), tool(2, f"w{i}", 0, f"text {i}" if i > 1500 else ""))]
+    nodes += [run(3), tool(3, "root", 0, "own")]
+    df = spark.createDataFrame(nodes, NODE).repartition(5)
+    got = {r["response_id"]: r["context"] for r in retrieved_context(df).collect()}
+    assert got == {1: "deepest", 2: "text 1501", 3: "own"}
+    assert paths.count("ways") - 1 <= 7
+    assert retrieved_context(df, max_depth=50).count() == 3
+    with pytest.raises(ValueError, match="more than 49 deep"):
+        retrieved_context(df, max_depth=49)
+
+
 def test_evaluation_plan(spark):
     from lectern.plans.evaluation import evaluate
 

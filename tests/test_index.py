@@ -1,17 +1,23 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lectern import session
+from lectern.operators.filters import may_be_in
 from lectern.operators.embedding import hash_embed
-from lectern.plans.knowledge import answer, build_index, index_rows, update_index
+from lectern.plans.knowledge import answer, build_index, index_rows, search_texts, update_index
 from lectern.sources.index import (
     INDEX_SCHEMA,
     check_dimension,
     check_unique,
     clear_index,
+    compact_index,
     create_index,
     ensure_index,
+    ids_stored,
     index_count,
+    known_pages,
     scan_index,
+    stored_rows,
     write_index,
 )
 from lectern.streaming.index_stream import stream_index
@@ -39,7 +45,8 @@ def test_create_clear_count(spark, tmp_path, pages):
     assert write_index(rows, path) == (4, 4)
     create_index(spark, path)
     assert index_count(spark, path) == 4
-    assert write_index(rows.where("source = 'b'"), path, "append") == (1, 5)
+    other = rows.where("source = 'b'").withColumn("id", F.lit("other"))
+    assert write_index(other, path, "append") == (1, 5)
     assert write_index(rows, path) == (4, 4)
     clear_index(spark, path)
     assert index_count(spark, path) == 0
@@ -90,7 +97,8 @@ def test_writes_of_another_width_fail_and_add_nothing(spark, tmp_path, pages):
     path = str(tmp_path / "index")
     write_index(index_rows(pages, small), path, dim=32)
     with pytest.raises(Exception, match="not 32 wide"):
-        write_index(index_rows(pages, lambda df: hash_embed(df, 16)), path, "append", dim=32)
+        other = pages.withColumn("source", F.concat("source", F.lit(" again")))
+        write_index(index_rows(other, lambda df: hash_embed(df, 16)), path, "append", dim=32)
     assert index_count(spark, path) == 4
 
 
@@ -158,3 +166,137 @@ def test_stream_equals_batch_and_repeats_add_nothing(spark, tmp_path, pages):
 def test_scratch_paths_lie_in_the_shared_folder(spark):
     first, second = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
     assert first != second and first.startswith(session.shared_dir(spark).rstrip("/"))
+
+
+def test_a_stored_id_fails_the_append(spark, tmp_path, pages):
+    path = str(tmp_path / "index")
+    rows = index_rows(pages, small)
+    write_index(rows, path)
+    for doubled in (rows.where("source = 'b'"), rows.withColumn("id", F.lit("same")), rows.withColumn("id", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError, match="given twice or stored already"):
+            write_index(doubled, path, "append")
+    with pytest.raises(ValueError, match="given twice"):
+        write_index(rows.union(rows), path)
+    assert index_count(spark, path) == 4
+    assert write_index(rows.limit(0), path, "append") == (0, 4)
+
+
+def test_stored_ids_are_found_without_a_shuffle_of_the_index(spark, tmp_path, pages):
+    path = str(tmp_path / "index")
+    write_index(index_rows(pages, small), path)
+    ids = scan_index(spark, path).select("id").limit(2).union(spark.createDataFrame([("zz",), ("00",)], "id string"))
+    found = ids_stored(ids, path)
+    assert found.count() == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id" in plan and "LessThanOrEqual(id" in plan
+    assert ids_stored(ids.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("count", [3, 2000])
+def test_bloom_filter_lets_every_key_pass(spark, count):
+    keys = spark.range(2000).select((F.col("id") * 7).cast("string").alias("k"))
+    test = may_be_in(keys, "k", count)
+    asked = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    passed = {r["k"] for r in asked.where(test(F.col("k"))).collect()}
+    assert {str(i) for i in range(0, 14_000, 7)} <= passed
+    if count == 2000:
+        assert len(passed) < 3000
+
+
+def numbered(*texts, keys=None):
+    keys = range(len(texts)) if keys is None else keys
+    return [("book", str(k), i + 1, t) for i, (k, t) in enumerate(zip(keys, texts))]
+
+
+KEYED = "source string, page_key string, page_num int, content string"
+
+
+def test_a_page_put_in_front_embeds_one_chunk(spark, tmp_path):
+    path, seen = str(tmp_path / "index"), spark.sparkContext.accumulator(0)
+
+    def counting(df):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return small(df.mapInArrow(count, df.schema))
+
+    texts = [f"page {i} of the book" for i in range(200)]
+    assert build_index(spark.createDataFrame(numbered(*texts, keys=range(1, 201)), KEYED), path, counting) == (200, 200)
+    assert seen.value == 200
+    longer = spark.createDataFrame(numbered("a page in front", *texts, keys=range(201)), KEYED)
+    assert build_index(longer, path, counting, recreate=False) == (1, 201)
+    assert seen.value == 201
+    assert stored_rows(spark, path).count() == 201
+    assert [r["page_num"] for r in scan_index(spark, path).orderBy("page_num").collect()] == list(range(1, 202))
+    assert {(r["page_key"], r["page_num"]) for r in scan_index(spark, path).collect()} == {(str(i), i + 1) for i in range(201)}
+    queries = spark.createDataFrame([(1, "page 7 of the book")], "query_id int, content string")
+    hits = search_texts(spark, path, queries, embed=small, k=20).collect()
+    assert len(hits) == 20 and all(r["content"] == f"page {r['page_num'] - 2} of the book" for r in hits)
+    # Nothing new: nothing is embedded or logged.
+    assert build_index(longer, path, counting, recreate=False) == (0, 201)
+    assert seen.value == 201
+
+
+def test_a_page_comes_back_with_another_number(spark, tmp_path):
+    path = str(tmp_path / "index")
+
+    def now(*texts, keys):
+        build_index(spark.createDataFrame(numbered(*texts, keys=keys), KEYED), path, small, recreate=False)
+        return sorted((r["page_num"], r["content"]) for r in scan_index(spark, path).collect())
+
+    assert now("a", "b", "c", keys="abc") == [(1, "a"), (2, "b"), (3, "c")]
+    assert now("b", "c", keys="bc") == [(1, "b"), (2, "c")]
+    assert now("b", "c", "a", keys="bca") == [(1, "b"), (2, "c"), (3, "a")]
+    assert now("b", "new", "a", keys="bca") == [(1, "b"), (2, "new"), (3, "a")]
+    assert now("c", "b", keys="cb") == [(1, "c"), (2, "b")]
+    assert {r["page_key"] for r in known_pages(spark, path).collect()} == {"b", "c"}
+
+
+def test_other_chunk_sizes_cut_all_pages_again(spark, tmp_path, pages):
+    path, fresh = str(tmp_path / "index"), str(tmp_path / "fresh")
+    build_index(pages, path, small)
+    build_index(pages, path, small, recreate=False, size=300, overlap=100)
+    build_index(pages, fresh, small, size=300, overlap=100)
+    assert contents(spark, path) == contents(spark, fresh)
+
+
+def test_compaction_folds_the_logs(spark, tmp_path):
+    path = str(tmp_path / "index")
+
+    def book(*texts, keys):
+        return spark.createDataFrame(numbered(*texts, keys=keys), KEYED)
+
+    build_index(book(*"abcd", keys="abcd"), path, small)
+    assert not compact_index(spark, path)
+    build_index(book("x", "a", "B", "c", "d", keys="xabcd"), path, small, recreate=False)
+    before = sorted(map(tuple, scan_index(spark, path).collect()))
+    assert stored_rows(spark, path).count() == 6 and len(before) == 5
+    assert compact_index(spark, path, share=0.1)
+    assert sorted(map(tuple, stored_rows(spark, path).collect())) == before
+    assert "Join" not in scan_index(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, scan_index(spark, path).collect())) == before
+    # Updates go on as before, over several generations.
+    for text in "ij":
+        build_index(book("x", "a", text, "c", "d", keys="xabcd"), path, small, recreate=False)
+        assert compact_index(spark, path, share=0.0)
+    assert [c for _, _, c in contents(spark, path)] == ["x", "a", "j", "c", "d"]
+    assert write_index(index_rows(book("z", keys="z"), small), path, "append") == (1, 6)
+    clear_index(spark, path)
+    assert index_count(spark, path) == 0
+    assert build_index(book("x", keys="x"), path, small, recreate=False) == (1, 1)
+
+
+def test_a_compaction_that_breaks_off_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = numbered(*"abc", keys="abc")
+    build_index(spark.createDataFrame(rows, KEYED), path, small)
+    build_index(spark.createDataFrame(rows[:1], KEYED), path, small, recreate=False)  # two of three rows are dead: compacts
+    expected = contents(spark, path)
+    assert stored_rows(spark, path).count() == 1
+    # Files of a generation that never got its marker.
+    stored_rows(spark, path).limit(0).write.parquet(f"{path}/_generation-2")
+    assert contents(spark, path) == expected
+    assert compact_index(spark, path, updates=0)
+    assert contents(spark, path) == expected and stored_rows(spark, path).count() == 1

@@ -21,10 +21,9 @@ def skewed(spark):
     return rows
 
 
-@pytest.mark.parametrize("rows_per_range", [50, 700, 10**6])
-def test_numbers_are_ranks(spark, skewed, rows_per_range):
+def test_numbers_are_ranks(spark, skewed):
     df = spark.createDataFrame(skewed, "g string, a int, b int").repartition(5)
-    got = numbers(numbering.number_rows(df, "g", ["a", "b"], "n", rows_per_range))
+    got = numbers(numbering.number_rows(df, "g", ["a", "b"], "n"))
     expected = []
     for group in {g for g, _, _ in skewed}:
         members = sorted(r for r in skewed if r[0] == group)
@@ -33,17 +32,32 @@ def test_numbers_are_ranks(spark, skewed, rows_per_range):
 
 
 def test_large_group_is_shared_out(spark, skewed):
-    df = spark.createDataFrame(skewed, "g string, a int, b int")
-    numbered = numbering.number_rows(df, "g", ["a", "b"], "n", 100)
-    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
-    assert "_range" in plan
-    assert "_range" not in numbering.number_rows(df, "g", ["a", "b"], "n")._jdf.queryExecution().optimizedPlan().toString()
+    """The group of most rows lies in several ranges, and the rows are never gathered by group alone."""
+    df = spark.createDataFrame(skewed, "g string, a int, b int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        places = numbering.place_rows(df, "g", ["a", "b"], "n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert places.where("_group = 'hot'").select(F.max("n"), F.count_distinct("n")).first() == (3000, 3000)
+    path = max((p for p in places.inputFiles()), key=len)
+    stored = spark.read.parquet(path.rsplit("/", 1)[0])
+    assert stored.where("_group = 'hot'").select(F.shiftright("_at", 33)).distinct().count() > 1
+    plan = numbering.number_rows(df, "g", ["a", "b"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g#" not in plan.replace("coalesce(g#", "")
+
+
+def test_ties_are_numbered_too(spark):
+    df = spark.createDataFrame([("x", 1)] * 700 + [("x", 0)], "g string, a int").repartition(4)
+    got = numbering.place_rows(df, "g", ["a"], "n").collect()
+    assert sorted(r["n"] for r in got) == list(range(1, 702))
+    assert [r["_key0"] for r in got if r["n"] == 1] == [0]
 
 
 def test_null_groups_and_null_order(spark):
     rows = [(None, i if i else None) for i in range(500)] + [("x", i if i else None) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, a int")
-    got = numbering.number_rows(df, "g", ["a"], "n", 40).collect()
+    got = numbering.number_rows(df, "g", ["a"], "n").collect()
     assert {(r["g"], r["a"] or 0, r["n"]) for r in got} == {(g, i, i + 1) for g in (None, "x") for i in range(500)}
 
 

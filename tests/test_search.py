@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.vectors import cosine, dot, norm
 from lectern.operators import search as searching
-from lectern.operators.search import search, search_approx, search_batch, search_stats
+from lectern.operators.inverted import choose_probes, search_approx, store_cells
+from lectern.operators.search import search, search_batch, search_stats
 from tests.conftest import plan_of
 
 CHUNK = "id string, embedding array<float>"
@@ -43,7 +44,7 @@ def hits_of(df):
     return sorted(tuple(r) for r in df.select("query_id", "rank", "id", "score").collect())
 
 
-SPLIT = {"query_bytes": 8 * 8 * 3, "cell_rows": 17}
+SPLIT = {"query_bytes": 8 * 8 * 3, "sampled_splits": 1, "broadcast_hits": 0}
 
 
 @pytest.mark.parametrize("options", [{}, SPLIT])
@@ -88,7 +89,7 @@ def test_undefined_scores_come_last(spark):
     assert [tuple(r) for r in one.collect()] == [("b", -1.0), ("a", None), ("c", None)]
 
 
-@pytest.mark.parametrize("options", [{}, {"query_bytes": 16, "cell_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"query_bytes": 16, "sampled_splits": 1}])
 def test_missing_and_unfitting_vectors_are_left_out(spark, options):
     chunks = [("a", None), ("b", [1.0]), ("c", [1.0, 1.0]), ("d", [1.0, float("nan")]), ("e", [1.0, None])]
     queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, None), (3, [1.0, 1.0])], QUERY)
@@ -117,34 +118,138 @@ def test_chunk_columns_are_fetched_for_the_hits(spark):
     assert got.first()["content"] == "text a"
 
 
-def test_approximate_hits_are_exact_scores_of_a_part(spark):
+def test_approximate_hits_are_exact_scores_of_a_part(spark, tmp_path):
     rng = random.Random(9)
+    path = str(tmp_path / "cells")
     chunks = [(f"c{i:03d}", v) for i, v in enumerate(vectors(rng, 400, 8))]
     queries = [(i, v) for i, (_, v) in enumerate(chunks[:30])]
     q, c = spark.createDataFrame(queries, QUERY), spark.createDataFrame(chunks, CHUNK)
+    store_cells(c, path, cells=8)
     everything = {(h[0], h[2]): h[3] for h in brute(queries, chunks, len(chunks))}
-    whole = hits_of(search_approx(q, c, k=3, bits=3))
-    assert all(everything[h[0], h[2]] == h[3] for h in whole)
-    # Every query finds itself, which lies in its own bucket.
-    assert {(h[0], h[2]) for h in whole if h[1] == 1} == {(i, f"c{i:03d}") for i in range(30)}
-    # Splitting buckets does not change what is found.
-    assert hits_of(search_approx(q, c, k=3, bits=3, query_bytes=8 * 8 * 2, cell_rows=5)) == whole
+    some = hits_of(search_approx(q, path, k=3, probes=2))
+    assert all(everything[h[0], h[2]] == h[3] for h in some)
+    # Every query finds itself, which lies in the cell nearest to it.
+    assert {(h[0], h[2]) for h in some if h[1] == 1} == {(i, f"c{i:03d}") for i in range(30)}
+    # Slabs do not change what is found, and all cells together hold everything.
+    assert hits_of(search_approx(q, path, k=3, probes=2, query_bytes=8 * 8 * 14)) == some
+    assert hits_of(search_approx(q, path, k=3, probes=8)) == brute(queries, chunks, 3)
+    plan = plan_of(search_approx(q.limit(1), path, k=3, probes=1))
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [(cell" in plan
+
+
+def test_recall_is_measured_and_kept(spark, tmp_path):
+    """Clustered vectors need few probes; the measured number holds for queries that were not measured."""
+    rng = random.Random(4)
+    path = str(tmp_path / "cells")
+    middles = vectors(rng, 20, 16)
+    rows = [[single(x + rng.gauss(0, 0.3)) for x in rng.choice(middles)] for _ in range(1500)]
+    chunks = spark.createDataFrame([(f"c{i:04d}", v) for i, v in enumerate(rows)], CHUNK)
+    store_cells(chunks, path, cells=32)
+    asked = [(i, [single(x + rng.gauss(0, 0.3)) for x in rng.choice(middles)]) for i in range(200)]
+    probes, share = choose_probes(spark.createDataFrame(asked[:100], QUERY), path, 0.95)
+    assert share >= 0.95 and probes <= 16
+    queries = spark.createDataFrame(asked[100:], QUERY)
+    exact = {(h[0], h[2]) for h in hits_of(search_batch(queries, chunks))}
+    found = {(h[0], h[2]) for h in hits_of(search_approx(queries, path, probes=probes))}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_recall_on_the_given_vectors(spark, tmp_path):
+    """What the query of the bindings finds: 12 of 16 cells."""
+    path = str(tmp_path / "cells")
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    store_cells(given, path, cells=16)
+    queries = given.selectExpr("id as query_id", "embedding")
+    exact = {(h[0], h[2]) for h in hits_of(search_batch(queries, given))}
+    found = {(h[0], h[2]) for h in hits_of(search_approx(queries, path, probes=12))}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_crowded_and_empty_cells(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    rows = [("a", [1.0, 0.0])] * 1 + [(f"b{i:03d}", [0.5, 0.5]) for i in range(600)] + [("z", [0.0, 0.0]), ("n", None), ("w", [1.0])]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    store_cells(chunks, path, cells=8, dim=2)
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0])], QUERY)
+    got = hits_of(search_approx(queries, path, k=3, probes=8))
+    assert got == hits_of(search_batch(queries, chunks, k=3))
+
+
+def shuffled_rows(spark, df):
+    """Rows that the last run of ``df`` wrote to shuffles, from the metrics of its plan."""
+    df.collect()
+    plan, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plan.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            plan.append(node.plan())
+            continue
+        if name == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_a_sample_of_splits_bounds_what_the_others_hand_on(spark, tmp_path):
+    rng = random.Random(6)
+    path, splits, k = str(tmp_path / "chunks"), 64, 5
+    chunks = [(f"c{i:05d}", v) for i, v in enumerate(vectors(rng, 64 * 40, 8))]
+    spark.createDataFrame(chunks, CHUNK).repartition(splits).write.parquet(path)
+    queries = spark.createDataFrame(list(enumerate(vectors(rng, 20, 8))), QUERY)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "2k")
+    try:
+        stored = spark.read.parquet(path)
+        plain = search_batch(queries, stored, k=k, sampled_splits=10**6)
+        bounded = search_batch(queries, stored, k=k)
+        without, with_bound = shuffled_rows(spark, plain), shuffled_rows(spark, bounded)
+        assert hits_of(plain) == hits_of(bounded)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert without >= 20 * k * splits
+    assert with_bound <= without / 6
+
+
+def test_embeddings_are_never_shuffled(spark, tmp_path):
+    """Neither side's vectors in any exchange, with one slab or several, and texts behind a filter."""
+    rng = random.Random(2)
+    path = str(tmp_path / "chunks")
+    rows = [(f"c{i}", f"text {i}", v) for i, v in enumerate(vectors(rng, 200, 8))]
+    spark.createDataFrame(rows, "id string, content string, embedding array<float>").write.parquet(path)
+    chunks = spark.read.parquet(path)
+    queries = spark.createDataFrame(list(enumerate(vectors(rng, 12, 8))), QUERY)
+    for options in ({}, SPLIT):
+        found = search_batch(queries, chunks, k=3, **options)
+        for line in plan_of(found).splitlines():
+            if "Exchange" in line:
+                assert "embedding" not in line and "query#" not in line
+        assert found.count() == 36
+    assert "ArrowEvalPython" in plan_of(found)
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [])]])
-def test_no_query_vectors_no_hits(spark, rows):
+def test_no_query_vectors_no_hits(spark, tmp_path, rows):
     queries = spark.createDataFrame(rows, QUERY)
     chunks = spark.createDataFrame([("a", [1.0, 2.0])], CHUNK)
     assert search_batch(queries, chunks).count() == 0
-    assert search_approx(queries, chunks, bits=2).count() == 0
+    store_cells(chunks, str(tmp_path / "cells"), cells=2)
+    assert search_approx(queries, str(tmp_path / "cells"), probes=2).count() == 0
+    assert choose_probes(queries, str(tmp_path / "cells")) == (1, 1.0)
 
 
-def test_no_chunks_no_hits(spark):
+def test_no_chunks_no_hits(spark, tmp_path):
     queries = spark.createDataFrame([(1, [1.0, 2.0])], QUERY)
     chunks = spark.createDataFrame([], CHUNK)
     assert search_batch(queries, chunks).count() == 0
     assert search_batch(queries.union(queries), chunks, query_bytes=1).count() == 0
-    assert search_approx(queries, chunks, bits=2).count() == 0
+    store_cells(chunks, str(tmp_path / "cells"), cells=2)
+    assert search_approx(queries, str(tmp_path / "cells"), probes=2).count() == 0
     assert search(chunks, [1.0, 2.0]).count() == 0
 
 
