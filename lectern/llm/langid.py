@@ -28,7 +28,7 @@ ORDER = 4
 HEAD_BYTES = 64 * 2**20
 ALPHA = 0.0005
 MARGIN_BITS = 2.5
-SLICE = 2 * 2**20
+SLICE = 2**20
 UNIT = 2**24
 UNKNOWN = "und"
 
@@ -167,6 +167,9 @@ def _scores(docs: DataFrame, names: list[str], bits: DataFrame, carried: list[st
     head, values, rest = _head(bits, len(names), limit) if names else (np.empty(0, np.int64), np.empty((0, 0), np.int64), None)
     shared = docs.sparkSession.sparkContext.broadcast((head, values))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    told = [*carried, "lang_pred", "score", "cross_entropy", "n"]
+    final = f"{schema}, lang_pred string, score double, cross_entropy double, n bigint"
+    at_once = rest is None  # all grams are in the head, so tasks can judge without a join
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
@@ -191,43 +194,49 @@ def _scores(docs: DataFrame, names: list[str], bits: DataFrame, carried: list[st
                         own = np.where(known, values[k][at], 0) if len(head) else np.zeros(len(distinct), np.int64)
                         sums[rows, k] = np.add.reduceat(own[place], begins)
                     size[rows] = sizes
-                    if not known.all():
+                    if not at_once:
                         for i, begin, n in zip(rows, begins, sizes, strict=True):
                             own = place[begin : begin + n]
                             found, count = np.unique(own[~known[own]], return_counts=True)
                             others[i], counts[i] = distinct[found], count
+                if at_once:
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], *_chosen_language(names, size, sums)], told)
+                    continue
                 lists = pa.list_(pa.int64())
                 columns = [pa.array(size), *(pa.array(list(x), lists) for x in (sums, others, counts))]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*carried, "n", "sums", "grams", "counts"])
 
+    if rest is None:
+        return docs.mapInArrow(run, final)
     parts = docs.mapInArrow(run, f"{schema}, n bigint, sums array<bigint>, grams array<bigint>, counts array<bigint>")
-    if rest is not None:
-        parts = stored(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
-        each = parts.select("_row", F.explode(F.arrays_zip("grams", "counts")).alias("x")).select("_row", "x.*")
-        each = each.join(rest.select(F.col("g").alias("grams"), "bits"), "grams")
-        added = F.array(*[F.sum(F.col("bits")[k] * F.col("counts")) for k in range(len(names))])
-        added = each.groupBy(F.col("_row").alias("_own")).agg(added.alias("added"))
-        sums = F.when(F.col("added").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "added", lambda a, b: a + b))
-        parts = parts.join(added, F.col("_row") == F.col("_own"), "left").withColumn("sums", sums)
+    parts = stored(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
+    each = parts.select("_row", F.explode(F.arrays_zip("grams", "counts")).alias("x")).select("_row", "x.*")
+    each = each.join(rest.select(F.col("g").alias("grams"), "bits"), "grams")
+    added = F.array(*[F.sum(F.col("bits")[k] * F.col("counts")) for k in range(len(names))])
+    added = each.groupBy(F.col("_row").alias("_own")).agg(added.alias("added"))
+    sums = F.when(F.col("added").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "added", lambda a, b: a + b))
+    parts = parts.join(added, F.col("_row") == F.col("_own"), "left").withColumn("sums", sums)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(len(carried)).to_numpy()
-            best, bits, score = np.full(len(size), -1), np.zeros(len(size)), np.zeros(len(size))
-            rows = np.flatnonzero(size)
-            if len(rows):
-                sums = np.array(batch.column(len(carried) + 1).to_pylist(), np.int64)[rows]
-                entropy = sums.T / (size[rows] * float(UNIT))
-                best[rows], least = entropy.argmin(axis=0), entropy.min(axis=0)
-                bits[rows] = least
-                score[rows] = 1 / np.exp2(-(entropy - least) * np.sqrt(size[rows])).sum(axis=0)
-            labels = [names[b] if b >= 0 else UNKNOWN for b in best]
-            columns = [pa.array(labels, pa.string()), pa.array(score), pa.array(bits), pa.array(size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *columns], [*carried, "lang_pred", "score", "cross_entropy", "n"])
-
-    return parts.select(*carried, "n", "sums").mapInArrow(
-        choose, f"{schema}, lang_pred string, score double, cross_entropy double, n bigint"
-    )
+            sums = np.array(batch.column(len(carried) + 1).to_pylist(), np.int64).reshape(len(size), len(names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *_chosen_language(names, size, sums)], told)
+
+    return parts.select(*carried, "n", "sums").mapInArrow(choose, final)
+
+
+def _chosen_language(names: list[str], size: np.ndarray, sums: np.ndarray) -> list[pa.Array]:
+    """lang_pred, score, cross_entropy, n from the summed bits of each document and language."""
+    best, bits, score = np.full(len(size), -1), np.zeros(len(size)), np.zeros(len(size))
+    rows = np.flatnonzero(size)
+    if len(rows):
+        entropy = sums[rows].T / (size[rows] * float(UNIT))
+        best[rows], least = entropy.argmin(axis=0), entropy.min(axis=0)
+        bits[rows] = least
+        score[rows] = 1 / np.exp2(-(entropy - least) * np.sqrt(size[rows])).sum(axis=0)
+    labels = [names[b] if b >= 0 else UNKNOWN for b in best]
+    return [pa.array(labels, pa.string()), pa.array(score), pa.array(bits), pa.array(size)]
 
 
 def identify(
