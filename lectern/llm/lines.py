@@ -52,7 +52,7 @@ class _Lines:
         digest = xxhash.xxh64_intdigest
         self.words: list[bytes] = []
         docs, numbers, later, short, hashes = [], [], [], [], []
-        for doc_id, text in zip(part.column(1).to_pylist(), texts_of(part), strict=True):
+        for row, (doc_id, text) in enumerate(zip(part.column(1).to_pylist(), texts_of(part), strict=True)):
             if doc_id is None:
                 continue
             seen = set()
@@ -63,7 +63,7 @@ class _Lines:
                     continue
                 whole = b" ".join(words)
                 key = digest(whole, 1)
-                docs.append(doc_id)
+                docs.append(row)
                 numbers.append(number)
                 later.append(key in seen)
                 seen.add(key)
@@ -87,27 +87,29 @@ class _Lines:
                 )
         table = np.array(hashes, np.uint64).reshape(-1, 5)
         self.key, self.halves = table[:, 0], [table[:, k] for k in range(1, 5)]
-        self.doc_id, self.line = np.array(docs, np.int64), np.array(numbers, np.int32)
+        rows = pa.array(docs, pa.int64())
+        self.doc_id, self.digest = (part.column(c).take(rows).to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2))
+        self.line = np.array(numbers, np.int32)
         self.later, self.short = np.array(later, bool), np.array(short, bool)
 
 
 def _all_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    names = ["doc_id", "line", "h", "later", "k0", "k1", "k2", "k3"]
+    names = ["doc_id", "d", "line", "h", "later", "k0", "k1", "k2", "k3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 lines = _Lines(part, min_words)
                 keys = [np.ascontiguousarray(k).view(np.int64) for k in (lines.key, *lines.halves)]
-                columns = [pa.array(c) for c in (lines.doc_id, lines.line, keys[0], lines.later)]
+                columns = [pa.array(c) for c in (lines.doc_id, lines.digest, lines.line, keys[0], lines.later)]
                 columns += [pa.array(k, mask=lines.short) for k in keys[1:]]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, "doc_id bigint, line int, h bigint, later boolean, k0 bigint, k1 bigint, k2 bigint, k3 bigint")
+    return docs.mapInArrow(run, "doc_id bigint, d bigint, line int, h bigint, later boolean, k0 bigint, k1 bigint, k2 bigint, k3 bigint")
 
 
 def _candidates(docs: DataFrame, wanted: np.ndarray, min_words: int) -> DataFrame:
-    """Lines with a half that occurs elsewhere: h, doc_id, line, words, ``sides`` (which halves)."""
+    """Lines with a half that occurs elsewhere: h, doc_id, d, line, words, ``sides`` (which halves)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,17 +121,17 @@ def _candidates(docs: DataFrame, wanted: np.ndarray, min_words: int) -> DataFram
                     sides |= passes(shared.value, keys).astype(np.int32) << i
                 at = np.flatnonzero((sides > 0) & ~lines.later & ~lines.short)
                 words = [lines.words[i].decode() for i in at]
-                columns = [lines.key[at].view(np.int64), lines.doc_id[at], lines.line[at], words, sides[at]]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
+                columns = [lines.key[at].view(np.int64), lines.doc_id[at], lines.digest[at], lines.line[at], words, sides[at]]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc_id", "line", "words", "sides"]
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc_id", "d", "line", "words", "sides"]
                 )
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, line int, words string, sides int")
+    return docs.mapInArrow(run, "h bigint, doc_id bigint, d bigint, line int, words string, sides int")
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
-    """Hashed variants: key, own (the line itself), h, doc_id, line.
+    """Hashed variants: key, own (the line itself), h, doc_id, d, line.
 
     The line itself meets lines with one word more under the key of a deletion; lines with another
     word at the same place meet under the key of that place.
@@ -139,7 +141,7 @@ def _variants(candidates: DataFrame) -> DataFrame:
         words, spans = WordHashes(), Spans()
         for batch in batches:
             out = []
-            for i, (text, sides) in enumerate(zip(texts_of(batch, 3), batch.column(4).to_pylist(), strict=True)):
+            for i, (text, sides) in enumerate(zip(texts_of(batch, 4), batch.column(5).to_pylist(), strict=True)):
                 sums = spans.sums(words.of(text.split()))
                 n = len(sums) - 1
                 keep = np.zeros(n, bool)
@@ -162,10 +164,10 @@ def _variants(candidates: DataFrame) -> DataFrame:
                 out.append((np.full(len(keys), i, np.int64), keys, own))
             if out:
                 row, keys, own = (np.concatenate(x) for x in zip(*out, strict=True))
-                take = [batch.column(c).take(pa.array(row)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), *take], ["key", "own", "h", "doc_id", "line"])
+                take = [batch.column(c).take(pa.array(row)) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), *take], ["key", "own", "h", "doc_id", "d", "line"])
 
-    return candidates.mapInArrow(run, "key bigint, own tinyint, h bigint, doc_id bigint, line int")
+    return candidates.mapInArrow(run, "key bigint, own tinyint, h bigint, doc_id bigint, d bigint, line int")
 
 
 def _one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -181,19 +183,22 @@ def _verified(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [_one_edit(x.split(), y.split()) for x, y in zip(texts_of(batch, 1), texts_of(batch, 2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["h"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in (0, 3, 4)], ["h", "before", "d"])
 
-    return pairs.mapInArrow(run, "h bigint")
+    return pairs.mapInArrow(run, "h bigint, before boolean, d bigint")
 
 
 def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines to remove (doc_id, line number from 0): an earlier line is at most one word edit away.
+    """Lines to remove (doc_id, ``d``: the text's xxhash64, line number from 0): an earlier line is at most
+    one word edit away.
 
     Earlier is a smaller document id, or before in the same document. Lines of fewer than ``min_words``
-    words go only if an earlier one has the same words; distances are judged on the input, not on what is left. Documents without an
-    id neither lose lines nor remove others'; rows that share an id are not earlier than each other.
+    words go only if an earlier one has the same words; distances are judged on the input, not on what is
+    left. Documents without an id neither lose lines nor remove others'; rows that share an id are not
+    earlier than each other, whatever their texts (of several texts under one id, lines near to one of their own
+    text go from the one of least ``d``). Ids are cast to bigint.
     """
-    narrow = docs.select(F.col(text).alias("text"), F.col(id).cast("bigint").alias("doc_id"))
+    narrow = docs.select(F.col(text).alias("text"), F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("d"))
     lines = stored(_all_lines(narrow, min_words), "lines")
     halves = [f"k{i}" for i in range(4)]
     distinct = stored(
@@ -203,10 +208,13 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_w
     twice = distinct.select(F.explode(F.array_distinct(F.array(*halves))).alias("k")).where("k is not null").groupBy("k").count().where("count > 1")
     found = _candidates(narrow, key_filter(twice, "k"), min_words)
     firsts = distinct.select(F.col("h").alias("_h"), "first")
-    found = found.join(firsts, (F.col("h") == F.col("_h")) & (F.col("doc_id") == F.col("first"))).dropDuplicates(["h"])
-    candidates = stored(found.select("h", "doc_id", "line", "words", "sides"), "candidates")
-    variants = stored(_variants(candidates.select("h", "doc_id", "line", "words", "sides")), "variants")
-    place = F.struct("doc_id", "line", "h")
+    found = found.join(firsts, (F.col("h") == F.col("_h")) & (F.col("doc_id") == F.col("first")))
+    # Several texts of the first id may hold the line; the words are the same, the first place counts.
+    at = F.min(F.struct("d", "line")).alias("at")
+    candidates = found.groupBy("h").agg(F.min("doc_id").alias("doc_id"), at, F.min("words").alias("words"), F.max("sides").alias("sides"))
+    candidates = stored(candidates.select("h", "doc_id", "at.d", "at.line", "words", "sides"), "candidates")
+    variants = stored(_variants(candidates), "variants")
+    place = F.struct("doc_id", "d", "line", "h")
     met = variants.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("own") == 1, place)).alias("whole"),
@@ -215,28 +223,35 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_w
     )
     met = stored(met.where("n > 1"), "met")
     keeper = F.when(F.col("own") == 1, F.col("shorter")).when(F.col("own") == 2, F.col("whole")).otherwise(F.col("same"))
-    pairs = variants.join(met, "key").withColumn("keeper", keeper).where(F.col("keeper") < F.struct("doc_id", "line", "h"))
-    pairs = pairs.select("h", F.col("keeper.h").alias("kept")).distinct()
+    before = F.col("keeper.doc_id") < F.col("doc_id")
+    earlier = (F.col("keeper") < place) & (before | (F.col("keeper.d") == F.col("d")))
+    pairs = variants.join(met, "key").withColumn("keeper", keeper).where(earlier)
+    pairs = pairs.select("h", F.col("keeper.h").alias("kept"), before.alias("before"), "d").distinct()
     texts = candidates.select("h", "words")
     pairs = pairs.join(texts, "h").join(texts.select(F.col("h").alias("kept"), F.col("words").alias("other")), "kept")
-    near = stored(_verified(pairs.select("h", "words", "other")).distinct(), "near")
-    judged = distinct.select("h", "first", "n").join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near")
-    judged = stored(judged.select("h", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged")
-    repeated = lines.where("not later").join(judged, "h").where(F.col("near") | (F.col("doc_id") > F.col("first")))
-    return lines.where("later").select("doc_id", "line").unionByName(repeated.select("doc_id", "line"))
+    near = _verified(pairs.select("h", "words", "other", "before", "d"))
+    near = stored(near.groupBy("h").agg(F.max("before").alias("before"), F.max("d").alias("own")), "near")
+    judged = distinct.select("h", "first", "n").join(near, "h", "left").where("n > 1 or own is not null")
+    judged = stored(judged.select("h", "first", F.coalesce("before", F.lit(False)).alias("before"), "own"), "judged")
+    gone = F.col("before") | (F.col("doc_id") > F.col("first")) | F.coalesce(F.col("d") == F.col("own"), F.lit(False))
+    repeated = lines.where("not later").join(judged, "h").where(gone)
+    return lines.where("later").select("doc_id", "d", "line").unionByName(repeated.select("doc_id", "d", "line"))
 
 
 def cut_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` cut to the lines that are kept, and n_lines, n_removed, kept_sha256.
 
-    A null text stays null and has no lines, an empty text one. Other columns stay; columns
-    with the names of the three added ones are replaced.
+    A null text stays null and has no lines, an empty text one. Each row loses what ``removed_lines`` finds for
+    its id and text, so repeated rows lose the same, and rows that share an id each their own; a null id loses
+    nothing, and an empty table gives an empty one. Other columns stay; columns with the names of the three
+    added ones are replaced.
     """
-    gone = removed_lines(docs, id, text, min_words).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    key, dead_lines = free_name(docs, "_doc"), free_name(docs, "_gone")
-    gone = stored(gone, "gone").toDF(key, dead_lines)
+    gone = removed_lines(docs, id, text, min_words).groupBy("doc_id", "d").agg(F.collect_set("line").alias("_gone"))
+    key, digest, dead_lines = free_name(docs, "_doc"), free_name(docs, "_digest"), free_name(docs, "_gone")
+    gone = stored(gone, "gone").toDF(key, digest, dead_lines)
     # Always by sort and merge, so that the cost grows evenly with the input.
-    joined = docs.drop("n_lines", "n_removed", "kept_sha256").join(gone.hint("merge"), F.col(id).cast("bigint") == F.col(key), "left").drop(key)
+    same = (F.col(id).cast("bigint") == F.col(key)) & (F.xxhash64(text) == F.col(digest))
+    joined = docs.drop("n_lines", "n_removed", "kept_sha256").join(gone.hint("merge"), same, "left").drop(key, digest)
     columns = [c for c in joined.columns if c != dead_lines]
     at = columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(columns).schema.fields)

@@ -4,25 +4,35 @@ from lectern.llm import lines
 from lectern.llm.queries import QUERIES
 
 
+def one_edit_apart(a, b):
+    """At most one word put in, taken out or replaced."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
 def plain(rows, min_words=5):
-    """What is kept of each (id, text), by comparing every line with all earlier ones."""
-    earlier, gone = [], set()
-    for doc_id, text in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
-        own = []
-        for n, line in enumerate(text.split("\n")):
-            words = line.encode().split()
-            if len(words) < min_words:
-                continue
-            if any(lines._one_edit(w, words) for w in earlier + own):
-                gone.add((doc_id, n))
-            own.append(words)
-        earlier += own
-    out = []
+    """What is kept of each (id, text), by comparing every line with all of smaller ids and those before it.
+
+    Equal lines go whatever their length, lines one edit apart if both have ``min_words`` words.
+    """
+    out = set()
+    lines = [(doc_id, n, line.encode().split()) for doc_id, text in rows if doc_id is not None for n, line in enumerate((text or "").split("\n"))]
     for doc_id, text in rows:
-        all_lines = [] if text is None else text.split("\n")
-        kept = "\n".join(x for n, x in enumerate(all_lines) if (doc_id, n) not in gone)
-        out.append((doc_id, len(all_lines), len(all_lines) - len(kept.split("\n")) if text is not None and kept else None, kept))
-    return {(d, k) for d, _, _, k in out}
+        kept = []
+        own = [] if doc_id is None else [words for other, _, words in lines if other < doc_id]
+        for line in (text or "").split("\n"):
+            words = line.encode().split()
+            near = any(w == words or min(len(w), len(words)) >= min_words and one_edit_apart(w, words) for w in own)
+            if doc_id is None or not words or not near:
+                kept.append(line)
+            if doc_id is not None:
+                own.append(words)
+        out.add((doc_id, "\n".join(kept)))
+    return out
 
 
 def kept_of(df):
@@ -72,23 +82,16 @@ def test_short_lines_and_text_without_blanks(spark):
     }
 
 
-def test_query_equals_brute_force_with_short_lines(spark, tmp_path):
-    """As ``plain``, but exact repeats go at any length."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    want, earlier = set(), []
-    exact = set()
-    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
-        kept = []
-        for line in (r["text"] or "").split("\n"):
-            words = line.encode().split()
-            near = len(words) >= 5 and any(lines._one_edit(w, words) for w in earlier)
-            if not near and tuple(words) not in exact:
-                kept.append(line)
-            if words:
-                exact.add(tuple(words))
-            if len(words) >= 5:
-                earlier.append(words)
-        want.add((r["doc_id"], hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    got = {(r["doc_id"], r["kept_sha256"]) for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
-    assert got == want
+def test_several_texts_under_one_id(spark):
+    """Each row loses its own lines, repeated rows lose the same."""
+    rows = [
+        (1, "first line of the five words\nmenu"),
+        (1, "menu\nfirst line of the six words"),
+        (2, "something else altogether stands here\nmenu\nfirst line of the five words"),
+        (2, "menu\nsomething new that stands nowhere else\nmenu"),
+        (2, "menu\nsomething new that stands nowhere else\nmenu"),
+    ]
+    for order in (rows, rows[::-1]):
+        got = lines.cut_lines(spark.createDataFrame(order, "doc_id long, text string").repartition(3))
+        assert kept_of(got) == plain(rows)
+        assert got.count() == 5
