@@ -5,7 +5,8 @@ positions at which it stands. Positions have a gap between documents, so a phras
 ``search`` takes the test items in blocks of bounded size to all shards. For each run of 13 words it
 starts from the postings of the word that is rarest in the shard, shifts them by the place of the word in
 the run, and keeps what the next rarer words' shifted postings also have: what is left is the exact
-matches. Proximity matches are places where the rarest words of an item stand close together.
+matches. Proximity matches are stretches of a document, as long as the item, that hold all but one of the
+item's rarest words; how rare a word is, the documents of the whole index tell.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lectern.llm.tasks import stored, text_slices, texts_of
+from lectern.llm.tasks import blocks, stored, text_slices, texts_of
 
 WINDOW = 13
 SHARD_BYTES = 2 * 2**20
-NEAR_TERMS = 4
+# Rarest words of an item that proximity looks for; one of them may be missing if there are three or more.
+NEAR_TERMS = 5
 # What one block of test items may weigh; more items are searched in several blocks.
 BLOCK_BYTES = 16 * 2**20
 
@@ -29,10 +32,8 @@ _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
-INDEX_SCHEMA = (
-    "shard string, doc_ids array<bigint>, n_words array<int>, terms array<binary>, "
-    "n_postings array<int>, postings array<int>"
-)
+_SHARD_COLUMNS = ["shard", "doc_ids", "n_words", "terms", "n_docs", "n_postings", "postings"]
+_SHARD_KINDS = "n_words array<int>, terms array<binary>, n_docs array<int>, n_postings array<int>, postings array<int>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -48,7 +49,7 @@ class _Numbers(dict):
         return number
 
 
-def _shard(doc_ids, texts: list[bytes], name: str) -> pa.RecordBatch:
+def _shard(doc_ids: pa.Array, texts: list[bytes], name: str) -> pa.RecordBatch:
     numbers = _Numbers()
     counts, ids = [], []
     for text in texts:
@@ -60,39 +61,43 @@ def _shard(doc_ids, texts: list[bytes], name: str) -> pa.RecordBatch:
     order = np.argsort(terms, kind="stable")
     postings = (np.arange(len(terms), dtype=np.int32) + gaps)[order]
     sizes = np.bincount(terms, minlength=len(numbers)).astype(np.int32)
-    lists = [doc_ids.to_pylist(), counts, list(numbers), sizes, postings]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-    made = [pa.ListArray.from_arrays([0, len(x)], pa.array(x, k)) for x, k in zip(lists, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([name]), *made], ["shard", "doc_ids", "n_words", "terms", "n_postings", "postings"]
-    )
+    docs, sorted_terms = gaps[order], terms[order]
+    new = np.r_[True, (docs[1:] != docs[:-1]) | (sorted_terms[1:] != sorted_terms[:-1])] if len(terms) else np.empty(0, bool)
+    n_docs = np.bincount(sorted_terms[new], minlength=len(numbers)).astype(np.int32)
+    lists = [counts, list(numbers), n_docs, sizes, postings]
+    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+    arrays = [doc_ids, *(pa.array(x, k) for x, k in zip(lists, kinds, strict=True))]
+    made = [pa.ListArray.from_arrays([0, len(x)], x) for x in arrays]
+    return pa.RecordBatch.from_arrays([pa.array([name]), *made], _SHARD_COLUMNS)
 
 
-def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index as a stored table, one row per shard of at most SHARD_BYTES of whole texts (a longer
-    text is a shard of its own). ``doc_ids`` must be integers; null ids and repeated ids are kept as
-    places of their own, null texts have no words."""
+def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The index as a stored table, one row per shard of at most ``shard_bytes`` of whole texts (a longer
+    text is a shard of its own). Null ids and repeated ids are kept as places of their own, null texts have
+    no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in text_slices(batch, SHARD_BYTES):
+            for part in text_slices(batch, shard_bytes):
                 yield _shard(part.column(1), texts_of(part), f"{task}-{made}")
                 made += 1
 
-    narrow = docs.select(F.col(text).alias("text"), F.col(id).cast("bigint").alias("doc_id"))
-    return stored(narrow.mapInArrow(run, INDEX_SCHEMA), "postings")
+    narrow = docs.select(F.col(text).alias("text"), F.col(id).alias("doc_id"))
+    kind = docs.schema[id].dataType.simpleString()
+    return stored(narrow.mapInArrow(run, f"shard string, doc_ids array<{kind}>, {_SHARD_KINDS}"), "postings")
 
 
 class _Queries:
-    """Test items of one block: windows as rows of term numbers."""
+    """Test items of one block: windows as rows of term numbers, and the terms that proximity looks for."""
 
-    def __init__(self, items: list[tuple[int, bytes]], near_terms: int):
+    def __init__(self, items: list[tuple[int, bytes]]):
         self.terms: dict[bytes, int] = {}
         by_width: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        self.whole: list[tuple[int, np.ndarray, int]] = []
+        self.whole: list[tuple[int, set[int], int]] = []
+        self.near: list[tuple[int, np.ndarray, int]] = []
         for item, text in items:
             words = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
             if not words:
@@ -101,12 +106,24 @@ class _Queries:
             rows = by_width.setdefault(width, {})
             for i in range(len(words) - width + 1):
                 rows.setdefault(tuple(words[i : i + width]), set()).add(item)
-            self.whole.append((item, np.unique(words), len(words)))
+            self.whole.append((item, set(words), len(words)))
         self.windows = [
             (width, np.array(list(rows), np.int64), [sorted(x) for x in rows.values()])
             for width, rows in sorted(by_width.items())
         ]
-        self.near_terms = near_terms
+
+    def choose(self, n_docs: dict[int, int], near_terms: int) -> None:
+        """Of each item's terms that occur at all, the rarest, equal ones by their letters."""
+        words = {number: word for word, number in self.terms.items()}
+        for item, distinct, reach in self.whole:
+            rarest = sorted((t for t in distinct if t in n_docs), key=lambda t: (n_docs[t], words[t]))[:near_terms]
+            if len(rarest) > 1:
+                self.near.append((item, np.array(rarest, np.int64), reach))
+
+
+def _needed(terms: int) -> int:
+    """How many of an item's rarest terms a stretch must hold."""
+    return terms - (terms > 2)
 
 
 def _holds(postings: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -115,8 +132,10 @@ def _holds(postings: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return postings[at] == wanted
 
 
-def _search_shard(queries: _Queries, terms: list[bytes], sizes: np.ndarray, postings: np.ndarray):
-    """Exact matches (item, begin, end) and proximity matches (item, begin, end) in positions."""
+def _search_shard(queries: _Queries, terms: list[bytes], sizes: np.ndarray, postings: np.ndarray, ends: np.ndarray):
+    """Exact matches (item, begin, end) and proximity matches (item, begin, end) in positions.
+
+    ``ends``: the position behind the last word of each document."""
     begins = np.concatenate([[0], np.cumsum(sizes)])
     counts = np.zeros(len(queries.terms), np.int64)
     places = np.zeros(len(queries.terms), np.int64)
@@ -139,33 +158,42 @@ def _search_shard(queries: _Queries, terms: list[bytes], sizes: np.ndarray, post
                     break
                 found = found[_holds(listed(row[j]), found + j)]
             exact += [(item, int(at), int(at) + width) for at in found for item in items[k]]
-    for item, distinct, reach in queries.whole if queries.near_terms else []:
-        present = counts[distinct]
-        if (present == 0).any():
+    for item, terms_, reach in queries.near:
+        held = terms_[counts[terms_] > 0]
+        if len(held) < _needed(len(terms_)):
             continue
-        rarest = distinct[np.argsort(present, kind="stable")][: queries.near_terms]
-        at = listed(rarest[0])
-        low, high = at.copy(), at.copy()
-        keep = np.ones(len(at), bool)
-        for term in rarest[1:]:
-            other = listed(term)
-            after = np.searchsorted(other, at)
-            right = np.where(after < len(other), other[np.minimum(after, len(other) - 1)], np.iinfo(np.int32).max)
-            left = np.where(after > 0, other[np.maximum(after - 1, 0)], np.iinfo(np.int32).min // 2)
-            closest = np.where(right.astype(np.int64) - at <= at.astype(np.int64) - left, right, left)
-            keep &= np.abs(closest.astype(np.int64) - at) <= reach
-            low, high = np.minimum(low, closest), np.maximum(high, closest)
-        near += [(item, int(a), int(b) + 1) for a, b in zip(low[keep], high[keep], strict=True)]
+        lists = [listed(t).astype(np.int64) for t in held]
+        at = np.sort(np.concatenate(lists))
+        room = np.minimum(at + reach, ends[np.searchsorted(ends, at, "right")])  # where stretch or document ends
+        found, last = np.zeros(len(at), np.int64), at.copy()
+        for other in lists:
+            follows = np.searchsorted(other, at)
+            next_ = other[np.minimum(follows, len(other) - 1)]
+            inside = (follows < len(other)) & (next_ < room)
+            found += inside
+            last = np.where(inside, np.maximum(last, next_), last)
+        keep = found >= _needed(len(terms_))
+        near += [(item, int(a), int(b) + 1) for a, b in zip(at[keep], last[keep], strict=True)]
     return exact, near
 
 
-def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of about ``limit`` bytes, one on the driver at a time."""
-    weight = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
-    n = int(weight // limit) + 1
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        yield [(r["item_id"], (r["text"] or "").encode()) for r in rows]
+def _frequencies(index: DataFrame, queries: _Queries) -> dict[int, int]:
+    """Documents of the whole index that hold each term of the block; a row for each of its terms at most."""
+    known = queries.terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n_docs = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                for j, term in enumerate(batch.column(0)[i].as_py()):
+                    if term in known:
+                        sums[known[term]] += n_docs[j]
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["term", "n"])
+
+    parts = index.select("terms", "n_docs").mapInArrow(run, "term int, n bigint")
+    return {r["term"]: r["n"] for r in parts.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
 def search(
@@ -178,37 +206,41 @@ def search(
 ) -> DataFrame:
     """Matches: shard, place (of the document in the shard), doc_id, item_id, kind, begin, end (words).
 
-    ``kind`` is 'exact': a stretch of the document covered by windows of the item, or 'near': the
-    item's ``near_terms`` rarest words (in the shard) stand within the length of the item around the
-    rarest. Items without words match nothing; items of fewer than 13 words are one window. Repeated
+    ``kind`` is 'exact': a stretch of the document covered by windows of the item, or 'near': a stretch no
+    longer than the item that holds all but one (of two: both) of its ``near_terms`` rarest words; rarest by the
+    documents of the whole index, among words that occur in it at all. ``near_terms=0`` leaves these out. Items
+    without words match nothing; items of fewer than 13 words are one window. Repeated
     items and rows give repeated matches of equal content once per item id; null item ids are left out.
     """
-    named = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text"))
-    named = named.where(F.col("item_id").isNotNull())
+    named = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    named = named.where(F.col("id").isNotNull())
     spark, found = index.sparkSession, None
-    schema = "shard string, place int, doc_id bigint, item_id bigint, kind string, begin int, end int"
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    id_type = to_arrow_type(index.schema["doc_ids"].dataType.elementType)
+    schema = f"shard string, place int, doc_id {kind}, item_id bigint, kind string, begin int, end int"
     names = ["shard", "place", "doc_id", "item_id", "kind", "begin", "end"]
-    for block in _blocks(named, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+    for block in blocks(named, block_bytes):
+        asked = _Queries(block)
+        if near_terms:
+            asked.choose(_frequencies(index, asked), near_terms)
+        shared = spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            queries = _Queries(shared.value, near_terms)
+            queries = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    name, doc_ids, counts, terms, sizes, postings = (batch.column(c)[i] for c in range(6))
+                    name, doc_ids, counts, terms, _, sizes, postings = (batch.column(c)[i] for c in _SHARD_COLUMNS)
                     sizes = sizes.values.to_numpy(zero_copy_only=False)
-                    exact, near = _search_shard(
-                        queries, terms.as_py(), sizes, postings.values.to_numpy(zero_copy_only=False)
-                    )
                     counts = counts.values.to_numpy(zero_copy_only=False).astype(np.int64)
                     starts = np.cumsum(counts + 1) - counts - 1
+                    exact, near = _search_shard(
+                        queries, terms.as_py(), sizes, postings.values.to_numpy(zero_copy_only=False), starts + counts
+                    )
                     ids, rows = doc_ids.as_py(), []
                     for kind, hits in (("exact", exact), ("near", near)):
                         open_at: dict[tuple[int, int], list[int]] = {}
                         for item, begin, end in sorted(set(hits)):
                             place = int(np.searchsorted(starts, begin, "right")) - 1
-                            if end - 1 - starts[place] >= counts[place]:
-                                continue  # only proximity matches can reach into the next document
                             span = open_at.get((item, place))
                             if span is not None and begin <= span[6]:
                                 span[6] = max(span[6], end)
@@ -221,7 +253,7 @@ def search(
                         moved = starts[np.array(columns[1])]
                         columns[5] = np.array(columns[5]) - moved
                         columns[6] = np.array(columns[6]) - moved
-                        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+                        kinds = [pa.string(), pa.int32(), id_type, pa.int64(), pa.string(), pa.int32(), pa.int32()]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names
                         )
@@ -272,11 +304,21 @@ def documents_hit(index: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", near_terms: int = NEAR_TERMS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    near_terms: int = NEAR_TERMS,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
     """Index the documents, search the items, and judge: ``documents_hit`` plus ``contaminated``.
 
-    A document is contaminated if at least a twentieth of its words are inside exact matches.
+    A document is contaminated if at least a twentieth of its words are inside exact matches; proximity
+    matches are only counted. Documents without words (null and empty texts too) are clean. Repeated rows are
+    judged each, null ids are kept; an empty table of documents gives an empty one, one of items judges all
+    clean. Other columns are not read.
     """
-    index = build_index(docs, id, text)
+    index = build_index(docs, id, text, shard_bytes)
     judged = documents_hit(index, search(index, items, near_terms=near_terms))
     return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

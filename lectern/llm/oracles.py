@@ -3,7 +3,8 @@
 ORACLES: dict[str, str] = {}
 
 # Words after A-Z are lowered, then every window of 13 item words, looked up in all windows of the
-# documents of the same width.
+# documents of the same width. Near matches: each item's five rarest words, and stretches as long as the
+# item that begin with one of them and hold all but one.
 ORACLES["op9_decontaminate"] = r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -24,10 +25,27 @@ covered AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + width)) AS p FROM hits) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items,
-    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id),
+item_terms AS (SELECT DISTINCT item_id, len(w) AS reach, unnest(w) AS word FROM item_words),
+places AS (
+  SELECT doc_id, word, place FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM doc_words)
+  SEMI JOIN item_terms USING (word)),
+rarest AS (
+  SELECT item_id, reach, word FROM item_terms JOIN (SELECT word, count(DISTINCT doc_id) AS n FROM places GROUP BY word) USING (word)
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n, word) <= 5),
+chosen AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS k FROM rarest),
+met AS (SELECT item_id, doc_id, place, word, reach, k FROM chosen JOIN places USING (word) WHERE k > 1),
+stretches AS (
+  SELECT a.item_id, a.doc_id, a.place, any_value(a.k) AS k, count(DISTINCT b.word) AS held
+  FROM met a JOIN met b ON a.item_id = b.item_id AND a.doc_id = b.doc_id AND b.place BETWEEN a.place AND a.place + a.reach - 1
+  GROUP BY ALL),
+near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM stretches ANTI JOIN hits USING (doc_id, item_id)
+  WHERE held >= CASE WHEN k > 2 THEN k - 1 ELSE k END GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(d.w) AS contaminated
-FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(d.w) AS contaminated,
+  coalesce(n_near, 0) AS n_near
+FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 # Every window of 20 words numbered by its first start; words inside a later one go.

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     answer = duck.execute(ORACLES[name])
     columns = [d[0] for d in answer.description]
@@ -66,6 +66,87 @@ def test_matches_odd_rows(spark):
     assert decontamination.decontaminate(docs.limit(0), items).count() == 0
 
 
+def near_items(docs, items, near_terms):
+    """Items that each document holds a near stretch of, by looking at every stretch."""
+    split = [(d, decontamination.words_of(t.encode())) for d, t in docs]
+    df = {}
+    for _, words in split:
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    found = {}
+    for item, text in items:
+        words = decontamination.words_of(text.encode())
+        rarest = sorted((w for w in set(words) if w in df), key=lambda w: (df[w], w))[:near_terms]
+        needed = len(rarest) - (len(rarest) > 2)
+        for d, own in split:
+            stretches = (own[i : i + len(words)] for i in range(len(own)))
+            if len(rarest) > 1 and any(len(set(rarest) & set(s)) >= needed for s in stretches):
+                found.setdefault(d, set()).add(item)
+    return found
+
+
+@pytest.mark.parametrize(("partitions", "shard_bytes"), [(1, 2 << 20), (3, 10_000), (8, 400)])
+def test_proximity_does_not_depend_on_shards(spark, partitions, shard_bytes):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([2, 3, 6, 14, 20])))) for i in range(30)]
+    docs = [(d, " ".join(rng.choices(vocabulary, k=rng.choice([1, 5, 60])))) for d in range(300)]
+    for d, (_, text) in enumerate(items):  # each item once more with a word replaced, others shuffled
+        words = text.split()
+        words[rng.randrange(len(words))] = "else"
+        docs.append((1000 + d, " ".join(rng.choices(vocabulary, k=9) + words + ["end"])))
+        docs.append((2000 + d, " ".join(rng.sample(words, len(words)))))
+    given = spark.createDataFrame(docs, "doc_id long, text string").repartition(partitions)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    index = decontamination.build_index(given, shard_bytes=shard_bytes)
+    matches = decontamination.search(index, asked).collect()
+    got = {}
+    for m in matches:
+        if m["kind"] == "near":
+            got.setdefault(m["doc_id"], set()).add(m["item_id"])
+    assert got == near_items(docs, items, decontamination.NEAR_TERMS)
+    judged = decontamination.decontaminate(given, asked, shard_bytes=shard_bytes).collect()
+    exact = {(m["doc_id"], m["item_id"]) for m in matches if m["kind"] == "exact"}
+    assert all(r["n_near"] == len({i for i in got.get(r["doc_id"], ()) if (r["doc_id"], i) not in exact}) for r in judged)
+    assert sum(len(v) for d, v in got.items() if d >= 1000) > 30
+
+
+def test_an_unrelated_document_does_not_make_a_match(spark):
+    item = " ".join(f"i{k}" for k in range(14))
+    changed = item.replace("i5", "other")
+    asked = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for others in ([], [(2, "i5 alone")], [(3, "i5 " + "x " * 50)]):
+        docs = spark.createDataFrame([(1, changed), *others], "doc_id long, text string").coalesce(1)
+        judged = {r["doc_id"]: (r["n_near"], r["contaminated"]) for r in decontamination.decontaminate(docs, asked).collect()}
+        assert judged[1] == (1, False) and all(v == (0, False) for d, v in judged.items() if d != 1)
+
+
+def test_pipeline_keeps_rows_by_their_own_text(spark):
+    """Two texts under one id and under none: nothing goes that is not rejected for its own text."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    english = [r["text"] for r in base.where("lang = 'en' AND n_chars > 800").orderBy("doc_id").limit(6).collect()]
+    made = [" ".join(f"{a} {b}" for a, b in zip(english[k].split()[:90], english[k + 1].split()[:90], strict=False)) for k in range(4)]
+    phrase = base.sparkSession.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    junk = "".join(chr(0x4E00 + (k * 7919) % 5000) for k in range(400))
+    odd = [(900_001, made[0]), (900_001, made[1]), (None, made[2]), (None, made[3]), (900_001, phrase), (None, phrase), (900_001, junk)]
+    rows = spark.createDataFrame(odd, "doc_id long, text string").selectExpr(
+        *[c if c in ("doc_id", "text") else f"CAST(NULL AS {t}) AS {c}" for c, t in ((f.name, f.dataType.simpleString()) for f in base.schema.fields)]
+    )
+    docs = base.unionByName(rows)
+
+    def left(df):
+        return sorted((r["doc_id"] or 0, r["text"]) for r in df.where("doc_id IS NULL OR doc_id > 900000").collect())
+
+    clean = sorted((d or 0, t) for d, t in odd if t in made)
+    assert [x for x in left(corpus_pipeline.known_language(spark, docs, SF)) if x[1] in made] == clean
+    assert left(corpus_pipeline.uncontaminated(spark, docs, SF)) == sorted([*clean, (900_001, junk)])
+    near = left(corpus_pipeline.one_of_near_copies(spark, docs, SF))
+    assert near == sorted([*clean, (900_001, junk), (900_001, phrase)]) or near == sorted([*clean, (900_001, junk)])
+    twice = rows.where("text LIKE '% %'").unionByName(base.limit(3)).selectExpr("*", "concat(text, '\nonce\nonce') AS t").drop("text")
+    cut = corpus_pipeline.without_repeated_lines(spark, twice.withColumnRenamed("t", "text").select(*base.columns), SF)
+    assert all(r["text"].count("once") <= 1 for r in cut.collect())
+
+
 def test_pipeline_keeps_clean_documents(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language ID" and len(corpus_pipeline.STAGES) == 5
     docs = spark.read.parquet(f"{SF}/documents.parquet")
