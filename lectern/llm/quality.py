@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejections, in SQL functions only.
 
-Each rule rejects texts whose measure lies above a cutoff. Labelled documents are the holdout: for each
-stratum, rule and candidate cutoff, let n be the good documents and k those the rule would reject.
-The cutoff is safe if k or fewer rejections out of n would be unlikely, exactly by the binomial
-distribution, were the true rate of false rejections ``alpha`` divided by the number of rules. The level of
-that test is ``delta`` divided by the number of all tests (Bonferroni over strata, rules and
-cutoffs). Each rule takes its lowest safe cutoff, or none; with probability 1 - ``delta`` no stratum
-then loses more than ``alpha`` of its good documents.
+Each rule rejects texts whose measure lies above a cutoff. The cutoffs of all rules tighten together along one
+nested path of STEPS, from lenient to strict, so that a text has a first step at which any rule rejects it.
+Labelled documents are the holdout: at a step, let n be the good documents of a stratum and k those that are
+rejected there. The step is safe if k or fewer rejections out of n would be unlikely, exactly by the binomial
+distribution, were the true rate ``alpha``. Steps are tested in order until one fails (a fixed sequence needs no
+further correction), and each stratum is tested at level ``delta`` divided by the number of strata
+(Bonferroni). So with probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good documents.
+
+Texts that are equal are one trial, as copies say nothing new. Strata whose good documents are too few for any
+step to pass are tested together, as one stratum more; the bound then holds for them as a whole.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ ALPHA = 0.02
 DELTA = 0.05
 REPEAT = 5
 
-# Candidate cutoffs, in hundredths of words (symbols, repeated words) or lines.
-CUTOFFS = {
-    "symbols": [2, 5, 10, 15, 20, 30, 50, 75, 100, 150, 200],
-    "repeats": [5, 10, 15, 20],
-    "lines": [5, 10, 20, 30, 40, 50, 60, 70, 80],
-    "long_words": [800, 1000, 1200, 1500, 2000, 3000],
+# The path of cutoffs from lenient to strict, in hundredths of words (symbols, repeated words, characters
+# of a word) or lines.
+STEPS = {
+    "symbols": [200, 150, 100, 75, 50, 40, 30, 20, 15, 10, 5],
+    "repeats": [20, 20, 20, 19, 18, 17, 16, 15, 13, 11, 8],
+    "lines": [90, 80, 75, 70, 65, 60, 55, 50, 40, 30, 20],
+    "long_words": [3000, 2500, 2200, 2000, 1800, 1700, 1600, 1500, 1400, 1300, 1200],
 }
+N_STEPS = len(STEPS["symbols"])
 
 _SHIFT = 28  # bits for a place in the text; the rest of a packed number is the head of a hash
 
@@ -105,28 +110,45 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, state, add, lambda s: s["sum"])
 
 
-def safe_cutoffs(measured: DataFrame, good: str, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff, n, k: the lowest safe cutoff of every rule and stratum that has one.
+def first_rejected() -> Column:
+    """The first step at which a rule rejects a measured text; N_STEPS if none does."""
+    ratios = _ratios()
+    each = []
+    for rule, cutoffs in STEPS.items():
+        step = F.lit(N_STEPS)
+        for i, cutoff in reversed(list(enumerate(cutoffs))):
+            step = F.when(ratios[rule] > cutoff, F.lit(i)).otherwise(step)
+        each.append(step)
+    return F.least(*each)
+
+
+def least_trials(alpha: float, level: float) -> int:
+    """Good documents that a stratum needs for a step without any rejection to pass."""
+    return math.ceil(math.log(level) / math.log(1 - alpha))
+
+
+def safe_steps(measured: DataFrame, good: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, step: the last safe step of every stratum that has one (from 0), tested in order.
 
-    ``good`` is true for the good documents of the holdout and false or null otherwise.
+    ``measured`` has ``stratum``, ``digest`` of the text, the measures, and ``good``, true for the good documents of the
+    holdout. At most a row for each stratum and step is left after the first aggregation.
     """
-    ratios = _ratios()
-    tests = F.array(
-        *[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), ratios[r].alias("value")) for r in CUTOFFS for c in CUTOFFS[r]]
-    )
-    counted = (
-        measured.where(good)
-        .select(F.col(stratum).alias("stratum"), F.explode(tests).alias("t"))
-        .groupBy("stratum", "t.rule", "t.cutoff")
-        .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("t.value") > F.col("t.cutoff"), 1)).alias("k"))
-    )
-    counted = stored(counted, "tests")
-    n_tests = counted.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0]
-    rate = alpha / len(CUTOFFS)
+    trials = measured.where(good).select("stratum", "digest", first_rejected().alias("at")).groupBy("stratum", "digest").agg(F.min("at").alias("at"))
+    counted = stored(trials.groupBy("stratum", "at").agg(F.count(F.lit(1)).alias("n")), "counted")
+    strata = counted.groupBy("stratum").agg(F.sum("n").alias("size"))
+    level = delta / (strata.count() + 1)
+    few = F.col("size") < least_trials(alpha, level)
+    strata = strata.select(F.col("stratum").alias("own"), F.when(few, F.lit(None)).otherwise(F.col("stratum")).alias("tested"))
+    sums = counted.join(strata, F.col("stratum") == F.col("own")).groupBy("tested", "at").agg(F.sum("n").alias("n"))
+    sizes = sums.groupBy(F.col("tested").alias("_t")).agg(F.sum("n").alias("size"))
+    steps = sizes.select("_t", "size", F.explode(F.sequence(F.lit(0), F.lit(N_STEPS - 1))).alias("step"))
+    met = steps.join(sums, F.col("_t").eqNullSafe(F.col("tested")) & (F.col("at") <= F.col("step")), "left")
+    tests = met.groupBy("_t", "size", "step").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k"))
     # Beyond the expected number of rejections the tail is far above any level, so no sum is needed.
-    tail = F.when(F.col("k") <= F.col("n") * rate, binomial_tail(F.col("n"), F.col("k"), rate)).otherwise(1.0)
-    safe = counted.where(tail <= delta / n_tests)
-    return safe.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n", "k")).alias("c")).select("stratum", "rule", "c.*")
+    tail = F.when(F.col("k") <= F.col("size") * alpha, binomial_tail(F.col("size"), F.col("k"), alpha)).otherwise(1.0)
+    failed = F.min(F.when(tail > level, F.col("step")))
+    last = tests.groupBy("_t").agg((F.coalesce(failed, F.lit(N_STEPS)) - 1).alias("step")).where("step >= 0")
+    return strata.join(last, F.col("tested").eqNullSafe(F.col("_t"))).select(F.col("own").alias("stratum"), "step")
 
 
 def judge(
@@ -139,25 +161,29 @@ def judge(
     alpha: float = ALPHA,
     delta: float = DELTA,
 ) -> DataFrame:
-    """``measures`` per document with base_failed, broken_rules (array) and kept.
+    """``measures`` per document with stratum, digest, first_step (that rejects it), safe_step (of its stratum, null
+    if none), base_failed and kept.
 
     ``labels`` has ``id`` and ``label`` (1 good, 0 not); a document is good if all its labels are 1.
     Documents without a stratum form one of their own. Repeated rows and ids are judged each, null ids
-    have no label; without labels no rule gets a cutoff, and only the fixed base rules decide.
+    have no label. Null and empty texts have no words and fail the base rules. Strata without good documents, and
+    all without labels, have no safe step, and only the base rules decide; an empty table gives an empty one.
     """
-    base = docs.select(F.col(id).alias("id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text"))
-    measured = stored(measures(base, ["id", "stratum"]), "measures")
+    base = docs.select(
+        F.col(id).alias("id"),
+        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
+        F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("digest"),
+        F.col(text).alias("text"),
+    )
+    measured = stored(measures(base, ["id", "stratum", "digest"]), "measures")
     truth = labels.groupBy(F.col(id).alias("id")).agg((F.min(F.coalesce(F.col(label), F.lit(0))) == 1).alias("good"))
-    cutoffs = safe_cutoffs(measured.join(stored(truth, "truth"), "id"), "good", "stratum", alpha, delta)
-    chosen = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    ratios = _ratios()
-    broken = F.array_compact(F.array(*[F.when(ratios[r] > F.col("cutoffs")[r], F.lit(r)) for r in CUTOFFS]))
+    chosen = safe_steps(measured.join(stored(truth, "truth"), "id"), "good", alpha, delta)
+    chosen = stored(chosen.select("stratum", F.col("step").alias("safe_step")), "steps")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
-        measured.join(stored(chosen, "cutoffs"), "stratum", "left")
+        measured.join(chosen, "stratum", "left")
+        .withColumn("first_step", first_rejected())
         .withColumn("base_failed", failed)
-        .withColumn("broken_rules", F.coalesce(broken, F.array().cast("array<string>")))
-        .withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
-        .drop("cutoffs")
+        .withColumn("kept", ~F.col("base_failed") & (F.col("first_step") > F.coalesce("safe_step", F.lit(-1))))
         .withColumnRenamed("id", id)
     )
