@@ -117,6 +117,7 @@ def op9_decontaminate(spark, sf_dir):
         F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
     )
 
 

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.tasks import blocks, stored, texts_of
+from lectern.llm.tasks import blocks, stored, text_slices, texts_of
 
 TOP = 10
 # Text behind one row of the index; a longer text has a row of its own.
-ROW_BYTES = 8 * 2**20
+ROW_BYTES = 4 * 2**20
 # What one block of items may weigh.
 BLOCK_BYTES = 8 * 2**20
 # Rows of the index that set an item's threshold.
@@ -77,9 +77,10 @@ def _lengths(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.array([_count(x) for x in texts_of(batch, 1)], np.int64)
-            made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], ["doc_id", "text", "n"])
-            yield made.filter(pa.array(n > 0))
+            for part in text_slices(batch, column=1):
+                n = np.array([_count(x) for x in texts_of(part, 1)], np.int64)
+                made = pa.RecordBatch.from_arrays([*part.columns, pa.array(n)], ["doc_id", "text", "n"])
+                yield made.filter(pa.array(n > 0))
 
     return docs.mapInArrow(run, "doc_id bigint, text string, n bigint")
 
@@ -134,7 +135,7 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", row_byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, piece, ids, texts, held = None, 0, [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, column=3)):
             for m, part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(3)), texts_of(batch, 3), strict=True):
                 if (m, part) != key or held + len(text) > row_bytes:
                     if ids:

@@ -7,8 +7,10 @@ the word and its beginnings, hashed to a fixed number of weights, and the transi
 cut after CHAIN tokens. Forward-backward gives each token its marginal; the expected number and share
 of toxic tokens and the largest marginal go through a logistic curve fitted on documents that the field has not seen.
 
-Fitting uses a bounded sample of labelled documents (``sample`` toxic and as many others, the least
-hashes of their ids); it is small, and sits on the driver. Scoring is one pass over all texts.
+Fitting uses a bounded sample of labelled documents: ``sample`` toxic and as many others, the least hashes of
+their ids, of each class ``sample_bytes`` of text at most. Half of it teaches the field, the other half the curve;
+of the field's chains without a toxic token one in ``other_chains`` is learned from. The sample is small and
+sits on the driver. Scoring is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.tasks import stored, text_slices
 
 SAMPLE = 2000
+SAMPLE_BYTES = 12 * 2**20
+OTHER_CHAINS = 4
 CHAIN = 64
 WEIGHT_BITS = 18
 ROUNDS = 40
@@ -126,7 +130,7 @@ def _statistics(p: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(begins)), np.log1p(expected), largest, 20 * expected / (sizes + 20)])
 
 
-def _fit_field(texts: list[list[str]], toxic: np.ndarray, rounds: int) -> dict:
+def _fit_field(texts: list[list[str]], toxic: np.ndarray, rounds: int, other_chains: int) -> dict:
     marks = _labels(texts, toxic)
     tokens = [t for x in texts for t in [*x, "\n"]]
     mine = np.repeat(toxic, [len(x) + 1 for x in texts])
@@ -140,7 +144,7 @@ def _fit_field(texts: list[list[str]], toxic: np.ndarray, rounds: int) -> dict:
         model["bias"] = -8.0
         return model
     held = np.add.reduceat(label, np.array([c[0] for c in chains]))
-    wanted = [c for i, c in enumerate(chains) if held[i] or i % 4 == 0]
+    wanted = [c for i, c in enumerate(chains) if held[i] or i % other_chains == 0]
     place, lengths, mask = _laid_out(wanted)
     width = max(map(len, known.values()))
     row = {w: [*f, *[2**WEIGHT_BITS] * (width - len(f))] for w, f in known.items()}
@@ -226,21 +230,46 @@ def _fit_curve(features: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarr
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict:
-    """Fit field and curve. ``docs``: id, text; ``labels``: id and ``toxic`` (boolean), one row per id."""
-    labels = stored(labels.where(F.col("toxic").isNotNull() & F.col("id").isNotNull()), "labels")
-    count = labels.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("k")).first()
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> list:
+    """Rows text, toxic of the documents to learn from, in a fixed order; bounded in number and bytes.
+
+    Equal texts are one, toxic if any of their labels says so.
+    """
     order = F.xxhash64("id")
     chosen = [labels.where(F.col("toxic") == t).orderBy(order, "id").limit(sample) for t in (True, False)]
     picked = F.broadcast(stored(chosen[0].unionByName(chosen[1]), "picked"))  # 2 * sample rows at most
-    rows = docs.join(picked, "id").where(F.length("text") > 0).dropDuplicates(["text"]).select("id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (str(r["id"]), r["text"]))
+    met = docs.join(picked, "id").where(F.length("text") > 0)
+    place = F.struct(F.xxhash64("id").alias("hash"), "id", "text")
+    texts = met.groupBy(F.md5("text").alias("digest")).agg(F.max("toxic").alias("toxic"), F.min(place).alias("place"))
+    texts = stored(texts.select("toxic", "place.hash", "place.id", "place.text", "digest"), "sample")
+    so_far = Window.partitionBy("toxic").orderBy("hash", "id", "digest")
+    held = texts.select("toxic", "digest", F.octet_length("text").alias("n"), "hash", "id")
+    held = held.withColumn("bytes", F.sum("n").over(so_far)).withColumn("rows", F.row_number().over(so_far))
+    held = held.where((F.col("bytes") <= sample_bytes) & (F.col("rows") <= sample)).select("digest")
+    return sorted(texts.join(F.broadcast(held), "digest").select("id", "text", "toxic").collect(), key=lambda r: (str(r["id"]), r["text"]))
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    rounds: int = ROUNDS,
+    sample_bytes: int = SAMPLE_BYTES,
+    other_chains: int = OTHER_CHAINS,
+) -> dict:
+    """Fit field and curve. ``docs``: id, text; ``labels``: id and ``toxic`` (boolean), one row per id.
+
+    The driver holds ``sample`` documents and ``sample_bytes`` of text of either class at most.
+    """
+    labels = stored(labels.where(F.col("toxic").isNotNull() & F.col("id").isNotNull()), "labels")
+    count = labels.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("k")).first()
+    rows = _sample(docs, labels, sample, sample_bytes)
     shared = _Shared()
     texts = [list(map(shared.__getitem__, _TOKEN.findall(r["text"].lower()))) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], bool)
     first = np.arange(len(rows)) % 2 == 0
     del rows
-    model = _fit_field([x for x, f in zip(texts, first, strict=True) if f], toxic[first], rounds)
+    model = _fit_field([x for x, f in zip(texts, first, strict=True) if f], toxic[first], rounds, other_chains)
     rate = (count["k"] + 0.5) / (count["n"] + 1)
     rest = [x for x, f in zip(texts, first, strict=True) if not f]
     model["curve"] = np.array([np.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
@@ -293,8 +322,10 @@ def judge(
 ) -> DataFrame:
     """Learn from labelled rows of ``labels`` that fulfil ``learn`` (a condition on its columns), score all.
 
-    Of several labels of a document the worst counts; null labels and null ids teach nothing. Without
-    labels, or with labels of one class only, all scores are the same. Repeated rows are scored each.
+    Of several labels of a document, or of documents with the same text, the worst counts; null labels and null
+    ids teach nothing. Without labels, or with labels of one class only, all scores are the same. Null and empty
+    texts get the score of a text without toxic tokens. Repeated rows are scored each; an empty table gives an
+    empty one; other columns are not read.
     """
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     truth = labels.where(learn).groupBy(F.col(id).alias("id")).agg((F.max(F.col(label)) == 1).alias("toxic"))
