@@ -78,7 +78,7 @@ def keyword_lookup(
 def with_fallback(
     looked_up: DataFrame,
     answer: str = "No stored answer for: '{}'.",
-    title: str = "Search results for: {}",
+    title: str = "What a search finds on '{}'",
     content: str = "No stored result about '{}'.",
     url: str = SEARCH_URL,
     max_results: int = MAX_RESULTS,

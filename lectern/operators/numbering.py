@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import scratch_path
+from lectern.session import scratch_path, stored_table
 
 # Bits of ``monotonically_increasing_id`` that count within a partition.
 _PLACE_BITS = 33
@@ -39,8 +39,11 @@ def place_rows(df: DataFrame, group: str, order: list[str], name: str) -> DataFr
 
 
 def number_rows(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """Add ``name``: 1, 2, 3 … within ``group`` by ``order``, which must be unique there."""
-    places = place_rows(df, group, order, name)
+    """Add ``name``: 1, 2, 3 … within ``group`` by ``order``, which must be unique there.
+
+    The numbers are stored, so that Spark knows their size: few of them go to the rows by a broadcast.
+    """
+    places = stored_table(place_rows(df, group, order, name), "numbers")
     same = F.col(group).eqNullSafe(F.col("_group"))
     for i, column in enumerate(order):
         same &= F.col(column).eqNullSafe(F.col(f"_key{i}"))

@@ -164,12 +164,13 @@ def dispatch(routed: DataFrame, branches: dict[str, Callable[[DataFrame], DataFr
             F.raise_error(F.concat(F.lit("no branch for label "), F.coalesce("label", F.lit("null"))))
         ),
     )
-    # Stored by label, so that the routed plan runs once and each branch reads its own files.
+    # Stored by branch, so that the routed plan runs once and each branch reads its own files.
     path = scratch_path(routed.sparkSession, "routed")
-    checked.withColumn("_branch", F.col("label")).write.partitionBy("_branch").parquet(path)
-    stored = routed.sparkSession.read.schema(T.StructType([*checked.schema.fields, T.StructField("_branch", T.StringType())])).parquet(path)
+    number = F.coalesce(*[F.when(F.col("label") == label, i) for i, label in enumerate(branches)])
+    checked.withColumn("_branch", number).write.partitionBy("_branch").parquet(path)
+    stored = routed.sparkSession.read.schema(T.StructType([*checked.schema.fields, T.StructField("_branch", T.IntegerType())])).parquet(path)
     answers = [
-        answer(stored.where(F.col("_branch") == label).drop("_branch")).withColumn("label", F.lit(label))
-        for label, answer in branches.items()
+        answer(stored.where(F.col("_branch") == i).drop("_branch")).withColumn("label", F.lit(label))
+        for i, (label, answer) in enumerate(branches.items())
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers)

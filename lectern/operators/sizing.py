@@ -57,4 +57,4 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     input with a piece for every core is left as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+    return scan if splits(scan) >= cores else scan.repartition(cores, *keys)

@@ -59,6 +59,7 @@ def convert_units(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     value = (F.col("value") + F.col("pre")) * F.col("mul") / F.col("div") + F.col("post")
     # Null stays a conversion without a result; NaN and infinity are none.
     finite = F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(True))
+    # Fixed value: the wording for a pair that is not in the table.
     error = F.concat(F.lit("Unsupported conversion: "), "from_unit", F.lit(" -> "), "to_unit")
     return (
         df.join(broadcast_if_small(known, _SMALL_TABLE), pair, "left")

@@ -119,7 +119,7 @@ replies AS (
   SELECT query_id, query,
          coalesce(answer, 'No stored answer for: ''' || query || '''.') AS answer,
          CASE WHEN key IS NULL THEN
-           [{{'title': 'Search results for: ' || query,
+           [{{'title': 'What a search finds on ''' || query || '''',
              'url': 'https://www.google.com/search?q=' || replace(query, ' ', '+'),
              'content': 'No stored result about ''' || query || '''.'}}]
          ELSE results[1:3] END AS results,

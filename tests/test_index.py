@@ -29,6 +29,11 @@ def small(df):
     return hash_embed(df, 32)
 
 
+def flat(df):
+    """Vectors of one component, where only rows matter."""
+    return df.withColumn("embedding", F.array(F.length("content").cast("float")))
+
+
 @pytest.fixture
 def pages(spark):
     return spark.createDataFrame(
@@ -56,9 +61,9 @@ def test_create_clear_count(spark, tmp_path, pages):
 
 def test_indexing_again_adds_only_what_is_new(spark, tmp_path, pages):
     path = str(tmp_path / "index")
-    assert build_index(pages.where("source = 'a'"), path, small) == (3, 3)
-    assert build_index(pages, path, small, recreate=False) == (1, 4)
-    assert build_index(pages, path, small, recreate=False) == (0, 4)
+    assert build_index(pages.where("source = 'a'"), path, flat) == (3, 3)
+    assert build_index(pages, path, flat, recreate=False) == (1, 4)
+    assert build_index(pages, path, flat, recreate=False) == (0, 4)
     assert check_unique(scan_index(spark, path)).count() == 0
 
 
@@ -72,21 +77,21 @@ def test_updates_replace_insert_remove_and_bring_back(spark, tmp_path):
     def book(*texts, source="book"):
         return spark.createDataFrame([(source, i + 1, t) for i, t in enumerate(texts)], PAGE)
 
-    build_index(book("one", "three").unionByName(book("kept", source="other")), path, small)
-    assert build_index(book("one", "two", "three"), path, small, recreate=False) == (2, 4)
+    build_index(book("one", "three").unionByName(book("kept", source="other")), path, flat)
+    assert build_index(book("one", "two", "three"), path, flat, recreate=False) == (2, 4)
     now = [("book", 1, "one"), ("book", 2, "two"), ("book", 3, "three"), ("other", 1, "kept")]
     assert contents(spark, path) == now
     # Back to what was there before: no row is stored twice.
-    assert build_index(book("one", "three"), path, small, recreate=False) == (1, 3)
+    assert build_index(book("one", "three"), path, flat, recreate=False) == (1, 3)
     assert contents(spark, path) == [("book", 1, "one"), ("book", 2, "three"), ("other", 1, "kept")]
     # A page without text loses its chunks; rows that come twice are stored once.
-    assert build_index(book("", "new").union(book("", "new")), path, small, recreate=False) == (1, 2)
+    assert build_index(book("", "new").union(book("", "new")), path, flat, recreate=False) == (1, 2)
     assert contents(spark, path) == [("book", 2, "new"), ("other", 1, "kept")]
     assert check_unique(scan_index(spark, path)).count() == 0
     # Single pages leave the rest of their source alone.
     one = spark.createDataFrame([(None, 1, "none"), ("book", 9, "nine")], PAGE)
-    update_index(one, path, small, given=("source", "page_num"))
-    update_index(one.replace("none", "other none", "content"), path, small, given=("source", "page_num"))
+    update_index(one, path, flat, given=("source", "page_num"))
+    update_index(one.replace("none", "other none", "content"), path, flat, given=("source", "page_num"))
     found = {(r["source"], r["page_num"], r["content"]) for r in scan_index(spark, path).collect()}
     assert found == {("book", 2, "new"), ("book", 9, "nine"), ("other", 1, "kept"), (None, 1, "other none")}
     clear_index(spark, path)
@@ -170,7 +175,7 @@ def test_scratch_paths_lie_in_the_shared_folder(spark):
 
 def test_a_stored_id_fails_the_append(spark, tmp_path, pages):
     path = str(tmp_path / "index")
-    rows = index_rows(pages, small)
+    rows = index_rows(pages, flat)
     write_index(rows, path)
     for doubled in (rows.where("source = 'b'"), rows.withColumn("id", F.lit("same")), rows.withColumn("id", F.lit(None).cast("string"))):
         with pytest.raises(ValueError, match="given twice or stored already"):
@@ -183,7 +188,7 @@ def test_a_stored_id_fails_the_append(spark, tmp_path, pages):
 
 def test_stored_ids_are_found_without_a_shuffle_of_the_index(spark, tmp_path, pages):
     path = str(tmp_path / "index")
-    write_index(index_rows(pages, small), path)
+    write_index(index_rows(pages, flat), path)
     ids = scan_index(spark, path).select("id").limit(2).union(spark.createDataFrame([("zz",), ("00",)], "id string"))
     found = ids_stored(ids, path)
     assert found.count() == 2
@@ -243,7 +248,7 @@ def test_a_page_comes_back_with_another_number(spark, tmp_path):
     path = str(tmp_path / "index")
 
     def now(*texts, keys):
-        build_index(spark.createDataFrame(numbered(*texts, keys=keys), KEYED), path, small, recreate=False)
+        build_index(spark.createDataFrame(numbered(*texts, keys=keys), KEYED), path, flat, recreate=False)
         return sorted((r["page_num"], r["content"]) for r in scan_index(spark, path).collect())
 
     assert now("a", "b", "c", keys="abc") == [(1, "a"), (2, "b"), (3, "c")]
@@ -256,9 +261,9 @@ def test_a_page_comes_back_with_another_number(spark, tmp_path):
 
 def test_other_chunk_sizes_cut_all_pages_again(spark, tmp_path, pages):
     path, fresh = str(tmp_path / "index"), str(tmp_path / "fresh")
-    build_index(pages, path, small)
-    build_index(pages, path, small, recreate=False, size=300, overlap=100)
-    build_index(pages, fresh, small, size=300, overlap=100)
+    build_index(pages, path, flat)
+    build_index(pages, path, flat, recreate=False, size=300, overlap=100)
+    build_index(pages, fresh, flat, size=300, overlap=100)
     assert contents(spark, path) == contents(spark, fresh)
 
 
@@ -268,9 +273,9 @@ def test_compaction_folds_the_logs(spark, tmp_path):
     def book(*texts, keys):
         return spark.createDataFrame(numbered(*texts, keys=keys), KEYED)
 
-    build_index(book(*"abcd", keys="abcd"), path, small)
+    build_index(book(*"abcd", keys="abcd"), path, flat)
     assert not compact_index(spark, path)
-    build_index(book("x", "a", "B", "c", "d", keys="xabcd"), path, small, recreate=False)
+    build_index(book("x", "a", "B", "c", "d", keys="xabcd"), path, flat, recreate=False)
     before = sorted(map(tuple, scan_index(spark, path).collect()))
     assert stored_rows(spark, path).count() == 6 and len(before) == 5
     assert compact_index(spark, path, share=0.1)
@@ -279,20 +284,20 @@ def test_compaction_folds_the_logs(spark, tmp_path):
     assert sorted(map(tuple, scan_index(spark, path).collect())) == before
     # Updates go on as before, over several generations.
     for text in "ij":
-        build_index(book("x", "a", text, "c", "d", keys="xabcd"), path, small, recreate=False)
+        build_index(book("x", "a", text, "c", "d", keys="xabcd"), path, flat, recreate=False)
         assert compact_index(spark, path, share=0.0)
     assert [c for _, _, c in contents(spark, path)] == ["x", "a", "j", "c", "d"]
-    assert write_index(index_rows(book("z", keys="z"), small), path, "append") == (1, 6)
+    assert write_index(index_rows(book("z", keys="z"), flat), path, "append") == (1, 6)
     clear_index(spark, path)
     assert index_count(spark, path) == 0
-    assert build_index(book("x", keys="x"), path, small, recreate=False) == (1, 1)
+    assert build_index(book("x", keys="x"), path, flat, recreate=False) == (1, 1)
 
 
 def test_a_compaction_that_breaks_off_changes_nothing(spark, tmp_path):
     path = str(tmp_path / "index")
     rows = numbered(*"abc", keys="abc")
-    build_index(spark.createDataFrame(rows, KEYED), path, small)
-    build_index(spark.createDataFrame(rows[:1], KEYED), path, small, recreate=False)  # two of three rows are dead: compacts
+    build_index(spark.createDataFrame(rows, KEYED), path, flat)
+    build_index(spark.createDataFrame(rows[:1], KEYED), path, flat, recreate=False)  # two of three rows are dead: compacts
     expected = contents(spark, path)
     assert stored_rows(spark, path).count() == 1
     # Files of a generation that never got its marker.

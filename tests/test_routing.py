@@ -83,6 +83,21 @@ def test_dispatch(spark):
     assert rows == {(1, "a", None, "A"), (3, "a", None, "A"), (2, None, "b", "B")}
 
 
+def test_dispatch_runs_the_routed_plan_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    labels = ["", "a/b=c", "label 2", "label 3", "é", "label 5"]
+    routed = spark.createDataFrame([(i, labels[i % 6]) for i in range(60)], "query_id int, label string")
+    got = dispatch(routed.mapInArrow(counted, routed.schema), {x: lambda df: df.select("query_id") for x in labels})
+    assert {(r["query_id"], r["label"]) for r in got.collect()} == {(i, labels[i % 6]) for i in range(60)}
+    assert runs.value == 60
+
+
 @pytest.mark.parametrize("label", ["C", None])
 def test_dispatch_refuses_labels_without_a_branch(spark, label):
     routed = spark.createDataFrame([(1, "A"), (2, label)], "query_id int, label string")
