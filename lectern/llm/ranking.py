@@ -28,7 +28,7 @@ TOP = 10
 # Text behind one row of the index; a longer text has a row of its own.
 ROW_BYTES = 4 * 2**20
 # What one block of items may weigh.
-BLOCK_BYTES = 8 * 2**20
+BLOCK_BYTES = 2**20
 # Rows of the index that set an item's threshold.
 VISITS = 4
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import scratch_path
+from lectern.session import file_system, scratch_path
 
 SLICE_BYTES = 2**20
 
@@ -38,12 +39,30 @@ def texts_of(batch: pa.RecordBatch, column: int = 0) -> list[bytes]:
     return [v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``stored`` writes inside the block when it ends; nothing lazy may read it afterwards."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files, place = file_system(spark, path)
+            files.delete(place, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the folder all executors share and read it back.
 
-    Cuts the lineage in a way that survives a lost executor, and computes ``df`` once.
+    Cuts the lineage in a way that survives a lost executor, and computes ``df`` once. The table stays unless
+    a ``scratch_scope`` is open.
     """
     path = scratch_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
