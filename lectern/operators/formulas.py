@@ -20,18 +20,24 @@ def formula_columns(df: DataFrame, formulas: dict[str, Column]) -> DataFrame:
     is an ``error`` and becomes null, with the reason in ``name_error`` and advice in ``name_hint``; both
     are null for a ``success``. ``name_integral`` tells whether the result is a whole number.
     """
-    raw = {name: f"_raw_{name}" for name in formulas}
+    raw, kinds = {n: f"_raw_{n}" for n in formulas}, {n: f"_kind_{n}" for n in formulas}
     computed = df.withColumns({raw[n]: e.cast("double") for n, e in formulas.items()})
+
+    def kind(value: Column) -> Column:
+        """0 for a usable result, else the place of the reason."""
+        # NaN compares above infinity, so one range test covers both.
+        odd = F.when(value.isNull(), 1).when(F.isnan(value), 2).otherwise(3)
+        return F.when(F.abs(value) < float("inf"), 0).otherwise(odd)
+
+    computed = computed.withColumns({kinds[n]: kind(F.col(raw[n])) for n in formulas})
+    reasons = [(None, None), _MISSING, _NOT_A_NUMBER, _INFINITE]
+    errors, hints = (F.array(*[F.lit(r[i]).cast("string") for r in reasons]) for i in (0, 1))
     added = {}
     for name in formulas:
-        value = F.col(raw[name])
-        # NaN compares above infinity, so this one range test covers both.
-        usable = (F.abs(value) < F.lit(float("inf"))) & value.isNotNull()
-        result = F.when(usable, value)
-        added[name] = result
-        added[f"{name}_integral"] = F.coalesce((F.abs(result) >= float(2**53)) | (result == F.floor(result)), F.lit(False))
+        value, usable = F.col(raw[name]), F.col(kinds[name]) == 0
+        added[name] = F.when(usable, value)
+        added[f"{name}_integral"] = usable & ((F.abs(value) >= float(2**53)) | (value == F.floor(value)))
         added[f"{name}_status"] = F.when(usable, "success").otherwise("error")
-        for i, part in enumerate(("error", "hint")):
-            told = F.when(value.isNull(), _MISSING[i]).when(F.isnan(value), _NOT_A_NUMBER[i]).when(~usable, _INFINITE[i])
-            added[f"{name}_{part}"] = told
-    return computed.withColumns(added).drop(*raw.values())
+        added[f"{name}_error"] = F.get(errors, F.col(kinds[name]))
+        added[f"{name}_hint"] = F.get(hints, F.col(kinds[name]))
+    return computed.withColumns(added).drop(*raw.values(), *kinds.values())

@@ -56,7 +56,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as books: one per source, pages in the order of ``doc_id``, which is their key."""
-    return read_pages(table(spark, sf_dir, "documents"), "source", "doc_id", "text", with_key=True)
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return read_pages(documents, "source", "doc_id", "text", with_key=True)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,23 +97,21 @@ def _stored(index: DataFrame) -> DataFrame:
 
 @query
 def index_write(spark, sf_dir):
-    """Written once for a start, cleared, and written anew."""
     path = scratch_path(spark, "index")
-    pages = book_pages(spark, sf_dir)
-    write_index(with_ids(chunk_pages(pages)).withColumn("embedding", F.array().cast("array<float>")), path)
-    clear_index(spark, path)
-    build_index(pages, path)
+    build_index(book_pages(spark, sf_dir), path)
     return _stored(scan_index(spark, path))
 
 
 @query
 def index_append(spark, sf_dir):
-    """Chunks of labelled documents are stored; all others are appended, then some of them once more, which
-    the key refuses.
+    """Chunks of all documents are stored and cleared, those of labelled ones stored again; all others are
+    appended, then some of them once more, which the key refuses.
     """
     path = scratch_path(spark, "index")
     chunks = with_ids(chunk_pages(book_pages(spark, sf_dir))).withColumn("embedding", F.array().cast("array<float>"))
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("page_key"))
+    write_index(chunks, path, unique=False)
+    clear_index(spark, path)
     write_index(chunks.join(labelled, "page_key", "left_semi"), path)
     write_index(chunks.join(labelled, "page_key", "left_anti"), path, "append")
     try:
@@ -401,15 +400,15 @@ def formula_columns_(spark, sf_dir):
         "below": F.sqrt(25 - quantity),
         "huge": price * float(2**60),
     }
-    computed = formula_columns(table(spark, sf_dir, "lineitem"), formulas)
-    plain = [n for n in formulas if n not in ("explosion", "huge")]
+    # Much to compute per row, from one file.
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    computed = formula_columns(lines, formulas)
+    plain = [n for n in formulas if n not in ("explosion", "huge", "orderings")]
     return computed.select(
         "l_orderkey",
         "l_linenumber",
-        *[
-            (F.col(n) if n == "orderings" else round_score(F.col(n))).alias(n)
-            for n in plain
-        ],
+        *[round_score(F.col(n)).alias(n) for n in plain],
+        "orderings",
         "rest_integral",
         "orderings_integral",
         "per_off_status",
