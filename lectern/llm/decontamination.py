@@ -132,17 +132,23 @@ def _holds(postings: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return postings[at] == wanted
 
 
-def _search_shard(queries: _Queries, terms: list[bytes], sizes: np.ndarray, postings: np.ndarray, ends: np.ndarray):
+def _known(queries: _Queries, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the block that a shard has: their numbers in the block and in the shard."""
+    numbers = pa.compute.index_in(terms, value_set=pa.array(list(queries.terms), pa.binary()))
+    found = pa.compute.is_valid(numbers).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(found)
+    return numbers.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64), at
+
+
+def _search_shard(queries: _Queries, terms: pa.Array, sizes: np.ndarray, postings: np.ndarray, ends: np.ndarray):
     """Exact matches (item, begin, end) and proximity matches (item, begin, end) in positions.
 
     ``ends``: the position behind the last word of each document."""
     begins = np.concatenate([[0], np.cumsum(sizes)])
     counts = np.zeros(len(queries.terms), np.int64)
     places = np.zeros(len(queries.terms), np.int64)
-    for i, term in enumerate(terms):
-        known = queries.terms.get(term)
-        if known is not None:
-            counts[known], places[known] = sizes[i], begins[i]
+    known, at = _known(queries, terms)
+    counts[known], places[known] = sizes[at], begins[at]
 
     def listed(term: int) -> np.ndarray:
         return postings[places[term] : places[term] + counts[term]]
@@ -179,16 +185,14 @@ def _search_shard(queries: _Queries, terms: list[bytes], sizes: np.ndarray, post
 
 def _frequencies(index: DataFrame, queries: _Queries) -> dict[int, int]:
     """Documents of the whole index that hold each term of the block; a row for each of its terms at most."""
-    known = queries.terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(known), np.int64)
+        sums = np.zeros(len(queries.terms), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 n_docs = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
-                for j, term in enumerate(batch.column(0)[i].as_py()):
-                    if term in known:
-                        sums[known[term]] += n_docs[j]
+                known, place = _known(queries, batch.column(0)[i].values)
+                sums[known] += n_docs[place]  # a shard has each term once
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["term", "n"])
 
@@ -234,7 +238,7 @@ def search(
                     counts = counts.values.to_numpy(zero_copy_only=False).astype(np.int64)
                     starts = np.cumsum(counts + 1) - counts - 1
                     exact, near = _search_shard(
-                        queries, terms.as_py(), sizes, postings.values.to_numpy(zero_copy_only=False), starts + counts
+                        queries, terms.values, sizes, postings.values.to_numpy(zero_copy_only=False), starts + counts
                     )
                     ids, rows = doc_ids.as_py(), []
                     for kind, hits in (("exact", exact), ("near", near)):
