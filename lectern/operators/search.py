@@ -6,9 +6,10 @@ a DataFrame. Blocks are screened in single precision, and everything within the
 the k-th best is scored again in double, adding up in the order ``functions.vectors`` uses. The
 result is exact and does not depend on how the rows are split.
 
-The chunks are always read in place. Queries go to them as a broadcast, a large query table in one slab
-after the other. Over an index of many splits, some splits are searched first: the k-th best score of a
-query there bounds what the others need to hand on.
+Queries go to the chunks, which are read in place, as a broadcast. A query table too large for that is dealt into
+groups and the chunks into pieces, and every group meets every piece in a task of its own. Over an index of
+many splits or pieces, some are searched first: the k-th best score of a query there bounds what the others
+need to hand on.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ BROADCAST_HITS = 500_000
 SAMPLED_SPLITS = 16
 # Cells of one product of a block of queries and a batch of chunks.
 _PRODUCT_CELLS = 4_000_000
+# Double precision vectors of a group of queries, or of a piece of the chunks, where both are dealt out.
+_GROUP_BYTES = 32 * 2**20
+# Pieces and groups are met in at least so many tasks a core, and chunks of a piece are multiplied so many at a time.
+_TASKS_PER_CORE, _PIECE_BATCH = 3, 8192
 # Pairs scored again at a time.
 _PAIR_SLAB = 200_000
 
@@ -293,6 +298,17 @@ def _width(queries: DataFrame) -> int:
     return 1 if least is None else least
 
 
+def _held(part: DataFrame, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of queries on the driver."""
+    few = part.toArrow()
+    query_ids, vectors = _fitting(few["query_id"], few["query"], dim)
+    return query_ids, np.array(_matrix(vectors, dim), dtype=np.float64)
+
+
+def _asked(queries: DataFrame, dim: int) -> DataFrame:
+    return queries.where(F.size("embedding") == dim).select("query_id", F.col("embedding").alias("query"))
+
+
 def query_slabs(queries: DataFrame, dim: int, query_bytes: int) -> Iterator[tuple[pa.Array, np.ndarray, bool]]:
     """Ids and vectors of the queries of width ``dim``, at most about ``query_bytes`` on the driver at a time,
     and whether that is all of them.
@@ -300,16 +316,10 @@ def query_slabs(queries: DataFrame, dim: int, query_bytes: int) -> Iterator[tupl
     A larger table is written in slabs first, each of which is then read for itself.
     """
     spark = queries.sparkSession
-    query = queries.where(F.size("embedding") == dim).select("query_id", F.col("embedding").alias("query"))
-
-    def held(part: DataFrame, whole: bool) -> tuple[pa.Array, np.ndarray, bool]:
-        few = part.toArrow()
-        query_ids, vectors = _fitting(few["query_id"], few["query"], dim)
-        return query_ids, np.array(_matrix(vectors, dim), dtype=np.float64), whole
-
+    query = _asked(queries, dim)
     per_slab = max(1, query_bytes // (8 * dim))
     if has_at_most(query, per_slab):
-        yield held(query, True)
+        yield *_held(query, dim), True
         return
     path, slabs = scratch_path(spark, "queries"), math.ceil(2 * query.count() / per_slab)
     # Dealt by place and not by id, so that repeated ids spread as well.
@@ -317,7 +327,7 @@ def query_slabs(queries: DataFrame, dim: int, query_bytes: int) -> Iterator[tupl
     query.withColumn("slab", place).write.partitionBy("slab").parquet(path)
     for slab in range(slabs):
         part = spark.read.parquet(path).where(F.col("slab") == slab).select("query_id", "query")
-        yield held(part.select(F.col("query_id").cast(query.schema["query_id"].dataType), "query"), False)
+        yield *_held(part.select(F.col("query_id").cast(query.schema["query_id"].dataType), "query"), dim), False
 
 
 def best_of_slabs(queries: DataFrame, rows: DataFrame, k: int, dim: int, query_bytes: int, search_slab) -> tuple[DataFrame, int]:
@@ -339,8 +349,59 @@ def best_of_slabs(queries: DataFrame, rows: DataFrame, k: int, dim: int, query_b
     return reduce(DataFrame.unionByName, parts), asked
 
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("raw"), "id")
+def _met(asked: DataFrame, rows: DataFrame, keys: list[str], k: int, dim: int, schema: T.StructType) -> DataFrame:
+    """The k best ``rows`` of every query (n, query_id, query, least) among those that share its ``keys``."""
+
+    def run(asked: pa.Table, chunks: pa.Table) -> pa.Table:
+        vectors = np.array(_matrix(_plain(asked["query"]), dim), dtype=np.float64)
+        best = _Best(vectors, k, asked["least"].to_numpy())
+        for batch in chunks.to_batches(max_chunksize=_PIECE_BATCH) if len(vectors) else []:
+            best.add(batch)
+        hits = best.hits(pa.array(np.arange(len(vectors))))
+        if hits is None:
+            return pa.table([asked["query_id"][:0], chunks["id"][:0], asked["least"][:0], asked["n"][:0]], names=schema.names)
+        of = hits["query_id"]
+        return pa.table([asked["query_id"].take(of), hits["id"], hits["raw"], asked["n"].take(of)], names=schema.names)
+
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def dealt_hits(queries: DataFrame, rows: DataFrame, k: int, dim: int, sampled_splits: int) -> tuple[DataFrame, int]:
+    """Ranked hits (query_id, id, raw, rank) of all queries, and how many queries there are, where the queries are
+    too many to be sent to all tasks.
+
+    A task holds one group of queries and one piece of the chunks, and all of them run in one job. From
+    ``sampled_splits`` pieces on, the square root of their number is searched in a job before the others.
+    """
+    spark, keys = queries.sparkSession, ["_group", "_piece"]
+    # Numbered by place and not by id, so that repeated ids spread as well.
+    asked = stored_table(_asked(queries, dim).withColumn("n", F.monotonically_increasing_id()), "queries")
+    n_queries, per_group = asked.count(), max(1, _GROUP_BYTES // (8 * dim))
+    pieces = max(1, math.ceil(rows.count() / per_group))
+    every = math.isqrt(pieces) if pieces >= sampled_splits else 1
+    tasks = _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    groups = min(n_queries, max(math.ceil(n_queries / per_group), math.ceil(tasks / math.ceil(pieces / every))))
+    schema = _hit_schema(queries, rows).add("n", T.LongType())
+    every_piece, every_group = (F.explode(F.sequence(F.lit(0), F.lit(most - 1))) for most in (pieces, groups))
+    asked = asked.withColumn("_group", F.pmod(F.xxhash64("n"), F.lit(groups)).cast("int"))
+    # By content, so that a second look at the chunks deals them alike.
+    dealt = rows.withColumn("_piece", F.pmod(F.xxhash64("id", "embedding"), F.lit(pieces)).cast("int"))
+    first = F.col("_piece") % every == 0
+
+    def hits_of(least: DataFrame, some) -> DataFrame:
+        return _met(least.withColumn("_piece", every_piece).where(some), dealt.where(some).withColumn("_group", every_group), keys, k, dim, schema)
+
+    found = hits_of(asked.withColumn("least", F.lit(float("-inf"))), first)
+    if every > 1:
+        found = stored_table(_ranked(found, k, "n"), "sample")
+        reached = found.where(F.col("rank") == k).select("n", F.coalesce("raw", F.lit(_UNDEFINED)).alias("least"))
+        bounded = asked.join(reached, "n", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        found = found.drop("rank").unionByName(hits_of(bounded, ~first))
+    return stored_table(_ranked(found.drop("n"), k), "hits"), n_queries
+
+
+def _ranked(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
+    order = Window.partitionBy(by).orderBy(F.desc_nulls_last("raw"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -379,27 +440,28 @@ def search_batch(
     not ``dim`` wide are left out; ``sources.index.check_dimension`` names them. Without ``dim``, all
     query vectors must have one width.
 
-    Up to ``query_bytes`` of query vectors are broadcast at a time and the chunks are read in place, once
-    for each slab of queries. From ``sampled_splits`` splits on, the square root of their number is
-    searched first, and the others only hand on chunks that reach the k-th best score found there.
+    Up to ``query_bytes`` of query vectors are broadcast and the chunks are read in place; of more, groups of
+    queries meet pieces of the chunks in tasks. From ``sampled_splits`` splits (or pieces) on, the square root of
+    their number is searched first, and the others only hand on chunks that reach the k-th best score found there.
     Embeddings are dropped before the ranking, and only the hits are then completed with the chunks' texts.
     """
     width = _width(queries) if dim is None else dim
     rows = chunks.select("id", "embedding")
-    pieces = splits(rows)
-
-    def search_slab(held, schema: T.StructType) -> DataFrame:
-        if pieces < sampled_splits:
-            return _searched(rows, held, schema, k)
-        numbered = rows.sparkSession.sparkContext.broadcast((pa.array(np.arange(len(held.value[0]))), held.value[1]))
+    asked = _asked(queries, width)
+    if not has_at_most(asked, max(1, query_bytes // (8 * width))):
+        hits, n_queries = dealt_hits(queries, rows, k, width, sampled_splits)
+        return completed(hits, chunks, n_queries * k, broadcast_hits)
+    context, schema, pieces = rows.sparkSession.sparkContext, _hit_schema(queries, rows), splits(rows)
+    query_ids, vectors = _held(asked, width)
+    least = None
+    if pieces >= sampled_splits:
+        numbered = context.broadcast((pa.array(np.arange(len(query_ids))), vectors))
         by_number = T.StructType([T.StructField("query_id", T.LongType()), *schema.fields[1:]])
         sample = _searched(rows, numbered, by_number, k, math.isqrt(pieces))
-        least = _kth_best(sample, len(held.value[0]), k)
+        least = _kth_best(sample, len(query_ids), k)
         numbered.destroy()
-        return _searched(rows, held, schema, k, least=least)
-
-    hits, n_queries = best_of_slabs(queries, rows, k, width, query_bytes, search_slab)
-    return completed(hits, chunks, n_queries * k, broadcast_hits)
+    hits = _ranked(_searched(rows, context.broadcast((query_ids, vectors)), schema, k, least=least), k)
+    return completed(hits, chunks, len(query_ids) * k, broadcast_hits)
 
 
 def search_stats(hits: DataFrame) -> DataFrame:

@@ -311,3 +311,26 @@ def test_texts_are_read_for_the_best_rows_only(spark, tmp_path):
     plan = plan_of(found)
     assert "ReadSchema: struct<id:string,content:string>" in plan
     assert "ReadSchema: struct<id:string,embedding:array<float>>" in plan
+
+
+def test_many_queries_take_no_more_jobs_than_few(spark):
+    rng = random.Random(17)
+    chunks = [(f"c{i:03d}", v) for i, v in enumerate(vectors(rng, 150, 8))] + [("nul", None), ("zero", [0.0] * 8)]
+    queries = [(i // 2, v) for i, v in enumerate(vectors(rng, 120, 8))]
+    asked, stored = spark.createDataFrame(queries, QUERY), spark.createDataFrame(chunks, CHUNK)
+    spark.sparkContext.setJobGroup("many queries", "search")
+    try:
+        got = hits_of(search_batch(asked, stored, k=4, dim=8, **SPLIT))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("many queries")) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == hits_of(search_batch(asked, stored, k=4, dim=8))
+
+
+def test_pieces_searched_first_bound_the_others(spark, monkeypatch):
+    rng = random.Random(18)
+    chunks = [(f"c{i:03d}", v) for i, v in enumerate(vectors(rng, 300, 8))]
+    queries = list(enumerate(vectors(rng, 20, 8))) + [(99, [0.0] * 8)]
+    monkeypatch.setattr(searching, "_GROUP_BYTES", 8 * 8 * 20)  # 15 pieces, three groups at least
+    got = search_batch(spark.createDataFrame(queries, QUERY), spark.createDataFrame(chunks, CHUNK), k=4, **SPLIT)
+    assert hits_of(got) == brute(queries, chunks, 4)
