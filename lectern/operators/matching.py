@@ -29,6 +29,9 @@ INLINE_KEYS = 64
 BROADCAST_KEYS = 200_000
 _BROADCAST_BYTES = 16 * 2**20
 _ANCHOR = 6
+# Bits of the filter for each anchor: it is asked at every place of every text, and each place that passes takes its
+# surroundings along.
+_FILTER_BITS = 4096
 # How often anchors occur is measured on one of so many texts.
 _MEASURED = 16
 # Places of one anchor that go to one task, where keys are too many to be sent.
@@ -109,7 +112,7 @@ def _pieces(keys: pa.Array) -> pa.Array:
 
 def _with_places(texts: DataFrame, anchors: DataFrame, count: int, widths: list[int]) -> DataFrame:
     """``texts`` with ``_at`` (from 0) and ``_h`` of every place whose piece may be one of ``anchors`` (h)."""
-    shared = texts.sparkSession.sparkContext.broadcast(key_filter(anchors, "h", count))
+    shared = texts.sparkSession.sparkContext.broadcast(key_filter(anchors, "h", count, _FILTER_BITS))
     # Not deterministic for the optimizer, which would otherwise run it twice for the explode.
     udf = F.arrow_udf(_places(lambda: shared.value, widths), _PLACES).asNondeterministic()
     found = texts.select("text_id", "text", F.explode(udf(F.col("text"))).alias("_place"))

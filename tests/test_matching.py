@@ -94,3 +94,15 @@ def test_few_exchanges(spark):
         routed = route_queries(queries, terms, inline_terms=0, broadcast_terms=few)
         assert plan_of(routed).count("Exchange hashpartitioning") <= exchanges + 2
         assert routed.where("rag_hits + general_hits > 0").count() == 500
+
+
+def test_few_places_without_an_anchor_pass(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choices("abcdefghij ", k=500))) for i in range(200)]
+    keys = [f"KEY{i:03d}" for i in range(40)]
+    texts += [(1000 + i, f"x{key}y") for i, key in enumerate(keys)]
+    met, plain = [], matching._with_places
+    monkeypatch.setattr(matching, "_with_places", lambda *given: met.append(plain(*given)) or met[-1])
+    got = key_hits(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame([(k,) for k in keys], "key string"), broadcast_keys=0)
+    assert {tuple(r) for r in got.collect()} == {(1000 + i, k) for i, k in enumerate(keys)}
+    assert met[-1].count() <= len(keys) + 10
