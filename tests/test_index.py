@@ -305,3 +305,32 @@ def test_a_compaction_that_breaks_off_changes_nothing(spark, tmp_path):
     assert contents(spark, path) == expected
     assert compact_index(spark, path, updates=0)
     assert contents(spark, path) == expected and stored_rows(spark, path).count() == 1
+
+
+def test_only_pages_with_chunks_under_another_number_are_logged_and_meet_the_log(spark, tmp_path):
+    """Updates in a row leave what a fresh index holds, also of pages that come back or change and move at once."""
+    page = "source string, page_key string, page_num int, content string"
+    texts = {k: f"{k} " * 900 for k in "abcde"}
+
+    def rows(*keys, **revised):
+        return spark.createDataFrame([("s", k, i, revised.get(k, texts[k])) for i, k in enumerate(keys, 1)], page)
+
+    def held(path):
+        return sorted(tuple(r) for r in scan_index(spark, path).select("id", "page_key", "page_num", "start", "content").collect())
+
+    path, fresh = str(tmp_path / "kept"), str(tmp_path / "fresh")
+    build_index(rows("b", "c"), path)
+    steps = [
+        rows("a", "b", "c", "d", c=texts["c"] + "more"),
+        rows("e", "a", "b", "d", "c", a="changed"),
+        rows("b", "a", c="x"),
+        rows("d", "c", "a", "b", "e", c=texts["c"] + "more"),
+    ]
+    for i, pages in enumerate(steps):
+        build_index(pages, path, recreate=False)
+        build_index(pages, fresh)
+        assert held(path) == held(fresh)
+        if not i:  # c is revised but its first chunks are stored under its earlier number
+            assert {r["page_key"] for r in spark.read.parquet(f"{path}/_moved/log").collect()} == {"b", "c"}
+    compact_index(spark, path, share=0.0, updates=0)
+    assert held(path) == held(fresh) and stored_rows(spark, path).count() == len(held(fresh))
