@@ -178,8 +178,9 @@ def _reindexed(spark: SparkSession, sf_dir: str) -> str:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     draft = F.when(F.col("lang") == "en", F.concat(F.lit("Draft. "), "text")).otherwise(F.col("text"))
     earlier = documents.join(labels, "doc_id", "left_semi").withColumn("text", draft)
-    build_index(read_pages(earlier, "source", "doc_id", "text", with_key=True), path)
-    build_index(book_pages(spark, sf_dir), path, recreate=False)
+    # Stored, as an index looks at its pages twice and each look would move the texts to their numbers.
+    build_index(stored_table(read_pages(earlier, "source", "doc_id", "text", with_key=True), "earlier"), path)
+    build_index(stored_table(book_pages(spark, sf_dir), "pages"), path, recreate=False)
     return path
 
 
