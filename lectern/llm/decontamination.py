@@ -1,7 +1,8 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
 ``build_index`` stores, per shard of whole documents, the postings of every word: the ascending
-positions at which it stands. Positions have a gap between documents, so a phrase never spans two.
+positions at which it stands. Positions have a gap between documents, so a phrase never spans two. What
+only Python reads is packed into one binary value per shard, of which the JVM holds a few at a time.
 ``search`` takes the test items in blocks of bounded size to all shards. For each run of 13 words it
 starts from the postings of the word that is rarest in the shard, shifts them by the place of the word in
 the run, and keeps what the next rarer words' shifted postings also have: what is left is the exact
@@ -12,6 +13,7 @@ item's rarest words; how rare a word is, the documents of the whole index tell.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from lectern.llm.tasks import blocks, stored, text_slices, texts_of
 
 WINDOW = 13
 SHARD_BYTES = 2 * 2**20
+# Rows of the stored index that are written or read at once; a shard takes about half its text.
+GROUP_BYTES = 4 * 2**20
 # Rarest words of an item that proximity looks for; one of them may be missing if there are three or more.
 NEAR_TERMS = 5
 # What one block of test items may weigh; more items are searched in several blocks.
@@ -32,8 +36,9 @@ _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
-_SHARD_COLUMNS = ["shard", "doc_ids", "n_words", "terms", "n_docs", "n_postings", "postings"]
-_SHARD_KINDS = "n_words array<int>, terms array<binary>, n_docs array<int>, n_postings array<int>, postings array<int>"
+# ``terms``: packed columns term, n_docs, n_postings; ``postings``: of all terms in turn, packed steps from one to the next.
+_SHARD_COLUMNS = ["shard", "doc_ids", "n_words", "terms", "postings"]
+_SHARD_KINDS = "n_words array<int>, terms binary, postings binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -41,6 +46,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.Scalar) -> list[pa.Array]:
+    with pa.ipc.open_stream(value.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)) as stream:
+        return stream.read_next_batch().columns
+
+
 class _Numbers(dict):
     """Numbers words in the order in which they are first met."""
 
@@ -64,11 +82,11 @@ def _shard(doc_ids: pa.Array, texts: list[bytes], name: str) -> pa.RecordBatch:
     docs, sorted_terms = gaps[order], terms[order]
     new = np.r_[True, (docs[1:] != docs[:-1]) | (sorted_terms[1:] != sorted_terms[:-1])] if len(terms) else np.empty(0, bool)
     n_docs = np.bincount(sorted_terms[new], minlength=len(numbers)).astype(np.int32)
-    lists = [counts, list(numbers), n_docs, sizes, postings]
-    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-    arrays = [doc_ids, *(pa.array(x, k) for x, k in zip(lists, kinds, strict=True))]
-    made = [pa.ListArray.from_arrays([0, len(x)], x) for x in arrays]
-    return pa.RecordBatch.from_arrays([pa.array([name]), *made], _SHARD_COLUMNS)
+    known = _packed({"term": pa.array(list(numbers), pa.binary()), "n_docs": pa.array(n_docs), "n_postings": pa.array(sizes)})
+    steps = _packed({"step": pa.array(np.diff(postings, prepend=np.int32(0)))})
+    lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (doc_ids, pa.array(counts, pa.int32()))]
+    packed = [pa.array([x], pa.binary()) for x in (known, steps)]
+    return pa.RecordBatch.from_arrays([pa.array([name]), *lists, *packed], _SHARD_COLUMNS)
 
 
 def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -87,7 +105,8 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_b
 
     narrow = docs.select(F.col(text).alias("text"), F.col(id).alias("doc_id"))
     kind = docs.schema[id].dataType.simpleString()
-    return stored(narrow.mapInArrow(run, f"shard string, doc_ids array<{kind}>, {_SHARD_KINDS}"), "postings")
+    made = narrow.mapInArrow(run, f"shard string, doc_ids array<{kind}>, {_SHARD_KINDS}")
+    return stored(made, "postings", group_bytes=GROUP_BYTES)
 
 
 class _Queries:
@@ -112,6 +131,10 @@ class _Queries:
             for width, rows in sorted(by_width.items())
         ]
 
+    @cached_property
+    def words(self) -> pa.Array:
+        return pa.array(list(self.terms), pa.binary())
+
     def choose(self, n_docs: dict[int, int], near_terms: int) -> None:
         """Of each item's terms that occur at all, the rarest, equal ones by their letters."""
         words = {number: word for word, number in self.terms.items()}
@@ -134,7 +157,7 @@ def _holds(postings: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def _known(queries: _Queries, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Terms of the block that a shard has: their numbers in the block and in the shard."""
-    numbers = pa.compute.index_in(terms, value_set=pa.array(list(queries.terms), pa.binary()))
+    numbers = pa.compute.index_in(terms, value_set=queries.words)
     found = pa.compute.is_valid(numbers).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(found)
     return numbers.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64), at
@@ -190,13 +213,13 @@ def _frequencies(index: DataFrame, queries: _Queries) -> dict[int, int]:
         sums = np.zeros(len(queries.terms), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                n_docs = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
-                known, place = _known(queries, batch.column(0)[i].values)
-                sums[known] += n_docs[place]  # a shard has each term once
+                terms, n_docs, _ = _unpacked(batch.column(0)[i])
+                known, place = _known(queries, terms)
+                sums[known] += n_docs.to_numpy()[place]  # a shard has each term once
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["term", "n"])
 
-    parts = index.select("terms", "n_docs").mapInArrow(run, "term int, n bigint")
+    parts = index.select("terms").mapInArrow(run, "term int, n bigint")
     return {r["term"]: r["n"] for r in parts.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -233,13 +256,12 @@ def search(
             queries = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    name, doc_ids, counts, terms, _, sizes, postings = (batch.column(c)[i] for c in _SHARD_COLUMNS)
-                    sizes = sizes.values.to_numpy(zero_copy_only=False)
+                    name, doc_ids, counts, known, steps = (batch.column(c)[i] for c in _SHARD_COLUMNS)
+                    terms, _, sizes = _unpacked(known)
+                    postings = np.cumsum(_unpacked(steps)[0].to_numpy(), dtype=np.int32)
                     counts = counts.values.to_numpy(zero_copy_only=False).astype(np.int64)
                     starts = np.cumsum(counts + 1) - counts - 1
-                    exact, near = _search_shard(
-                        queries, terms.values, sizes, postings.values.to_numpy(zero_copy_only=False), starts + counts
-                    )
+                    exact, near = _search_shard(queries, terms, sizes.to_numpy(), postings, starts + counts)
                     ids, rows = doc_ids.as_py(), []
                     for kind, hits in (("exact", exact), ("near", near)):
                         open_at: dict[tuple[int, int], list[int]] = {}

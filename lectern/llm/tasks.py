@@ -54,16 +54,22 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             files.delete(place, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the folder all executors share and read it back.
 
     Cuts the lineage in a way that survives a lost executor, and computes ``df`` once. The table stays unless
-    a ``scratch_scope`` is open.
+    a ``scratch_scope`` is open. ``group_bytes`` is for rows of megabytes: groups of rows end once they have as
+    many bytes, so that writer and reader hold no more, and the usual look at every 100th row would be too late.
     """
     path = scratch_path(df.sparkSession, name)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    writer = df.write
+    if group_bytes is not None:
+        writer = writer.option("parquet.block.size", group_bytes)
+        for part in ("block", "page"):
+            writer = writer.option(f"parquet.{part}.size.row.check.min", 1)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
