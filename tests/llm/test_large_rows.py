@@ -2,7 +2,9 @@ import random
 
 import pyarrow.parquet as pq
 
+import corpus_pipeline
 from lectern.llm import decontamination
+from tests.conftest import plan_of
 
 
 def test_few_shards_are_written_and_read_at_once(spark):
@@ -31,3 +33,22 @@ def test_a_shard_is_read_as_it_was_stored(spark):
     for term, n, size in zip(terms, n_docs, sizes, strict=True):
         listed[term], at = (n, postings[at : at + size]), at + size
     assert listed == {b"a": (2, [1, 5]), b"b": (1, [0, 2]), b"c": (1, [6])}
+
+
+def test_texts_are_not_shuffled_to_drop_some_of_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(80)] + [(None, None)], "doc_id bigint, text string")
+    gone = docs.where("doc_id % 3 = 0").select(corpus_pipeline._key().alias("doc_id"))
+    kept = sorted((r["doc_id"], r["text"]) for r in docs.where("doc_id % 3 != 0").collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        few = corpus_pipeline._without(docs, gone)
+        assert "Exchange hashpartitioning" not in plan_of(few) and "BroadcastHashJoin" in plan_of(few)
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", 5)
+        many = corpus_pipeline._without(docs, gone)
+        assert "BroadcastHashJoin" not in plan_of(many)
+        for found in (few, many):
+            rows = [(r["doc_id"], r["text"]) for r in found.collect()]
+            assert (None, None) in rows and sorted(r for r in rows if r[0] is not None) == kept
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
